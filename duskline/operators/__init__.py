@@ -1 +1 @@
-
+"""Relational and decision operators over DataFrames."""

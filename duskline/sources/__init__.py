@@ -1 +1 @@
-
+"""Table loaders, connectors and static relations."""

@@ -1 +1 @@
-
+"""Micro-batch and stateful plans."""
