@@ -195,10 +195,10 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", decisions.quality_gate(yes, F.col("o_totalprice") > 1000, F.col("o_custkey") % 3 != 0, yes, yes, confidence).alias("decision"))
 
 
-@query("""SELECT l_orderkey, arg_min(l_shipdate, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END * 1000000000::BIGINT + l_linenumber * 1000000 + l_partkey) AS shipped FROM lineitem GROUP BY l_orderkey""")
+@query("""SELECT DISTINCT ON (l_orderkey) l_orderkey, l_shipdate AS shipped FROM lineitem ORDER BY l_orderkey, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END, l_linenumber, l_partkey, l_shipdate""")
 def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ER-6: of several sources' values, that of the source named first; ties to the earliest."""
-    line = load(spark, sf_dir, "lineitem").withColumn("ord", F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_partkey"))
+    line = load(spark, sf_dir, "lineitem").withColumn("ord", F.struct("l_linenumber", "l_partkey", "l_shipdate"))
     return decisions.canonical_value(line, "l_orderkey", "l_returnflag", "l_shipdate", ["A", "R", "N"], "ord").withColumnRenamed("l_shipdate", "shipped")
 
 
