@@ -1,0 +1,96 @@
+import datetime as dt
+import json
+
+from pyspark.sql import functions as F
+
+from duskline.functions import scans
+from duskline.sources import connectors
+from duskline.streaming import runs
+
+
+def test_paged_feed_knows_whether_it_is_whole(spark, tmp_path):
+    item = lambda i: {"title": f"t{i}", "start": "2024-01-01T20:00:00Z", "lineup": ["a"]}
+    for n in (1, 2):
+        (tmp_path / f"page-{n}.json").write_text(json.dumps({"total": 4, "items": [item(2 * n), item(2 * n + 1)]}))
+    feed = connectors.paged_feed(spark, str(tmp_path), 5)
+    assert {r["title"] for r in connectors.candidates(feed).collect()} == {"t2", "t3", "t4", "t5"}
+    assert connectors.fetch_state(feed).first()["complete"]
+    (tmp_path / "page-3.json").write_text("{broken")
+    state = connectors.fetch_state(feed).first()
+    assert (state["complete"], state["problems"], state["items"]) == (False, 1, 4)
+
+
+def test_json_ld(spark):
+    block = json.dumps({"@type": "MusicEvent", "name": "Night", "startDate": "2024-01-01", "location": {"name": "Hall"}, "offers": {"url": "t", "price": 90}, "performer": [{"name": "A"}]})
+    html = f'<script type="application/ld+json">{block}</script><script type="application/ld+json">{{"@type":"Place"}}</script><script>x</script>'
+    rows = connectors.jsonld_events(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")).collect()
+    assert [(r["page_id"], r["title"], r["venue"], r["price"], r["lineup"]) for r in rows] == [(1, "Night", "Hall", 90.0, ["A"])]
+
+
+def test_listing_and_details(spark):
+    pages = spark.createDataFrame([(1, '<a href="/e/1">x</a><a href="/e/2">y</a>'), (2, '<a href="/e/1">x</a>')], "page_id long, html string")
+    links = connectors.listing_links(pages, pattern="/e/")
+    assert {tuple(r) for r in links.collect()} == {("/e/1", 1, 0), ("/e/2", 1, 1)}
+    out = connectors.details(links.select("target"), spark.createDataFrame([("/e/1", "<p>")], "url string, html string"), F.col("target") == F.col("url"))
+    assert {(r["target"], r["problem"]) for r in out.collect()} == {("/e/1", None), ("/e/2", "not fetched: /e/2")}
+
+
+def test_free_text_dates(spark):
+    df = spark.createDataFrame([(1, "Welcome\n12. jan 2024 kl. 22.30 Deep Night\n3/2: Other")], "page_id long, t string")
+    got = {(r["title"], r["start"]) for r in connectors.free_text_candidates(df, "t", 2024).collect()}
+    assert got == {("Deep Night", dt.datetime(2024, 1, 12, 22, 30)), ("Other", dt.datetime(2024, 2, 3, 20, 0))}
+    assert spark.range(1).select(connectors.decoded(F.lit(bytearray("blåbær".encode("latin-1")))).alias("t")).first()["t"] == "blåbær"
+
+
+def test_scans(spark):
+    rows = [("hard techno and techno, then house", ["House Of Lords"]), ("for fans of rock. Disco by House of Lords", ["House of Lords"]), ("a rock night", []), (None, None)]
+    df = spark.createDataFrame(rows, "t string, n array<string>")
+    got = df.select(scans.all_genres("t").alias("g"), scans.names_masked("t", "n").alias("m"), scans.contextual_negative("t", "n").alias("neg")).collect()
+    assert [(x["genre"], x["index"]) for x in got[0]["g"]] == [("hard-techno", 0), ("techno", 16), ("house", 29)]
+    assert "house" not in got[1]["m"].lower() and [r["neg"] for r in got] == [False, False, True, False]
+    rooms = spark.createDataFrame([("MAIN ROOM\nAnn, Bob\nBack:\nCleo",)], "t string").select(scans.rooms_of("t").alias("r")).first()["r"]
+    assert [(r["room"], r["artists"]) for r in rooms] == [("MAIN ROOM", ["Ann", "Bob"]), ("Back", ["Cleo"])]
+    v = spark.createDataFrame([("Ann", "Ann live set", "x"), ("Ann", "Anna live", "x"), ("Ann", "Ann karaoke", "Ann")], "n string, t string, c string").select(scans.video_match("n", "t", "c").alias("v")).collect()
+    assert [r["v"]["accepted"] for r in v] == [True, False, False]
+    p = spark.createDataFrame([("https://www.soundcloud.com/Ann/",), ("https://soundcloud.com/ann/track",), ("",)], "u string").select(scans.profile_url("u").alias("p")).collect()
+    assert [(r["p"]["url"], r["p"]["rejected"]) for r in p] == [("https://soundcloud.com/ann", None), (None, "not-a-profile"), (None, "empty")]
+    blocks = spark.createDataFrame([("LINE-UP\n\n- a\n- b\n\nSome text\nmore",)], "t string").select(scans.description_blocks("t").alias("b")).first()["b"]
+    assert [b["type"] for b in blocks] == ["heading", "list", "paragraph"]
+
+
+def test_stream_delivers_each_key_once(spark, tmp_path):
+    schema = "user_id long, event_id long"
+    spark.createDataFrame([(1, 1), (1, 1), (1, 2)], schema).write.parquet(f"{tmp_path}/in")
+    out = runs.Deliveries(spark, f"{tmp_path}/out", ["user_id", "event_id"], f"{schema}, batch int")
+    go = lambda name: runs.run_available(runs.log_stream(spark, f"{tmp_path}/in", schema), out.deliver, f"{tmp_path}/{name}").awaitTermination(60)
+    assert go("c1")
+    spark.createDataFrame([(1, 2), (2, 2)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    assert go("c1") and sorted(map(tuple, out.stored().select("user_id", "event_id").collect())) == [(1, 1), (1, 2), (2, 2)]
+    out.deliver(spark.createDataFrame([(2, 2)], schema), 1)
+    assert out.stored().count() == 3
+
+
+def test_incomplete_runs_make_nothing_stale(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    sources = spark.createDataFrame([("a", t(1)), ("b", t(1)), ("c", t(1))], "source_id string, last_complete_at timestamp")
+    ran = spark.createDataFrame([("a", True, 5, t(3)), ("b", False, 5, t(3)), ("c", True, 0, t(3))], "source_id string, complete boolean, found int, ran_at timestamp")
+    after = runs.mark_complete(sources, ran)
+    assert {r[0]: r[1] for r in after.collect()} == {"a": t(3), "b": t(1), "c": t(1)}
+    rows = spark.createDataFrame([(i, s, t(2)) for i, s in enumerate("abc")], "id int, source_id string, last_seen_at timestamp")
+    assert [r["source_id"] for r in runs.stale(rows, after).collect()] == ["a"]
+
+
+def test_identity_reconciliation(spark):
+    artists = spark.createDataFrame([("ann", "u/ann", "A1"), ("bob", None, "B1"), ("cy", "u/c1", "C1"), ("cy", "u/c2", "C2")], "name_key string, profile string, artist_id string")
+    seen = spark.createDataFrame([(1, "ann", "Ann", None), (2, "ann", "Ann", "u/other"), (3, "cy", "Cy", "u/c2"), (4, "cy", "Cy", None), (5, "new", "New", None), (6, "bob", "Bob", "u/bob")], "event_id long, name_key string, name string, profile string")
+    got = {r["event_id"]: (r["artist_id"], r["confidence"], r["action"]) for r in runs.reconcile_names(seen, artists).collect()}
+    assert got[1] == ("A1", "medium", "link") and got[3] == ("C2", "high", "link") and got[6] == ("B1", "high", "link")
+    assert [got[i][1:] for i in (2, 4, 5)] == [("review", "create"), ("review", "create"), ("medium", "create")]
+
+
+def test_ingest_splits_a_batch(spark):
+    stored = spark.createDataFrame([("u1", "a", 1, ["title"]), ("u2", "b", 2, [])], "url string, title string, price int, locked array<string>")
+    new = spark.createDataFrame([("u1", "x", 5, 1), ("u2", "b", 2, 2), ("u3", "c", 3, 3), ("u3", "d", 4, 4)], "url string, title string, price int, ord int")
+    create, patches = runs.ingest(new, stored, "url", ["title", "price"])
+    assert [tuple(r) for r in create.collect()] == [("u3", "d", 4)]
+    assert {r["url"]: r["patch"] for r in patches.collect()} == {"u1": {"price": "5"}}
