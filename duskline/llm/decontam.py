@@ -51,9 +51,9 @@ def word_codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def shingle_codes(words: np.ndarray) -> np.ndarray:
-    """A code for each run of SHINGLE word codes (all words if fewer), mixed well enough to serve as its hash."""
-    size = min(SHINGLE, len(words))
+def shingle_codes(words: np.ndarray, most: int = SHINGLE) -> np.ndarray:
+    """A code for each run of most word codes (all words if fewer), mixed well enough to serve as its hash."""
+    size = min(most, len(words))
     n = len(words) - size + 1 if size else 0
     code = np.full(n, size, np.uint64)
     for i in range(size):
@@ -102,7 +102,8 @@ class BlockIndex:
 class Items:
     """A block of benchmark items, indexed."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], min_similarity: float = MIN_SIMILARITY):
+        self.min_similarity = min_similarity
         words = [(i, word_codes(normal_words(t))) for i, t in items]
         self.ids = [i for i, w in words if len(w)]
         self.sizes = np.array([len(w) for _, w in words if len(w)], np.int64)
@@ -114,7 +115,7 @@ class Items:
                 self.holders[c].append(k)
         self.known = np.array(sorted(self.holders), np.uint64)
         #: A bit table of the shingles' low bits, which turns most of a text away.
-        self.bits = max(16, int(len(self.known) * 16).bit_length())
+        self.bits = max(20, int(len(self.known) * 64).bit_length())
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self.known & np.uint64((1 << self.bits) - 1)] = True
         self.of_size: dict[int, tuple[np.ndarray, BlockIndex]] = {}
@@ -122,53 +123,49 @@ class Items:
         for n in np.unique(self.sizes):
             at = np.flatnonzero(self.sizes == n)
             self.of_size[int(n)] = (at, BlockIndex(prints[at]))
+        #: The sizes of the items whose shingles have so many words.
+        self.of_width = {w: {n for n in self.of_size if min(SHINGLE, n) == w} for w in {min(SHINGLE, n) for n in self.of_size}}
 
     def _shared(self, codes: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(self.table[codes & np.uint64((1 << self.bits) - 1)])
-        return at[np.isin(codes[at], self.known)]
+        if not len(at):
+            return at
+        place = np.minimum(np.searchsorted(self.known, codes[at]), len(self.known) - 1)
+        return at[self.known[place] == codes[at]]
 
-    def matches(self, text: bytes | None, min_similarity: float) -> list[tuple[int, int, int, float]]:
+    def matches(self, text: bytes | None) -> list[tuple[int, int, int, float]]:
         """(item id, first word, words, similarity) of the best window for each item that one matches."""
         words = normal_words(text)
         if not words or not self.ids:
             return []
         words = word_codes(words)
         best: dict[int, tuple[float, int]] = {}
-        by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in self._sizes(words):
-            width = min(SHINGLE, size)
-            if width not in by_width:
-                codes = shingle_codes(words) if width == SHINGLE else _short_codes(words, width)
-                by_width[width] = codes, self._shared(codes)
-            codes, shared = by_width[width]
-            if not len(shared):
+        for width, sizes in self.of_width.items():
+            if width > len(words):
                 continue
+            codes = shingle_codes(words, width)
+            shared = self._shared(codes)
+            # sizes of which some item holds a shared shingle
+            near = {int(self.sizes[k]) for p in shared.tolist() for k in self.holders[int(codes[p])]} if len(shared) else ()
+            for size in sorted(sizes.intersection(near)):
+                self._windows(codes, shared, width, size, best)
+        return [(self.ids[k], start, int(self.sizes[k]), score) for k, (score, start) in sorted(best.items())]
+
+    def _windows(self, codes: np.ndarray, shared: np.ndarray, width: int, size: int, best: dict[int, tuple[float, int]]) -> None:
+        """Searches the windows of one size that hold a shared shingle, and keeps each item's best."""
+        if size - width + 1 <= len(codes):
             held, index = self.of_size[size]
             span = size - width + 1
-            # windows that hold a shared shingle of an item of this size
             own = set(held.tolist())
             at = [p for p in shared.tolist() if not own.isdisjoint(self.holders[int(codes[p])])]
-            starts = np.unique(np.concatenate([np.arange(max(0, p - span + 1), min(p, len(codes) - span) + 1) for p in at])) if at else np.zeros(0, np.int64)
+            starts = np.unique(np.concatenate([np.arange(max(0, p - span + 1), min(p, len(codes) - span) + 1) for p in at]))
             for s, e in _runs(starts):
                 prints = simhashes(codes[s : e + span - 1], span)
                 for q, k in zip(*index.search(prints), strict=True):
                     item, start = int(held[k]), s + int(q)
                     score = similarity(Counter(codes[start : start + span].tolist()), self.bags[item])
-                    if score >= min_similarity and (item not in best or (score, -start) > (best[item][0], -best[item][1])):
+                    if score >= self.min_similarity and (item not in best or (score, -start) > (best[item][0], -best[item][1])):
                         best[item] = score, start
-        return [(self.ids[k], start, int(self.sizes[k]), score) for k, (score, start) in sorted(best.items())]
-
-    def _sizes(self, words: np.ndarray) -> list[int]:
-        return [n for n in self.of_size if n <= len(words)]
-
-
-def _short_codes(words: np.ndarray, width: int) -> np.ndarray:
-    """Codes of all runs of fewer words than a shingle has, for items that short."""
-    code = np.full(len(words) - width + 1, width, np.uint64)
-    for i in range(width):
-        code = (code ^ words[i : i + len(code)]) * np.uint64(0x9E3779B97F4A7C15)
-        code ^= code >> np.uint64(29)
-    return code
 
 
 def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -222,8 +219,8 @@ def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
 def _matcher(shared, min_similarity: float, schema: str):
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items = Items(shared.value)
+        items = Items(shared.value, min_similarity)
         for texts in batches:
-            yield pd.Series([[{"item": i, "first_word": s, "n_words": n, "similarity": x} for i, s, n, x in items.matches(t, min_similarity)] for t in texts], dtype=object)
+            yield pd.Series([[{"item": i, "first_word": s, "n_words": n, "similarity": x} for i, s, n, x in items.matches(t)] for t in texts], dtype=object)
 
     return run
