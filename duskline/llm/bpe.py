@@ -22,11 +22,15 @@ from pyspark.sql import types as T
 
 from .common import short_batches
 
-#: Entries a worker remembers for chunks, words and fragments before it starts anew.
-CACHE_ENTRIES = 250_000
+#: Entries of the young half of each of a worker's caches.
+CACHE_ENTRIES = 100_000
 END = "</w>"
 #: Code points that stand for a word's last symbol, out of the range that the byte alphabet uses.
 LAST = 0xE000
+#: ASCII punctuation that, after letters, makes a word of its own.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Below this character all letters are composed, and a text is its own normal form.
+COMPOSED = "\u0300"
 
 
 def byte_alphabet() -> list[str]:
@@ -36,6 +40,23 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in kept else next(spare)) for b in range(256)]
 
 
+class Cache(dict):
+    """A dict of bounded size: once the young half is full, the old half goes; what is found in the old half is young again."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ForcedBoundaryBpe:
     """Encodes as the tokenizer of a tokenizers-library file with word ends does, without special tokens added."""
 
@@ -55,14 +76,14 @@ class ForcedBoundaryBpe:
         self._names = {v: k for k, v in (vocab | added).items()}
         self._symbols = {self._inner(k): v for k, v in vocab.items() if len(self._inner(k)) == 1}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self._merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: (left id, right id) in one number -> rank and the id of the pair in one number
+        self._merges = {vocab[a] << 20 | vocab[b]: rank << 20 | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         self._inside = {s[i : i + 2] for s in map(self._inner, vocab) for i in range(len(s) - 1)}
         self._bytes = byte_alphabet()
         #: For words of ASCII only, without white space, where the library's normalizer and splitter do no more than this.
         self._ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-        self._chunks: dict[bytes, tuple[str, str, int]] = {}
-        self._words: dict[str, list[int]] = {}
-        self._fragments: dict[str, list[int]] = {}
+        self._chunks, self._words = Cache(self._chunk), Cache(self._plain)
+        self._mapped_words, self._fragments = Cache(self._mapped), Cache(self._merge)
 
     @staticmethod
     def _inner(token: str) -> str:
@@ -78,73 +99,67 @@ class ForcedBoundaryBpe:
         return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def _merge(self, fragment: str) -> list[int]:
-        ids, merges = [self._symbols[x] for x in fragment], self._merges
-        while len(ids) > 1:
-            best = None
-            for i in range(len(ids) - 1):
-                found = merges.get((ids[i], ids[i + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at, new = found, i, found[1]
-            if best is None:
-                break
-            ids[at : at + 2] = [new]
+        """Merges the pair of least rank, the leftmost of equals, until none is left."""
+        ids = [self._symbols[x] for x in fragment]
+        if len(ids) < 2:
+            return ids
+        get, none = self._merges.get, 1 << 60
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i] = best & 0xFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
         return ids
 
-    def _word(self, word: str) -> list[int]:
+    def _ids(self, word: str) -> list[int]:
         """word: in the byte alphabet, unmarked."""
-        ids = self._words.get(word)
-        if ids is None:
-            ids = []
-            for x in self.fragments(word[:-1] + chr(LAST + ord(word[-1]))):
-                part = self._fragments.get(x)
-                if part is None:
-                    if len(self._fragments) >= CACHE_ENTRIES:
-                        self._fragments.clear()
-                    part = self._fragments[x] = self._merge(x)
-                ids += part
-            if len(self._words) >= CACHE_ENTRIES:
-                self._words.clear()
-            self._words[word] = ids
-        return ids
+        parts = self.fragments(word[:-1] + chr(LAST + ord(word[-1])))
+        if len(parts) == 1:
+            return self._merge(parts[0])
+        return [i for x in parts for i in self._fragments[x]]
 
-    def _chunk(self, chunk: bytes) -> list[int]:
-        """The ids of a text without ASCII white space; none of the steps looks across such a space."""
-        if self._added_at is not None and b"<|" in chunk:
-            ids: list[int] = []
-            for x in self._added_at.split(chunk):
-                ids += [self._added[x]] if x in self._added else self._plain(x) if x else []
-            return ids
-        return self._plain(chunk)
+    def _strings(self, ids: list[int]) -> tuple[str, str, int]:
+        return " ".join(map(str, ids)), " ".join(map(self._names.__getitem__, ids)), len(ids)
 
-    def _plain(self, chunk: bytes) -> list[int]:
+    def _mapped(self, word: str) -> tuple[str, str, int]:
+        return self._strings(self._ids(word))
+
+    def _plain(self, word: str) -> tuple[str, str, int]:
+        """A lower-case word before its bytes are mapped."""
+        return self._strings(self._ids("".join(map(self._bytes.__getitem__, word.encode()))))
+
+    def _chunk(self, chunk: bytes) -> tuple[str, str, int]:
+        """A text without ASCII white space; none of the steps looks across such a space."""
+        if self._added_at is not None and b"<|" in chunk:
+            return self._joined([self._strings([self._added[x]]) if x in self._added else self._piece(x) for x in self._added_at.split(chunk) if x])
+        return self._piece(chunk)
+
+    def _piece(self, chunk: bytes) -> tuple[str, str, int]:
+        text = chunk.decode()
+        low = text.lower()
+        core = low.rstrip(PUNCTUATION)
+        if core.isalpha() and max(text) < COMPOSED and max(low) < COMPOSED:
+            # letters, and perhaps punctuation after them: two words at most
+            return self._words[core] if len(core) == len(low) else self._joined([self._words[core], self._words[low[len(core) :]]])
         if chunk.isascii():
-            # of ASCII, only bytes 33 to 126 stand for themselves in the byte alphabet
-            low = chunk.decode().lower()
-            if low.isalpha():
-                return self._word(low)
-            words = ["".join(self._bytes[b] for b in x.encode()) for x in self._ascii.findall(low)] if min(chunk) < 33 or max(chunk) > 126 else self._ascii.findall(low)
-        else:
-            words = [x for x, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(chunk.decode()))]
-        ids: list[int] = []
-        for x in words:
-            ids += self._word(x)
-        return ids
+            return self._joined([self._words[x] for x in self._ascii.findall(low)])
+        return self._joined([self._mapped_words[x] for x, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(text))])
 
-    def _known(self, chunk: bytes) -> tuple[str, str, int]:
-        ids = self._chunk(chunk)
-        if len(self._chunks) >= CACHE_ENTRIES:
-            self._chunks.clear()
-        found = self._chunks[chunk] = (" ".join(map(str, ids)), " ".join(map(self._names.__getitem__, ids)), len(ids))
-        return found
+    @staticmethod
+    def _joined(parts: list[tuple[str, str, int]]) -> tuple[str, str, int]:
+        parts = [x for x in parts if x[2]]
+        return " ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum([x[2] for x in parts])
 
     def texts(self, text: bytes) -> tuple[str, str, int]:
         """The decimal ids joined by a space, the decoded text, and the number of ids."""
-        chunks, known = self._chunks, self._known
-        parts = [x for x in [chunks.get(c) or known(c) for c in text.split()] if x[2]]
-        return " ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum([x[2] for x in parts])
+        return self._joined(list(map(self._chunks.__getitem__, text.split())))
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in text.encode().split() for i in self._chunk(c)]
+        return [int(i) for i in self.texts(text.encode())[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False) for a file without a decoder: tokens joined by a space; unknown ids are left out."""
@@ -173,7 +188,7 @@ def encode_texts(df: DataFrame, tokenizer: str, text_col: str = "text", with_ids
                 out |= {"ids_text": [r[0] for r in rows], "decoded": [r[1] for r in rows]}
             yield pd.DataFrame(out)
 
-    encoded = F.pandas_udf(run, T.StructType(fields), F.PandasUDFType.SCALAR_ITER)
+    encoded = F.pandas_udf(run, T.StructType(fields))
     return df.select(*kept, encoded(F.col(text_col).cast("binary")).alias("_bpe")).select(*kept, "_bpe.*")
 
 
@@ -186,4 +201,4 @@ def decode_ids(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str
         for ids in batches:
             yield pd.Series([bpe.decode([] if x is None else list(x)) for x in ids], dtype=object)
 
-    return df.withColumn(out_col, F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR_ITER)(F.col(ids_col)))
+    return df.withColumn(out_col, F.pandas_udf(run, T.StringType())(F.col(ids_col)))
