@@ -147,29 +147,47 @@ def route_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.unionByName(c).unionByName(fixed)
 
 
-@query("""
-WITH t AS (SELECT doc_id, source, lang, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1)) AS w FROM documents),
-p AS (SELECT a.doc_id AS a_doc_id, b.doc_id AS b_doc_id, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS na, len(b.w) AS nb FROM t a JOIN t b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id)
-SELECT a_doc_id, b_doc_id, round(k / (na + nb - k), 6) AS jaccard, round(k / least(na, nb), 6) AS overlap FROM p WHERE na > 0 AND nb > 0 AND k / (na + nb - k) >= 0.5""")
-def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-3, STR-6: similar first lines within a source and language.
+_line_words = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1)))"
 
-    Sets with a Jaccard of 0.5 share at least half of the larger one, so they
-    share one of the first words of either in a common order (prefix filter):
-    candidates meet on those words, not in pairs of a whole block.
-    """
+
+def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang and the sorted set of words of a document's first line."""
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.lower(F.substring_index("text", "\n", 1)).alias("line"))
     plain = F.trim(F.regexp_replace(F.regexp_replace("line", r"[^a-z0-9\s]", ""), r"\s+", " "))
-    w = d.select("doc_id", "source", "lang", F.array_sort(F.array_distinct(F.filter(F.split(plain, " "), lambda x: F.length(x) > 1))).alias("w")).where(F.size("w") > 0)
-    words = w.select("doc_id", "source", "lang", "w", F.explode("w").alias("word"))
-    rare = words.groupBy("source", "lang", "word").agg(F.count("*").alias("f"))
-    ranked = words.join(rare, ["source", "lang", "word"]).groupBy("doc_id", "source", "lang").agg(F.first("w").alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("f", "word"))), lambda x: x["word"]).alias("by_rarity"))
+    return d.select("doc_id", "source", "lang", F.array_sort(F.array_distinct(F.filter(F.split(plain, " "), lambda x: F.length(x) > 1))).alias("w")).where(F.size("w") > 0)
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, source, lang, {_line_words} AS w FROM documents)
+SELECT min(doc_id) AS class_id, count(*) AS members, any_value(source) AS source, any_value(lang) AS lang FROM t WHERE len(w) > 0 GROUP BY source, lang, w""")
+def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-3: documents of one source and language whose first lines have the same words, as one class named by its smallest id."""
+    g = line_words(spark, sf_dir).groupBy("source", "lang", F.array_join("w", " ").alias("key")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
+    return g.select("class_id", "members", "source", "lang")
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, source, lang, {_line_words} AS w FROM documents), c AS (SELECT min(doc_id) AS id, source, lang, w FROM t WHERE len(w) > 0 GROUP BY source, lang, w),
+p AS (SELECT a.id AS a_class, b.id AS b_class, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS na, len(b.w) AS nb FROM c a JOIN c b ON a.source = b.source AND a.lang = b.lang AND a.id < b.id)
+SELECT a_class, b_class, round(k / (na + nb - k), 6) AS jaccard, round(k / least(na, nb), 6) AS overlap FROM p WHERE k / (na + nb - k) >= 0.5""")
+def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-3, STR-6: similar first lines within a source and language, as pairs of token_classes.
+
+    Lines of the same words are one class, so copies make no pairs. Sets with a
+    Jaccard of 0.5 share at least half of the larger one, so they share one of
+    the rarest words of either (prefix filter): candidates meet on those.
+    """
+    keys = ["source", "lang"]
+    w = line_words(spark, sf_dir).groupBy(*keys, F.array_join("w", " ").alias("key")).agg(F.min("doc_id").alias("id")).withColumn("w", F.split("key", " ")).drop("key")
+    words = w.select("id", *keys, "w", F.explode("w").alias("word"))
+    rare = words.groupBy(*keys, "word").agg(F.count("*").alias("f"))
+    ranked = words.join(rare, [*keys, "word"]).groupBy("id", *keys).agg(F.first("w").alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("f", "word"))), lambda x: x["word"]).alias("by_rarity"))
     prefix = F.slice("by_rarity", 1, F.size("w") - F.ceil(F.size("w") / 2).cast("int") + 1)
-    keyed = ranked.select("doc_id", "source", "lang", "w", F.explode(prefix).alias("word"))
-    a, b = keyed.select("source", "lang", "word", F.col("doc_id").alias("a_doc_id"), F.col("w").alias("a_w")), keyed.select("source", "lang", "word", F.col("doc_id").alias("b_doc_id"), F.col("w").alias("b_w"))
-    pairs = a.join(b, ["source", "lang", "word"]).where("a_doc_id < b_doc_id").dropDuplicates(["a_doc_id", "b_doc_id"])
-    out = pairs.select("a_doc_id", "b_doc_id", text.jaccard(F.col("a_w"), F.col("b_w")).alias("j"), text.overlap(F.col("a_w"), F.col("b_w")).alias("o"))
-    return out.where("j >= 0.5").select("a_doc_id", "b_doc_id", F.round("j", 6).alias("jaccard"), F.round("o", 6).alias("overlap"))
+    keyed = ranked.select("id", *keys, "w", F.explode(prefix).alias("word"))
+    a, b = keyed.select(*keys, "word", F.col("id").alias("a_class"), F.col("w").alias("a_w")), keyed.select(*keys, "word", F.col("id").alias("b_class"), F.col("w").alias("b_w"))
+    pairs = a.join(b, [*keys, "word"]).where("a_class < b_class").dropDuplicates(["a_class", "b_class"])
+    out = pairs.select("a_class", "b_class", text.jaccard(F.col("a_w"), F.col("b_w")).alias("j"), text.overlap(F.col("a_w"), F.col("b_w")).alias("o"))
+    return out.where("j >= 0.5").select("a_class", "b_class", F.round("j", 6).alias("jaccard"), F.round("o", 6).alias("overlap"))
 
 
 @query("""
