@@ -182,8 +182,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """The rows of df whose id is their component's smallest; of rows that repeat such an id, one. Rows without an id stay, as nothing can name them."""
     found = near_duplicates(df, id_col, text_col, **parameters)
     kept = written(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_rows")), "kept")
-    out = df.join(kept.where("_rows = 1").select(id_col), id_col, "left_semi")
+    # texts are shuffled to the ids whatever their size, as ids grow with the texts and can't be broadcast at scale
+    out = df.join(kept.where("_rows = 1").select(id_col).hint("shuffle_hash"), id_col, "left_semi")
     again = kept.where("_rows > 1").select(id_col)
     if not again.isEmpty():
-        out = out.unionByName(df.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+        out = out.unionByName(df.join(again.hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col]))
     return out.unionByName(df.where(F.col(id_col).isNull())) if df.schema[id_col].nullable else out
