@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from .common import short_batches
 
 #: Entries of the young half of each of a worker's caches.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 200_000
 END = "</w>"
 #: Code points that stand for a word's last symbol, out of the range that the byte alphabet uses.
 LAST = 0xE000
@@ -74,6 +75,7 @@ class ForcedBoundaryBpe:
         self._added_at = re.compile(b"(" + b"|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + b")") if added else None
         vocab: dict[str, int] = model["vocab"]
         self._names = {v: k for k, v in (vocab | added).items()}
+        self._decimal = {i: str(i) for i in self._names}
         self._symbols = {self._inner(k): v for k, v in vocab.items() if len(self._inner(k)) == 1}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         #: (left id, right id) in one number -> rank and the id of the pair in one number
@@ -95,6 +97,8 @@ class ForcedBoundaryBpe:
 
     def fragments(self, word: str) -> list[str]:
         """A word (its last symbol marked), cut at every pair of symbols that no token holds."""
+        if self._inside.issuperset(map(add, word, word[1:])):
+            return [word]
         cuts = [i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in self._inside]
         return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
@@ -123,14 +127,16 @@ class ForcedBoundaryBpe:
         return [i for x in parts for i in self._fragments[x]]
 
     def _strings(self, ids: list[int]) -> tuple[str, str, int]:
-        return " ".join(map(str, ids)), " ".join(map(self._names.__getitem__, ids)), len(ids)
+        if len(ids) == 1:
+            return self._decimal[ids[0]], self._names[ids[0]], 1
+        return " ".join([self._decimal[i] for i in ids]), " ".join([self._names[i] for i in ids]), len(ids)
 
     def _mapped(self, word: str) -> tuple[str, str, int]:
         return self._strings(self._ids(word))
 
     def _plain(self, word: str) -> tuple[str, str, int]:
         """A lower-case word before its bytes are mapped."""
-        return self._strings(self._ids("".join(map(self._bytes.__getitem__, word.encode()))))
+        return self._strings(self._ids(word if word.isascii() and word.isprintable() else "".join(map(self._bytes.__getitem__, word.encode()))))
 
     def _chunk(self, chunk: bytes) -> tuple[str, str, int]:
         """A text without ASCII white space; none of the steps looks across such a space."""
@@ -142,9 +148,12 @@ class ForcedBoundaryBpe:
         text = chunk.decode()
         low = text.lower()
         core = low.rstrip(PUNCTUATION)
-        if core.isalpha() and max(text) < COMPOSED and max(low) < COMPOSED:
+        if core.isalpha() and (chunk.isascii() or max(text) < COMPOSED and max(low) < COMPOSED):
             # letters, and perhaps punctuation after them: two words at most
-            return self._words[core] if len(core) == len(low) else self._joined([self._words[core], self._words[low[len(core) :]]])
+            if len(core) == len(low):
+                return self._words[core]
+            a, b = self._words[core], self._words[low[len(core) :]]
+            return f"{a[0]} {b[0]}", f"{a[1]} {b[1]}", a[2] + b[2]
         if chunk.isascii():
             return self._joined([self._words[x] for x in self._ascii.findall(low)])
         return self._joined([self._mapped_words[x] for x, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(text))])
@@ -152,7 +161,10 @@ class ForcedBoundaryBpe:
     @staticmethod
     def _joined(parts: list[tuple[str, str, int]]) -> tuple[str, str, int]:
         parts = [x for x in parts if x[2]]
-        return " ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum([x[2] for x in parts])
+        if not parts:
+            return "", "", 0
+        ids, names, counts = zip(*parts, strict=True)
+        return " ".join(ids), " ".join(names), sum(counts)
 
     def texts(self, text: bytes) -> tuple[str, str, int]:
         """The decimal ids joined by a space, the decoded text, and the number of ids."""
