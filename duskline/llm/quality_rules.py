@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words_of
+from .common import computed_once, words_of
 
 BUCKETS = 8192
 #: Added to each bucket's count, as a share of the mean count.
@@ -28,7 +28,7 @@ SMOOTHING = 0.05
 SCALE = 10_000
 #: Documents that the target is fitted to at most, those with the smallest hash of the id.
 TARGET_DOCUMENTS = 20_000
-MIN_SCORE = -0.15
+MIN_SCORE = -0.08
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -37,13 +37,13 @@ SYMBOLS = "#*$%&|<>"
 def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds _words, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    out = df.withColumns({"_words": words_of(F.col(text_col)), "_lines": lines})
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = df.withColumns({"_words": computed_once(words_of(F.col(text_col))), "_lines": lines})
     out = out.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     ).drop("_lines")
@@ -53,7 +53,7 @@ def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     # most texts repeat no window, and need no sort
     repeats = F.size("_windows") > F.size(F.array_distinct("_windows"))
     placed = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn("_placed", F.when(repeats, placed))
+    out = out.withColumn("_placed", computed_once(F.when(repeats, placed)))
     same = lambda x, at: F.coalesce(x["h"] == F.get(F.col("_placed"), at)["h"], F.lit(False))
     again = F.filter("_placed", lambda x, k: same(x, k - 1) | same(x, k + 1))
     out = out.withColumn("_again", again)
@@ -61,18 +61,22 @@ def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("n_repeat_words", F.when(F.col("_again").isNull(), 0).otherwise(F.size(covered)).cast("long")).drop("_windows", "_placed", "_again")
 
 
-def ngram_buckets(words: str, buckets: int = BUCKETS) -> Column:
-    """Buckets of the words and of the pairs of adjacent words."""
-    one = F.transform(F.col(words), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(F.col(words), lambda w, i: F.pmod(F.xxhash64(w, F.get(F.col(words), i + 1)), F.lit(buckets)).cast("int"))
-    return F.concat(one, F.slice(two, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+def word_pairs(words: str) -> Column:
+    """array<struct<a, b>>: each word and the next; the last word's b is null."""
+    return F.arrays_zip(F.col(words).alias("a"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b"))
+
+
+def bucket(buckets: int, *words: Column) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(buckets)).cast("int")
 
 
 def bucket_counts(df: DataFrame, target_ids: DataFrame, id_col: str, text_col: str, buckets: int) -> tuple[list[int], list[int]]:
     """n-grams in each bucket, over the whole corpus and over the target. One row per bucket reaches the driver."""
     ids = F.broadcast(target_ids.select(F.col(id_col).alias("_target")).distinct())
     marked = df.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_words")).join(ids, F.col("_id") == F.col("_target"), "left")
-    grams = marked.select(F.col("_target").isNotNull().cast("long").alias("t"), F.explode(ngram_buckets("_words", buckets)).alias("b"))
+    pairs = marked.select(F.col("_target").isNotNull().cast("long").alias("t"), F.explode(word_pairs("_words")).alias("p"))
+    both = F.array(bucket(buckets, F.col("p.a")), F.when(F.col("p.b").isNotNull(), bucket(buckets, F.col("p.a"), F.col("p.b"))))
+    grams = pairs.select("t", F.explode(both).alias("b")).where("b IS NOT NULL")
     raw, target = [0] * buckets, [0] * buckets
     for b, n, t in grams.groupBy("b").agg(F.count("*"), F.sum("t")).collect():
         raw[b], target[b] = n, t
@@ -103,9 +107,9 @@ def judge(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     ratios = F.from_json(F.lit(str(log_ratios(raw, target))), "array<int>")
     out = base_columns(df, text_col)
     grams = 2 * F.col("n_words") - 1
-    total = F.aggregate(ngram_buckets("_words", buckets), F.lit(0).cast("long"), lambda acc, b: acc + F.get(ratios, b))
+    ratio = lambda *words: F.get(ratios, bucket(buckets, *words))
+    total = F.aggregate(word_pairs("_words"), F.lit(0).cast("long"), lambda acc, p: acc + ratio(p["a"]) + F.when(p["b"].isNotNull(), ratio(p["a"], p["b"])).otherwise(0))
     out = out.withColumn("score", F.when(F.col("n_words") == 0, 0.0).otherwise(F.round(total / grams / SCALE, 6)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    # The partition id, always true here, keeps a filter on kept above this projection; pushed below, it would repeat all that it is made of.
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score) & (F.spark_partition_id() >= 0)).drop("_words")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop("_words")
