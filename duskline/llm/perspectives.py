@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import computed_once
+
 BLOCK = 64
 CONTEXT_ROLES = ("system",)
 UNKNOWN = "unknown"
@@ -40,7 +42,7 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = rows.groupBy("conv_id", F.floor(F.col("turn") / block).alias("block")).agg(F.sort_array(F.collect_set(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text"))).alias("turns"))
     both = blocks.join(speakers, blocks["conv_id"].eqNullSafe(speakers["conv_id"])).drop(speakers["conv_id"])
     parts = F.transform("turns", lambda t: F.struct(header(t["role"], F.col("perspective")).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), (t["role"] == F.col("perspective")).alias("own")))
-    out = both.withColumn("_parts", parts)
+    out = both.withColumn("_parts", computed_once(parts))
     rendered = F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"])), "")
     # (characters so far, spans so far) over the parts
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
