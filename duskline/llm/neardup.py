@@ -180,7 +180,11 @@ def hex_of(code: Column) -> Column:
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of df whose id is their component's smallest; of rows that repeat such an id, one. Rows without an id stay, as nothing can name them."""
-    found = near_duplicates(df, id_col, text_col, **parameters)
+    return keep_first(df, near_duplicates(df, id_col, text_col, **parameters), id_col)
+
+
+def keep_first(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df that found (ids and component_id) names as their component's smallest."""
     kept = written(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_rows")), "kept")
     # texts are shuffled to the ids whatever their size, as ids grow with the texts and can't be broadcast at scale
     out = df.join(kept.where("_rows = 1").select(id_col).hint("shuffle_hash"), id_col, "left_semi")
