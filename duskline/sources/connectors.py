@@ -8,6 +8,8 @@ only then may rows that were not seen again be taken for gone.
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +25,7 @@ class Page(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    """Reads a feed's pages, one partition each, up to a limit; a page that can't be read is a problem row, not an error."""
+    """Reads a feed's pages, one partition each, up to a limit. A page that can't be read is a problem row, not an error; so is a missing page before a later one, and the limit if the last page within it has items or later pages exist."""
 
     def __init__(self, options: dict):
         self.path, self.pages = options["path"], int(options.get("pages", 25))
@@ -36,12 +38,21 @@ class PagedReader(DataSourceReader):
             with open(f"{self.path}/page-{partition.number}.json", encoding="utf-8") as f:
                 page = json.load(f)
         except FileNotFoundError:
+            if self.last() > partition.number:
+                yield partition.number, None, None, "missing page before a later one"
             return
         except (OSError, ValueError) as e:
             yield partition.number, None, None, f"{type(e).__name__}: {e}"
             return
         for item in page.get("items", []):
             yield partition.number, json.dumps(item), page.get("total"), None
+        if partition.number == self.pages and (page.get("items") or self.last() > self.pages):
+            yield partition.number, None, page.get("total"), f"stopped at {self.pages} pages"
+
+    def last(self) -> int:
+        """The highest page number there is."""
+        found = (re.fullmatch(r"page-(\d+)\.json", name) for name in os.listdir(self.path))
+        return max((int(m[1]) for m in found if m), default=0)
 
 
 class PagedFeed(DataSource):

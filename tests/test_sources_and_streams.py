@@ -20,6 +20,18 @@ def test_paged_feed_knows_whether_it_is_whole(spark, tmp_path):
     assert (state["complete"], state["problems"], state["items"]) == (False, 1, 4)
 
 
+def test_paged_feed_tells_of_the_cap_and_of_gaps(spark, tmp_path):
+    page = lambda n: (tmp_path / f"page-{n}.json").write_text(json.dumps({"items": [{"title": f"t{n}", "start": "2024-01-01T20:00:00Z"}]}))
+    for n in (1, 2, 3):
+        page(n)
+    state = lambda pages: tuple(connectors.fetch_state(connectors.paged_feed(spark, str(tmp_path), pages)).first())
+    assert state(2) == (2, None, 1, False)
+    assert state(3) == (3, None, 1, False)
+    assert state(4) == (3, None, 0, True)
+    page(5)
+    assert state(6) == (4, None, 1, False)
+
+
 def test_json_ld(spark):
     block = json.dumps({"@type": "MusicEvent", "name": "Night", "startDate": "2024-01-01", "location": {"name": "Hall"}, "offers": {"url": "t", "price": 90}, "performer": [{"name": "A"}]})
     html = f'<script type="application/ld+json">{block}</script><script type="application/ld+json">{{"@type":"Place"}}</script><script>x</script>'
