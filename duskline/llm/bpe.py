@@ -5,8 +5,13 @@ vocabulary token can never be merged, nor can a merge span them. A cut between
 them is certain, so the fragments between such cuts are encoded on their own
 and their ids concatenated: the result is that of encoding the whole word.
 
+Merges go by rank, the leftmost of equal ones first; long fragments use a heap,
+so a text of one unbroken megabyte takes n log n steps. What a worker remembers
+is bounded in bytes.
+
 Null texts are empty; an empty text has no ids and decodes to the empty text.
-Every row gives one row, repeated ones included; other columns pass through.
+Every row gives one row, repeated ones included, and an empty table none; other
+columns pass through, but for those named like results, which are replaced.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from operator import add
 
 import pandas as pd
@@ -21,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import short_batches
+from .common import pieces
 
-#: Entries of the young half of each of a worker's caches.
-CACHE_ENTRIES = 200_000
+#: Bytes of the young half of each of a worker's caches, and what an entry takes beside its symbols and for each of them.
+CACHE_BYTES, ENTRY_BYTES, SYMBOL_BYTES = 64 << 20, 250, 12
+#: Longer keys are worked out anew each time.
+MOST_CACHED = 1024
+#: Longer fragments are merged with a heap.
+LONG = 64
 END = "</w>"
 #: Code points that stand for a word's last symbol, out of the range that the byte alphabet uses.
 LAST = 0xE000
@@ -42,18 +52,21 @@ def byte_alphabet() -> list[str]:
 
 
 class Cache(dict):
-    """A dict of bounded size: once the young half is full, the old half goes; what is found in the old half is young again."""
+    """A dict of bounded bytes: once the young half is full, the old half goes; what is found in the old half is young again."""
 
     def __init__(self, make):
-        self.make, self.old = make, {}
+        self.make, self.old, self.held = make, {}, 0
 
     def __missing__(self, key):
+        if len(key) > MOST_CACHED:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= CACHE_ENTRIES:
-            self.old = dict(self)
+        if self.held >= CACHE_BYTES:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += ENTRY_BYTES + SYMBOL_BYTES * len(key)
         self[key] = value
         return value
 
@@ -70,6 +83,8 @@ class ForcedBoundaryBpe:
         if model.get("end_of_word_suffix") != END:
             raise ValueError(f"the vocabulary has no word ends {END!r}")
         self._normalizer, self._splitter = lib.normalizer, lib.pre_tokenizer
+        if any(x["content"].split() != [x["content"]] or x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in spec["added_tokens"]):
+            raise ValueError("added tokens must be plain strings without white space")
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._added = {k.encode(): v for k, v in added.items()}
         self._added_at = re.compile(b"(" + b"|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + b")") if added else None
@@ -107,6 +122,8 @@ class ForcedBoundaryBpe:
         ids = [self._symbols[x] for x in fragment]
         if len(ids) < 2:
             return ids
+        if len(ids) > LONG:
+            return self._merge_long(ids)
         get, none = self._merges.get, 1 << 60
         ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks and (best := min(ranks)) < none:
@@ -119,6 +136,35 @@ class ForcedBoundaryBpe:
                 ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same over a linked list, with a heap of (rank, place) in one number."""
+        get, none, n = self._merges.get, 1 << 60, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)] + [none]
+        heap = [(r >> 20) << 32 | i for i, r in enumerate(ranks) if r < none]
+        heapify(heap)
+        while heap:
+            entry = heappop(heap)
+            i = entry & 0xFFFFFFFF
+            best = ranks[i]
+            if best >> 20 != entry >> 32:
+                continue  # the pair is no longer there
+            gone = after[i]
+            ids[i], ids[gone], ranks[gone] = best & 0xFFFFF, -1, none
+            after[i] = nxt = after[gone]
+            if nxt < n:
+                before[nxt] = i
+                ranks[i] = r = get(ids[i] << 20 | ids[nxt], none)
+                if r < none:
+                    heappush(heap, (r >> 20) << 32 | i)
+            else:
+                ranks[i] = none
+            if (p := before[i]) >= 0:
+                ranks[p] = r = get(ids[p] << 20 | ids[i], none)
+                if r < none:
+                    heappush(heap, (r >> 20) << 32 | p)
+        return [i for i in ids if i >= 0]
+
     def _ids(self, word: str) -> list[int]:
         """word: in the byte alphabet, unmarked."""
         parts = self.fragments(word[:-1] + chr(LAST + ord(word[-1])))
@@ -140,7 +186,7 @@ class ForcedBoundaryBpe:
 
     def _chunk(self, chunk: bytes) -> tuple[str, str, int]:
         """A text without ASCII white space; none of the steps looks across such a space."""
-        if self._added_at is not None and b"<|" in chunk:
+        if self._added_at is not None and self._added_at.search(chunk):
             return self._joined([self._strings([self._added[x]]) if x in self._added else self._piece(x) for x in self._added_at.split(chunk) if x])
         return self._piece(chunk)
 
@@ -183,7 +229,6 @@ def encode_texts(df: DataFrame, tokenizer: str, text_col: str = "text", with_ids
 
     tokenizer: path of the tokenizer file, readable at that path on every executor.
     """
-    short_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in ("n_tokens", "ids", "ids_text", "decoded")]
     fields = [T.StructField("n_tokens", T.LongType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
@@ -191,7 +236,7 @@ def encode_texts(df: DataFrame, tokenizer: str, text_col: str = "text", with_ids
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = ForcedBoundaryBpe(tokenizer)
-        for texts in batches:
+        for texts in pieces(batches):
             rows = [bpe.texts(t or b"") for t in texts]
             out = {"n_tokens": [r[2] for r in rows]}
             if with_ids:
@@ -206,11 +251,10 @@ def encode_texts(df: DataFrame, tokenizer: str, text_col: str = "text", with_ids
 
 def decode_ids(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the decoded text of an array of ids; null ids decode to the empty text."""
-    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = ForcedBoundaryBpe(tokenizer)
-        for ids in batches:
+        for ids in pieces(batches):
             yield pd.Series([bpe.decode([] if x is None else list(x)) for x in ids], dtype=object)
 
     return df.withColumn(out_col, F.pandas_udf(run, T.StringType())(F.col(ids_col)))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def test_cuts_are_never_inside_a_token(own):
 
 
 def test_caches_that_overflow_change_nothing(monkeypatch, library):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 800)
     small = bpe.ForcedBoundaryBpe(queries.tokenizer_path())
     text = "one two three, four five. one two six seven one"
     assert small.encode(text) == library.encode(text, add_special_tokens=False).ids
@@ -65,3 +66,19 @@ def test_round_trip_of_columns_and_clashing_names(documents, library):
     back = {r["doc_id"]: r["again"] for r in bpe.decode_ids(coded, queries.tokenizer_path(), out_col="again").collect()}
     assert back == {0: library.decode(library.encode("Hello there", add_special_tokens=False).ids, skip_special_tokens=False), 1: ""}
     assert bpe.encode_texts(df.limit(0), queries.tokenizer_path()).count() == 0
+
+
+def test_a_word_of_a_megabyte(own, library):
+    rng = random.Random(8)
+    for text in ("a" * 1_000_000, "".join(rng.choices("acgt", k=60_000)), "ab" * 30_000 + "é" * 2000):
+        began = time.time()
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert time.time() - began < 60
+    assert own._words.held < bpe.CACHE_BYTES and max(map(len, own._words), default=0) <= bpe.MOST_CACHED
+
+
+def test_caches_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3000)
+    cache = bpe.Cache(len)
+    assert [cache["x" * (i % 200)] for i in range(2000)] == [i % 200 for i in range(2000)]
+    assert len(cache) + len(cache.old) < 30 and cache["y" * 5000] == 5000 and "y" * 5000 not in cache
