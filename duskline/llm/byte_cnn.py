@@ -5,12 +5,15 @@ Learned filters of WIDTH bytes (over a byte embedding) run over each chunk,
 pass a ramp and are max-pooled; the chunks' maxima are averaged and, beside
 their largest values, combined by a logistic layer into one probability.
 
-The network is fitted by Adam to at most TRAIN_DOCUMENTS labelled documents,
-half of each label if there are as many, those with the smallest hash of the
-id, of each TRAIN_CHUNKS chunks spread over the whole text; the logistic layer
-is then calibrated to the labels' shares. Scoring reads every byte. Null and
-empty texts are one chunk of zero bytes. Without both labels all scores are the
-share of label 1. Repeated rows get equal scores.
+The network is fitted by Adam to at most TRAIN_DOCUMENTS labelled documents and
+TRAIN_BYTES of their texts, half of each label if there are as many, those with
+the smallest hash of the id, each in whole; the logistic layer is then
+calibrated to the labels' shares. Fitting and scoring read every byte, SLICE
+chunks at a time. Null and empty texts are one chunk of zero bytes. Without both
+labels all scores are the share of label 1 (within 0.001 of 0 and 1; 0.5
+without any label). Null labels and labels of a null id are left out; a null id
+is scored like any other. Repeated rows get equal scores; a column of the
+output's name is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import short_batches
+from .common import pieces
 
-TRAIN_DOCUMENTS, TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 1600, 6, 14, 32, 0.01
+TRAIN_DOCUMENTS, TRAIN_BYTES, BATCH, RATE = 1600, 64 << 20, 32, 0.01
+#: Rounds over the sample, and steps in all at least: a small sample is gone through more often.
+EPOCHS, STEPS = 11, 400
 CHUNK, STRIDE = 256, 224
 WIDTH, EMBEDDING, FILTERS = 6, 6, 16
 #: Chunks that scoring holds at a time.
@@ -51,47 +56,51 @@ class ByteCnn:
         rng = np.random.default_rng(seed)
         return cls(rng.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32), rng.normal(0, (WIDTH * EMBEDDING) ** -0.5, (WIDTH * EMBEDDING, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS, np.float32), 0.0)
 
-    def _windows(self, x: np.ndarray) -> np.ndarray:
-        e = self.embedding[x]
-        return np.concatenate([e[:, i : CHUNK - WIDTH + 1 + i] for i in range(WIDTH)], axis=2)
-
-    def _step(self, x: np.ndarray, docs: int, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the log loss. x: docs x TRAIN_CHUNKS chunks."""
-        win = self._windows(x)
-        conv = win @ self.filters
-        top = conv.argmax(1)
-        row = np.arange(len(x))[:, None]
-        best = np.take_along_axis(conv, top[:, None, :], 1)[:, 0] + self.bias
-        pooled = np.maximum(best, 0).reshape(docs, -1, FILTERS)
-        peak = pooled.argmax(1)
-        features = np.concatenate([pooled.mean(1), pooled.max(1)], axis=1)
+    def _strongest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The filters' maxima over each chunk, bias included, and where they are."""
+        best, top = [], []
+        for at in range(0, len(x), SLICE):
+            e = self.embedding[x[at : at + SLICE]]
+            conv = np.concatenate([e[:, i : CHUNK - WIDTH + 1 + i] for i in range(WIDTH)], axis=2) @ self.filters
+            top.append(conv.argmax(1))
+            best.append(np.take_along_axis(conv, top[-1][:, None, :], 1)[:, 0] + self.bias)
+        return np.concatenate(best), np.concatenate(top)
+
+    def _step(self, docs: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the log loss. docs: the chunks of each document, any number of them."""
+        sizes = np.array([len(d) for d in docs])
+        starts, x = np.cumsum(sizes) - sizes, np.concatenate(docs)
+        best, top = self._strongest(x)
+        pooled = np.maximum(best, 0)
+        peak = np.array([s + pooled[s : s + n].argmax(0) for s, n in zip(starts, sizes, strict=True)])
+        features = np.concatenate([np.add.reduceat(pooled, starts) / sizes[:, None], np.take_along_axis(pooled, peak, 0)], axis=1)
         p = 1 / (1 + np.exp(-np.clip(features @ self.weights + self.offset, -30, 30)))
-        miss = ((p - y) / docs).astype(np.float32)
-        d_pooled = np.repeat((miss[:, None] * self.weights[:FILTERS] / pooled.shape[1])[:, None, :], pooled.shape[1], axis=1)
-        d_peak = miss[:, None] * self.weights[FILTERS:]
-        np.add.at(d_pooled, (np.arange(docs)[:, None], peak, np.arange(FILTERS)[None, :]), d_peak)
-        d_best = (d_pooled.reshape(-1, FILTERS) * (best > 0)).astype(np.float32)
-        at = win[row, top]  # the window that each filter's maximum came from
-        d_filters = np.einsum("nfw,nf->wf", at, d_best)
-        d_win = (d_best[:, :, None] * self.filters.T[None]).reshape(-1, WIDTH, EMBEDDING)
+        miss = ((p - y) / len(docs)).astype(np.float32)
+        d_pooled = np.repeat(miss[:, None] * self.weights[:FILTERS] / sizes[:, None], sizes, axis=0)
+        np.add.at(d_pooled, (peak, np.arange(FILTERS)[None, :]), miss[:, None] * self.weights[FILTERS:])
+        d_best = (d_pooled * (best > 0)).astype(np.float32)
+        # the bytes of the window that each filter's maximum came from
+        where = x[np.arange(len(x))[:, None, None], top[:, :, None] + np.arange(WIDTH)[None, None, :]]
+        d_filters = np.einsum("nfw,nf->wf", self.embedding[where].reshape(len(x), FILTERS, -1), d_best)
+        d_windows = (d_best[:, :, None] * self.filters.T[None]).reshape(-1, WIDTH, EMBEDDING)
         d_embedding = np.zeros_like(self.embedding)
-        where = x[row[:, :, None], top[:, :, None] + np.arange(WIDTH)[None, None, :]].reshape(-1, WIDTH)
-        np.add.at(d_embedding, where, d_win)
+        np.add.at(d_embedding, where.reshape(-1, WIDTH), d_windows)
         return {"embedding": d_embedding, "filters": d_filters, "bias": d_best.sum(0), "weights": features.T @ miss + 1e-4 * self.weights, "offset": np.float32(miss.sum())}
 
-    def train(self, x: np.ndarray, y: np.ndarray, seed: int = 12) -> None:
-        """x: documents x TRAIN_CHUNKS x CHUNK."""
+    def train(self, docs: list[np.ndarray], y: np.ndarray, seed: int = 12) -> None:
+        """docs: the chunks of each document."""
         rng, state, t = np.random.default_rng(seed), {}, 0
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-STEPS // -(-len(y) // BATCH)))
+        for epoch in range(epochs):
             order = rng.permutation(len(y))
             for at in range(0, len(order), BATCH):
                 part = order[at : at + BATCH]
                 t += 1
-                for name, slope in self._step(x[part].reshape(-1, CHUNK), len(part), y[part]).items():
+                for name, slope in self._step([docs[i] for i in part], y[part]).items():
                     m, v = state.get(name, (0.0, 0.0))
                     m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
                     state[name] = m, v
-                    move = RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+                    move = RATE * (1 - epoch / epochs) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
                     setattr(self, name, getattr(self, name) - move)
 
     def tables(self) -> list[np.ndarray]:
@@ -119,52 +128,53 @@ class ByteCnn:
         return 1 / (1 + np.exp(-np.clip([self.logit(t, tables) for t in texts], -30, 30)))
 
 
-def spread_chunks(text: bytes, n: int = TRAIN_CHUNKS) -> np.ndarray:
-    """n chunks at even distances over the whole text."""
-    own = chunks(text)
-    return own[np.linspace(0, len(own) - 1, n).round().astype(int)]
+def log_odds(p: float) -> float:
+    p = min(max(p, 1e-3), 1 - 1e-3)
+    return math.log(p / (1 - p))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], share: float) -> ByteCnn:
-    """rows: (chunks, label); share: of label 1 among all labels, to which the balanced fit is calibrated."""
+def fit(rows: list[tuple[bytes, int]], share: float) -> ByteCnn:
+    """rows: (whole text, label); share: of label 1 among all labels, to which the balanced fit is calibrated."""
     y = np.array([r[1] for r in rows], np.float32)
     net = ByteCnn.start()
     if 0 < y.sum() < len(y):
-        net.train(np.stack([r[0] for r in rows]), y)
-        odds = lambda p: math.log(p / (1 - p))
-        net.offset = float(net.offset) + odds(min(max(share, 1e-3), 1 - 1e-3)) - odds(float(y.mean()))
+        net.train([chunks(r[0]) for r in rows], y)
+        net.offset = float(net.offset) + log_odds(share) - log_odds(float(y.mean()))
     else:
-        net.offset = 10.0 * (share - 0.5)
+        net.offset = log_odds(share)
     return net
 
 
-def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCUMENTS) -> tuple[list[tuple[np.ndarray, int]], float]:
-    """The bounded sample of labelled documents as (chunks, label), and the share of label 1. Texts become chunks on the executors."""
-    short_batches(df.sparkSession)
+def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCUMENTS, most_bytes: int = TRAIN_BYTES) -> tuple[list[tuple[bytes, int]], float]:
+    """The bounded sample of labelled documents as (text, label), and the share of label 1. The driver gets sizes first, then the texts up to most_bytes of each label."""
     ids = labels.select(id_col, F.col(label_col).cast("int").alias("_label")).where(F.col(id_col).isNotNull() & F.col("_label").isNotNull())
     share = ids.agg(F.avg("_label")).first()[0]
     order = F.xxhash64(id_col), F.col(id_col)
+    ids = ids.distinct()
     ids = ids.where("_label = 1").orderBy(*order).limit(most // 2).unionByName(ids.where("_label = 0").orderBy(*order).limit(most - most // 2))
-
-    @F.pandas_udf(T.BinaryType())
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([spread_chunks(t or b"").tobytes() for t in texts], dtype=object)
-
-    rows = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(ids), id_col).select(id_col, "_label", cut("_text").alias("x"))
-    found = sorted((r[0], r[1], bytes(r[2])) for r in rows.collect())
-    return [(np.frombuffer(x, np.uint8).reshape(TRAIN_CHUNKS, CHUNK), y) for _, y, x in found], 0.5 if share is None else float(share)
+    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).join(F.broadcast(ids), id_col)
+    sizes = rows.select(id_col, "_label", F.octet_length("_text").alias("n"), F.xxhash64(id_col).alias("h")).collect()
+    chosen, held = [], {0: 0, 1: 0}
+    for r in sorted(sizes, key=lambda r: (r["h"], r[0], r["n"])):
+        if held[r["_label"]] + r["n"] <= most_bytes // 2:
+            held[r["_label"]] += r["n"]
+            chosen.append((r[0], r["_label"], r["n"]))
+        else:
+            held[r["_label"]] = most_bytes  # nothing after the first that does not fit, so that short texts are not preferred
+    few = df.sparkSession.createDataFrame(sorted(set(chosen)), f"{id_col} {df.schema[id_col].dataType.simpleString()}, _label int, _n int")
+    found = rows.withColumn("_n", F.octet_length("_text")).join(F.broadcast(few), [id_col, "_label", "_n"]).select(id_col, "_label", "_text").collect()
+    return [(x, y) for _, y, x in sorted((r[0], r[1], bytes(r[2])) for r in found)], 0.5 if share is None else float(share)
 
 
 def score_quality(df: DataFrame, net: ByteCnn, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """Adds the probability that each whole text is good to df."""
-    short_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((net.embedding, net.filters, net.bias, net.weights, net.offset))
 
     @F.pandas_udf(T.DoubleType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = ByteCnn(*shared.value)
         tables = own.tables()
-        for texts in batches:
+        for texts in pieces(batches):
             yield pd.Series(own.score(texts.tolist(), tables))
 
     return df.withColumn(out_col, run(F.col(text_col).cast("binary")))
