@@ -7,19 +7,28 @@ one block at least, so the tables of near block values find every item within
 the radius. A candidate is verified by the weighted Jaccard similarity of its
 five-word shingles (repeats counted), which must reach MIN_SIMILARITY.
 
-A window that shares no shingle with any item has similarity 0 to all; such
-windows are skipped before any fingerprint is made.
+A document shorter than an item is one window itself. A window that shares no
+shingle with any item has similarity 0 to all; such windows are skipped before
+any fingerprint is made.
 
 Words are lower-cased (A-Z); ASCII punctuation separates words like white
 space. Texts or items of under five words are one shingle; null and empty ones
-have none and match nothing. Repeated rows and items are each compared. Items
-are taken in blocks of ITEMS, so that what an executor holds is bounded, and
-all documents are searched for each block.
+have none and match nothing. Repeated rows and items are each compared; of
+windows that tie for an item, the first is reported. A null id passes through;
+item ids are integers. Very long texts are read whole, WINDOWS windows at a time.
+Only the named columns are read by contaminated(), and clean() adds none, so
+clashing names don't matter. No items match nothing, no documents give no rows.
+
+Items are taken in blocks of ITEMS (and ITEM_BYTES of text), each a broadcast of
+bounded size, indexed once by each Python worker and searched in a scan of its
+own: a benchmark of usual size is one block. clean() writes what a block leaves
+before the next, so that no stage holds two.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import pieces, written
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
@@ -36,9 +45,11 @@ MIN_SIMILARITY = 0.8
 RADIUS = 20
 BLOCKS = 7
 #: Items, and bytes of their texts, searched for in one pass over the documents.
-ITEMS, ITEM_BYTES = 20_000, 16 << 20
+ITEMS, ITEM_BYTES = 200_000, 96 << 20
 #: Window fingerprints made at a time.
 WINDOWS = 8192
+#: Candidates that a search holds at a time, over all blocks.
+PAIRS = 1 << 20
 _BITS = 64
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
@@ -76,96 +87,137 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both) if both else 0.0
 
 
+def bag_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard of two sorted arrays of shingles, repeats included."""
+    kinds, at = np.unique(a, return_index=True)
+    n = np.diff(np.append(at, len(a)))
+    m = np.searchsorted(b, kinds, "right") - np.searchsorted(b, kinds, "left")
+    both = int(np.minimum(n, m).sum())
+    return both / (len(a) + len(b) - both)
+
+
 class BlockIndex:
-    """Finds all of a few fingerprints within RADIUS of each of many."""
+    """Multi-index of fingerprints: for each block of bits, the fingerprints in buckets by the block's value.
+
+    A query looks into the buckets of all values near its own, so it meets every
+    fingerprint within the radius in one block at least.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
         self.prints, self.radius = prints, radius
         edges = np.linspace(0, _BITS, blocks + 1).astype(int)
         self.blocks = []
         for lo, hi in zip(edges, edges[1:], strict=False):
-            values = np.arange(1 << (hi - lo), dtype=np.uint64)
-            mine = (prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
-            near = np.bitwise_count(values[:, None] ^ mine[None, :]) <= radius // blocks
-            self.blocks.append((np.uint64(lo), np.uint64((1 << (hi - lo)) - 1), near))
+            values = (prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
+            order = np.argsort(values, kind="stable").astype(np.int32)
+            starts = np.searchsorted(values[order], np.arange((1 << (hi - lo)) + 1, dtype=np.uint64)).astype(np.int64)
+            flips = np.arange(1 << (hi - lo), dtype=np.uint64)
+            self.blocks.append((np.uint64(lo), np.uint64((1 << (hi - lo)) - 1), order, starts, flips[np.bitwise_count(flips) <= radius // blocks]))
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query index, print index) of all pairs within the radius."""
-        near = np.zeros((len(queries), len(self.prints)), bool)
-        for lo, mask, table in self.blocks:
-            near |= table[(queries >> lo) & mask]
-        q, p = np.nonzero(near)
-        ok = np.bitwise_count(queries[q] ^ self.prints[p]) <= self.radius
-        return q[ok], p[ok]
+        """(query index, print index) of all pairs within the radius, each once, in order; PAIRS candidates or so are held at a time."""
+        each = max(1, PAIRS // max(512, len(self.prints)))
+        found = [self._search(queries[i : i + each], i) for i in range(0, len(queries), each)]
+        return np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+
+    def _search(self, queries: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        met = []
+        for lo, mask, order, starts, flips in self.blocks:
+            value = (((queries >> lo) & mask)[:, None] ^ flips[None, :]).astype(np.int64).ravel()
+            begin, size = starts[value], starts[value + 1] - starts[value]
+            q = np.repeat(np.repeat(np.arange(len(queries)), len(flips)), size)
+            place = np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+            p = order[place]
+            ok = np.bitwise_count(queries[q] ^ self.prints[p]) <= self.radius
+            met.append(q[ok] * len(self.prints) + p[ok])
+        pair = np.unique(np.concatenate(met))
+        return first + pair // max(1, len(self.prints)), pair % max(1, len(self.prints))
 
 
 class Items:
-    """A block of benchmark items, indexed."""
+    """A block of benchmark items, indexed; flat arrays throughout, as there may be many."""
 
     def __init__(self, items: list[tuple[int, bytes]], min_similarity: float = MIN_SIMILARITY):
         self.min_similarity = min_similarity
-        words = [(i, word_codes(normal_words(t))) for i, t in items]
-        self.ids = [i for i, w in words if len(w)]
-        self.sizes = np.array([len(w) for _, w in words if len(w)], np.int64)
-        shingles = [shingle_codes(w) for _, w in words if len(w)]
-        self.bags = [Counter(s.tolist()) for s in shingles]
-        self.holders: dict[int, list[int]] = defaultdict(list)
-        for k, s in enumerate(shingles):
-            for c in set(s.tolist()):
-                self.holders[c].append(k)
-        self.known = np.array(sorted(self.holders), np.uint64)
+        ids, sizes, prints, codes, owners = [], [], [], [], []
+        for i, text in items:
+            words = word_codes(normal_words(text))
+            if len(words):
+                own = np.sort(shingle_codes(words))
+                owners.append(np.full(len(own), len(ids), np.int32))
+                codes.append(own)
+                prints.append(simhashes(own, len(own))[0])
+                ids.append(i)
+                sizes.append(len(words))
+        self.ids, self.sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
+        self.bags = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+        self.bag_at = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
+        order = np.argsort(self.bags, kind="stable")
+        #: The distinct shingles, and the items that hold each.
+        self.known, starts = np.unique(self.bags[order], return_index=True)
+        self.held_at, self.holders = np.append(starts, len(order)).astype(np.int64), owner[order]
         #: A bit table of the shingles' low bits, which turns most of a text away.
-        self.bits = max(20, int(len(self.known) * 64).bit_length())
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[self.known & np.uint64((1 << self.bits) - 1)] = True
+        self.bits = min(30, max(20, int(len(self.known) * 64).bit_length()))
+        self.table = np.zeros((1 << self.bits) // 8, np.uint8)
+        low = self.known & np.uint64((1 << self.bits) - 1)
+        np.bitwise_or.at(self.table, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
         self.of_size: dict[int, tuple[np.ndarray, BlockIndex]] = {}
-        prints = np.array([simhashes(s, len(s))[0] for s in shingles], np.uint64)
+        prints = np.array(prints, np.uint64)
         for n in np.unique(self.sizes):
             at = np.flatnonzero(self.sizes == n)
             self.of_size[int(n)] = (at, BlockIndex(prints[at]))
         #: The sizes of the items whose shingles have so many words.
         self.of_width = {w: {n for n in self.of_size if min(SHINGLE, n) == w} for w in {min(SHINGLE, n) for n in self.of_size}}
 
-    def _shared(self, codes: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.table[codes & np.uint64((1 << self.bits) - 1)])
+    def _shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of codes that are an item's shingle, which shingle)."""
+        low = codes & np.uint64((1 << self.bits) - 1)
+        at = np.flatnonzero(self.table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
         if not len(at):
-            return at
+            return at, at
         place = np.minimum(np.searchsorted(self.known, codes[at]), len(self.known) - 1)
-        return at[self.known[place] == codes[at]]
+        same = self.known[place] == codes[at]
+        return at[same], place[same]
 
     def matches(self, text: bytes | None) -> list[tuple[int, int, int, float]]:
         """(item id, first word, words, similarity) of the best window for each item that one matches."""
         words = normal_words(text)
-        if not words or not self.ids:
+        if not words or not len(self.ids):
             return []
         words = word_codes(words)
-        best: dict[int, tuple[float, int]] = {}
+        best: dict[int, tuple[float, int, int]] = {}
         for width, sizes in self.of_width.items():
             if width > len(words):
                 continue
             codes = shingle_codes(words, width)
-            shared = self._shared(codes)
-            # sizes of which some item holds a shared shingle
-            near = {int(self.sizes[k]) for p in shared.tolist() for k in self.holders[int(codes[p])]} if len(shared) else ()
-            for size in sorted(sizes.intersection(near)):
-                self._windows(codes, shared, width, size, best)
-        return [(self.ids[k], start, int(self.sizes[k]), score) for k, (score, start) in sorted(best.items())]
-
-    def _windows(self, codes: np.ndarray, shared: np.ndarray, width: int, size: int, best: dict[int, tuple[float, int]]) -> None:
-        """Searches the windows of one size that hold a shared shingle, and keeps each item's best."""
-        if size - width + 1 <= len(codes):
-            held, index = self.of_size[size]
-            span = size - width + 1
-            own = set(held.tolist())
-            at = [p for p in shared.tolist() if not own.isdisjoint(self.holders[int(codes[p])])]
-            starts = np.unique(np.concatenate([np.arange(max(0, p - span + 1), min(p, len(codes) - span) + 1) for p in at]))
-            for s, e in _runs(starts):
-                prints = simhashes(codes[s : e + span - 1], span)
-                for q, k in zip(*index.search(prints), strict=True):
-                    item, start = int(held[k]), s + int(q)
-                    score = similarity(Counter(codes[start : start + span].tolist()), self.bags[item])
-                    if score >= self.min_similarity and (item not in best or (score, -start) > (best[item][0], -best[item][1])):
-                        best[item] = score, start
+            shared, which = self._shared(codes)
+            if not len(shared):
+                continue
+            counts = self.held_at[which + 1] - self.held_at[which]
+            place = np.repeat(shared, counts)
+            inner = np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
+            size = self.sizes[self.holders[np.repeat(self.held_at[which], counts) + inner]]
+            for n in sorted(sizes.intersection(np.unique(size).tolist())):
+                self._windows(codes, np.unique(place[size == n]), min(n, len(words)) - width + 1, n, best)
+        return [(int(self.ids[k]), start, words, score) for k, (score, start, words) in sorted(best.items())]
+
+    def _windows(self, codes: np.ndarray, shared: np.ndarray, span: int, size: int, best: dict[int, tuple[float, int, int]]) -> None:
+        """Searches the windows of span shingles, for items of one size, that hold a shared shingle, and keeps each item's best."""
+        held, index = self.of_size[size]
+        # the starts of windows over a shared shingle: +1 where they begin, -1 where they end
+        turns = np.zeros(len(codes) - span + 2, np.int64)
+        np.add.at(turns, np.maximum(0, shared - span + 1), 1)
+        np.add.at(turns, np.minimum(shared, len(codes) - span) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(turns)[:-1] > 0)
+        words = span + min(SHINGLE, size) - 1
+        for s, e in _runs(starts):
+            prints = simhashes(codes[s : e + span - 1], span)
+            for q, k in zip(*(x.tolist() for x in index.search(prints)), strict=True):
+                item, start = int(held[k]), s + q
+                score = bag_similarity(np.sort(codes[start : start + span]), self.bags[self.bag_at[item] : self.bag_at[item + 1]])
+                if score >= self.min_similarity and (item not in best or (score, -start) > (best[item][0], -best[item][1])):
+                    best[item] = score, start, words
 
 
 def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -193,7 +245,6 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int =
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """(id, item, first_word, n_words, similarity): the best window of each document for each item that it matches."""
-    short_batches(df.sparkSession)
     schema = "array<struct<item:long, first_word:long, n_words:long, similarity:double>>"
     found = None
     for block in item_blocks(benchmark, item_col, item_text_col):
@@ -208,19 +259,33 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """The rows of df that match no item, judged in place: no join."""
-    short_batches(df.sparkSession)
     schema = "array<struct<item:long, first_word:long, n_words:long, similarity:double>>"
+    first = True
     for block in item_blocks(benchmark, item_col, item_text_col):
+        df = df if first else written(df, "clean")
+        first = False
         shared = df.sparkSession.sparkContext.broadcast(block)
         df = df.where(F.size(_matcher(shared, min_similarity, schema)(F.col(text_col).cast("binary"))) == 0)
     return df
 
 
+#: The index that a Python worker made last: workers outlive tasks.
+_LAST: dict[str, Items] = {}
+
+
+def _indexed(key: str, shared, min_similarity: float) -> Items:
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Items(shared.value, min_similarity)
+    return _LAST[key]
+
+
 def _matcher(shared, min_similarity: float, schema: str):
+    key = uuid.uuid4().hex
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items = Items(shared.value, min_similarity)
-        for texts in batches:
+        items = _indexed(key, shared, min_similarity)
+        for texts in pieces(batches):
             yield pd.Series([[{"item": i, "first_word": s, "n_words": n, "similarity": x} for i, s, n, x in items.matches(t)] for t in texts], dtype=object)
 
     return run

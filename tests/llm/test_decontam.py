@@ -9,17 +9,23 @@ from duskline.llm import decontam
 WORDS = [f"{a}{b}" for a in "bcdfghklmn" for b in ("a", "eko", "inu", "ost")]
 
 
+def weighted(a, b):
+    both = sum((a & b).values())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
 def brute(text, items, least):
     """Best similarity of any item-sized window, by comparing all of them."""
     words = decontam.normal_words((text or "").encode())
     found = {}
     for i, item in items:
         own = decontam.normal_words((item or "").encode())
-        if not own or len(own) > len(words):
-            continue
         width = min(5, len(own))
+        if not own or width > len(words):
+            continue
+        size = min(len(own), len(words))  # a document shorter than the item is one window
         bag = lambda w, k=width: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
-        best = max(decontam.similarity(bag(words[s : s + len(own)]), bag(own)) for s in range(len(words) - len(own) + 1))
+        best = max(weighted(bag(words[s : s + size]), bag(own)) for s in range(len(words) - size + 1))
         if best >= least:
             found[i] = round(best, 6)
     return found
@@ -34,7 +40,7 @@ def corpus(seed):
         words = item.split()
         edited = [*words]
         edited[len(words) // 2] = "changed"
-        texts += [item, f"{around(30)} {item} {around(30)}", f"{around(9)} {item.upper()}!! {around(2)}", f"{around(5)} {' '.join(edited)}", " ".join(words[: len(words) // 2]), around(200), f"{item} {item}"]
+        texts += [item, f"{around(30)} {item} {around(30)}", f"{around(9)} {item.upper()}!! {around(2)}", f"{around(5)} {' '.join(edited)}", " ".join(words[: len(words) // 2]), " ".join(words[: len(words) * 19 // 20]), " ".join(words[1:]), around(200), f"{item} {item}"]
     texts.append(" ".join(rng.choices(WORDS, k=20_000)) + " " + items[5][1])
     return items, texts
 
@@ -72,6 +78,7 @@ def test_items_in_blocks(spark, documents, monkeypatch):
     whole = rows()
     monkeypatch.setattr(decontam, "ITEM_BYTES", 300)
     assert rows() == whole
+    assert decontam.clean(df, benchmark).count() == len(texts) - len({r[0] for r in whole})
 
 
 def test_empty_tables(spark, documents):
@@ -80,3 +87,19 @@ def test_empty_tables(spark, documents):
     assert decontam.contaminated(df, none).count() == 0
     assert decontam.clean(df, none).count() == 1
     assert decontam.contaminated(df.limit(0), spark.createDataFrame([(1, "some words")], "item_id long, text string")).count() == 0
+
+
+def test_index_of_many_items_of_one_size():
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(rng.choice(WORDS, 30)).encode()) for i in range(3000)]
+    index = decontam.Items(items)
+    assert all(any(m[0] == i and m[3] == 1.0 for m in index.matches(text)) for i, text in items[::100])
+    assert not index.matches(" ".join(rng.choice(WORDS, 500)).encode())
+
+
+def test_null_ids_repeats_and_clashing_names(spark, documents):
+    item = " ".join(WORDS[:12])
+    df = documents([(None, item), (1, item), (1, item), (2, "nothing of the kind is said here at all")])
+    benchmark = spark.createDataFrame([(5, item, "x")], "item_id long, text string, doc_id string")
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontam.contaminated(df, benchmark).collect()) == [(0, 5), (1, 5), (1, 5)]
+    assert [r["doc_id"] for r in decontam.clean(df, benchmark).collect()] == [2]
