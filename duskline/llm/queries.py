@@ -38,22 +38,26 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches: all documents by words; all by BPE; words recounted with punctuation apart; exact copies deleted. The last two are given twice."""
+    """Four batches: all documents by words; all by BPE; words recounted with punctuation apart; exact copies deleted, the one of the least id kept (one without an id only if none has one). The last two are given twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     text = F.coalesce("text", F.lit(""))
     counted = bpe.encode_texts(docs, tokenizer_path(), with_ids=False, with_texts=False)
     counted = counted.select("doc_id", "source", "lang", F.col("n_tokens").alias("bpe"), F.size(words_of(F.col("text"))).cast("long").alias("words"), F.size(words_of(F.regexp_replace(text, r"([!-/:-@\[-`{-~])", " $1 "))).cast("long").alias("parts"), F.sha2(text, 256).alias("sha"))
     counted = written(counted, "counted")
-    kept = counted.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = counted.join(kept, "sha").where("doc_id > first")
+    # sums add up, so exact copies go without a join by text: all documents go, and the first of each text comes back
+    first = counted.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "source", "lang", "parts", "bpe")).alias("f")).select("f.*")
     by = lambda df, name, column: df.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(column).alias("n_tokens"))
     changed = counted.select("source", "lang", F.lit("words-1").alias("tokenizer"), F.col("words").alias("old_tokens"), F.lit("words-2").alias("new_tokenizer"), F.col("parts").alias("new_tokens"))
+    copies = None
+    for name, column in (("words-2", "parts"), ("word_bpe_49k", "bpe")):
+        part = token_rollup.deletes(by(counted, name, column)).unionByName(token_rollup.inserts(by(first, name, column)))
+        copies = part if copies is None else copies.unionByName(part)
     rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/duskline/rollup-{uuid.uuid4().hex}")
     rollup.commit("words-1", token_rollup.inserts(by(counted, "words-1", "words")))
     rollup.commit("bpe", token_rollup.inserts(by(counted, "word_bpe_49k", "bpe")))
     for _ in range(2):
         rollup.commit("words-2", token_rollup.revisions(changed))
-        rollup.commit("copies", token_rollup.deletes(by(gone, "words-2", "parts")).unionByName(token_rollup.deletes(by(gone, "word_bpe_49k", "bpe"))))
+        rollup.commit("copies", copies)
     rollup.compact()
     return rollup.totals()
 

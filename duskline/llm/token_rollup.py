@@ -5,11 +5,12 @@ documents and tokens, summed by key before they are shuffled, and is committed
 as one folder named after the batch. Totals are the sums over all committed
 batches. A batch is committed if its folder has Spark's success mark: a batch
 given again changes nothing, one that was cut short is written anew. compact()
-folds committed batches into a base, which names them, so that they stay known.
+folds committed batches into a base, which names them, so that they stay known,
+and removes their folders; the driver lists only what was committed since.
 
 One writer at a time is assumed. Null source, language and tokenizer are keys of
 their own; a null count is 0; repeated change rows each count. An empty batch is
-committed too. Keys whose documents and tokens are all gone keep a row of zeros
+committed too, and so is one of an empty table. Columns other than the named ones are left out. Keys whose documents and tokens are all gone keep a row of zeros
 out of totals().
 """
 
@@ -47,28 +48,32 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
+    def _files(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _exists(self, path: str) -> bool:
+        files, at = self._files(path)
+        return files.exists(at)
 
-    def _folders(self, parent: str) -> list[str]:
-        """Names of the finished folders below a folder."""
-        if not self._exists(parent):
-            return []
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(parent)
-        names = [x.getPath().getName() for x in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)]
-        return sorted(n for n in names if self._exists(f"{parent}/{n}/_SUCCESS"))
+    def _finished(self, parent: str) -> list[str]:
+        """Names of the finished folders below a folder, by one listing."""
+        files, at = self._files(f"{parent}/*/_SUCCESS")
+        return sorted(x.getPath().getParent().getName() for x in files.globStatus(at) or [])
 
     def _base(self) -> str | None:
         """The newest finished base."""
-        return max(self._folders(f"{self.path}/base"), default=None)
+        return max(self._finished(f"{self.path}/base"), default=None)
 
-    def _based(self) -> set[str]:
-        base = self._base()
-        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/batches/{base}").collect()} if base else set()
+    def _batches(self, base: str) -> DataFrame:
+        """The names of all batches that a base holds."""
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/batches/{base}")
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.path}/delta/{self._name(batch)}/_SUCCESS") or self._name(batch) in self._based()
+        if self._exists(f"{self.path}/delta/{self._name(batch)}/_SUCCESS"):
+            return True
+        base = self._base()
+        return base is not None and not self._batches(base).where(F.col("batch") == self._name(batch)).isEmpty()
 
     @staticmethod
     def _name(batch: str) -> str:
@@ -84,10 +89,17 @@ class TokenRollup:
         summed.write.mode("overwrite").parquet(f"{self.path}/delta/{self._name(batch)}")
         return True
 
+    def _open(self, base: str | None) -> list[str]:
+        """Committed batches that the base does not hold. compact() removes those it folds; if it was cut short, the base still tells."""
+        names = self._finished(f"{self.path}/delta")
+        if not base or not names:
+            return names
+        held = {r[0] for r in self._batches(base).where(F.col("batch").isin(*names)).collect()}
+        return [n for n in names if n not in held]
+
     def _all(self) -> DataFrame:
-        base, based = self._base(), self._based()
-        paths = [f"{self.path}/delta/{n}" for n in self._folders(f"{self.path}/delta") if n not in based]
-        paths += [f"{self.path}/base/{base}"] if base else []
+        base = self._base()
+        paths = [f"{self.path}/delta/{n}" for n in self._open(base)] + ([f"{self.path}/base/{base}"] if base else [])
         return self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
 
     def totals(self) -> DataFrame:
@@ -96,8 +108,15 @@ class TokenRollup:
         return summed.where("documents <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """Writes a new base of all committed batches; a reader sees the old one until the new one is whole."""
-        names = sorted({*self._folders(f"{self.path}/delta"), *self._based()})
-        base = f"v{len(self._folders(f'{self.path}/base')) + 1:08d}"
-        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batches/{base}")
+        """Writes a new base of all committed batches, then removes the folders that it holds; a reader sees the old base until the new one is whole."""
+        before = self._base()
+        names = self._open(before)
+        base = f"v{int(before[1:]) + 1 if before else 1:08d}"
+        batches = self.spark.createDataFrame([(n,) for n in names], "batch string")
+        batches = batches.unionByName(self._batches(before)) if before else batches
+        batches.coalesce(8).write.mode("overwrite").parquet(f"{self.path}/batches/{base}")
         self._all().groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.path}/base/{base}")
+        for name in self._finished(f"{self.path}/delta"):
+            if name in set(names):
+                files, at = self._files(f"{self.path}/delta/{name}")
+                files.delete(at, True)
