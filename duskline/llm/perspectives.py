@@ -9,6 +9,10 @@ A dialogue is rendered in blocks of BLOCK turn numbers; a block's strings, joine
 in the order of block, are the dialogue, so no task holds a long conversation.
 Spans count characters from the block's start. DataFrame functions only.
 
+"<|" in a text or a role is written "< |", so that no text forges a turn's marks.
+A block is a range of turn numbers; rows of one turn number are in one block.
+Other columns of the input are left out. Texts are rendered whole.
+
 Within a turn number, rows are in the order of role and text. Exactly repeated
 rows are rendered once. A null role is the participant "unknown", a null text is
 empty, a null turn comes first (block null), a null conv_id is a conversation of
@@ -35,12 +39,20 @@ def header(role: Column, perspective: Column) -> Column:
     return F.concat(F.lit(OPEN), own, F.lit(BODY))
 
 
+def escaped(text: Column) -> Column:
+    """A mark that opens or closes a turn can't stand in a text or a name: its bar is moved off."""
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
 def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, perspective, block, n_turns, rendered, spans, n_masked): spans are the masked [start, end) of the rendered text."""
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), escaped(F.coalesce("role", F.lit(UNKNOWN))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
     speakers = rows.where(~F.col("role").isin(*CONTEXT_ROLES)).select("conv_id", F.col("role").alias("perspective")).distinct()
     blocks = rows.groupBy("conv_id", F.floor(F.col("turn") / block).alias("block")).agg(F.sort_array(F.collect_set(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text"))).alias("turns"))
-    both = blocks.join(speakers, blocks["conv_id"].eqNullSafe(speakers["conv_id"])).drop(speakers["conv_id"])
+    # block numbers meet speakers first, without texts; the texts then come by conversation and block, so that a long conversation is dealt to many tasks
+    numbers = rows.select("conv_id", F.floor(F.col("turn") / block).alias("block")).distinct()
+    views = numbers.join(speakers, numbers["conv_id"].eqNullSafe(speakers["conv_id"])).select(numbers["conv_id"].alias("_conv"), F.col("block").alias("_block"), "perspective")
+    both = blocks.join(views, blocks["conv_id"].eqNullSafe(F.col("_conv")) & blocks["block"].eqNullSafe(F.col("_block"))).drop("_conv", "_block")
     parts = F.transform("turns", lambda t: F.struct(header(t["role"], F.col("perspective")).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), (t["role"] == F.col("perspective")).alias("own")))
     out = both.withColumn("_parts", computed_once(parts))
     rendered = F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"])), "")
@@ -61,7 +73,7 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL for the query over conversations."""
     return f"""
-WITH rows_ AS (SELECT DISTINCT conv_id, turn, coalesce(role, '{UNKNOWN}') AS role, coalesce(text, '') AS text FROM conversations),
+WITH rows_ AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, '{UNKNOWN}'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM rows_ WHERE role NOT IN ('system')),
 parts AS (
   SELECT r.conv_id, s.perspective, CAST(floor(r.turn / {BLOCK}) AS BIGINT) AS block, r.turn, r.role, r.text,
