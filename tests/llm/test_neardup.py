@@ -61,16 +61,40 @@ def test_gray_order_changes_one_bit_at_a_time():
     assert all((int(a) ^ int(b)).bit_count() == 1 for a, b in zip(order, order[1:], strict=False))
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
-def test_links_reach_all_that_brute_force_reaches(spark, hot):
+def groups_of(found, ids):
+    return {frozenset(j for j in ids if found(j) == found(i)) for i in ids}
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2])
+def test_links_reach_all_that_brute_force_reaches(spark, monkeypatch, radius):
+    monkeypatch.setattr(neardup, "TREE", 40)
     codes = families(9, 200)
     df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "code long").repartition(5)
-    parts = neardup.components(neardup.links(df, 2, hot))
+    parts = neardup.components(neardup.links(df, radius))
     got = {r["node"]: r["component"] for r in parts.collect()}
-    expected = brute_components([(int(c), int(c) & (2**64 - 1)) for c in codes.view(np.int64)], 2)
+    expected = brute_components([(int(c), int(c) & (2**64 - 1)) for c in codes.view(np.int64)], radius)
     linked = {i for i, m in expected.items() if sum(x == m for x in expected.values()) > 1}
-    groups = lambda of, ids: {frozenset(j for j in ids if of(j) == of(i)) for i in ids}
-    assert groups(lambda i: got.get(i, i), linked) == groups(expected.__getitem__, linked)
+    assert set(got) >= {i for i in linked if expected[i] != i} and groups_of(lambda i: got.get(i, i), linked) == groups_of(expected.__getitem__, linked)
+
+
+def test_a_crowd_around_one_code_is_searched_by_the_tree(spark):
+    """Many codes that share most keys: every one of them is reached, and those of another crowd are not."""
+    near = [1 << i | 1 << j for i in range(64) for j in range(i, 64)]
+    far = (1 << 40) - 1 << 20
+    codes = np.unique(np.array([0, *near, far, far ^ 1], np.uint64)).view(np.int64)
+    parts = neardup.components(neardup.links(spark.createDataFrame([(int(c),) for c in codes], "code long")))
+    got = {r["node"]: r["component"] for r in parts.collect()}
+    assert len({got.get(int(c), int(c)) for c in codes}) == 2
+
+
+def test_a_hub_meets_its_edges_by_broadcast(spark, monkeypatch):
+    from duskline.llm import common
+
+    monkeypatch.setattr(common, "HUB_ROWS", 5)
+    monkeypatch.setattr(neardup, "FEW_EDGES", 10)
+    monkeypatch.setattr(common, "HUBS", 4)
+    edges = spark.createDataFrame([(i, 7) for i in range(100, 200)] + [(300, 301), (301, 302)], "code long, root long")
+    assert groups_of({r["node"]: r["component"] for r in neardup.components(edges).collect()}.get, [*range(100, 200), 301, 302]) == {frozenset(range(100, 200)), frozenset((301, 302))}
 
 
 def test_long_chain_settles(spark):

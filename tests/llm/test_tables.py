@@ -1,5 +1,6 @@
 """Sharding, token rollups and the pipeline."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -123,3 +124,39 @@ def test_pipeline(spark, sf_dir):
     assert set(out) == {r["doc_id"] for r in kept.collect()} and not leaked & set(out)
     assert all(len(r["ids"]) == r["n_tokens"] for r in out.values())
     assert kept.select(F.countDistinct("text")).first()[0] == kept.count()
+    t = decoder()
+    assert all(r["decoded_sha256"] == hashlib.sha256(t.decode(r["ids"], skip_special_tokens=False).encode()).hexdigest() for r in list(out.values())[:200])
+
+
+def decoder():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+def test_pipeline_on_odd_rows(spark, documents, odd_texts, tmp_path):
+    """Null ids and texts, repeated rows, very long texts, clashing and further columns, and empty tables, through every stage."""
+    import corpus_pipeline
+
+    good = " ".join(f"word{i} and other{i * 7 % 31} things" for i in range(60))
+    rows = [*enumerate(odd_texts), (None, good), (None, None), (500, good), (500, good), (501, good + " end"), (502, " ".join(f"long{i}" for i in range(40_000)))]
+    df = documents(rows).withColumn("code", F.lit("mine")).withColumn("score", F.lit(1))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(30)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "some item of the benchmark that nobody holds"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == df.columns, name
+    empty = df.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(500) == 1 and 501 not in ids and None in ids
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == sorted((i is None, i or 0) for i in ids)
+
+
+def test_copies_without_ids_leave_one(spark, documents, tmp_path):
+    documents([(5, "same text"), (None, "same text"), (7, "same text"), (None, "other"), (None, "other")]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["tokenizer"]: r["documents"] for r in queries.op4_token_rollup(spark, str(tmp_path)).collect()} == {"words-2": 2, "word_bpe_49k": 2}
