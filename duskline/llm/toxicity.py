@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from .common import pieces
 
 TRAIN_DOCUMENTS = 4500
-FOLDS = 3
+FOLDS, FOLD_EXAMPLES = 3, 10
 LANDMARKS = 240
 NEGATIVES = 8000
 DECAY, SPAN = 0.6, 7
@@ -286,7 +286,8 @@ class ToxicityModel:
             return cls(None)
         order = np.argsort(docs.y, kind="stable")
         machine = docs.fit(order)
-        if min(docs.y.sum(), (1 - docs.y).sum()) < 2 * FOLDS:
+        if min(docs.y.sum(), (1 - docs.y).sum()) < FOLD_EXAMPLES * FOLDS:
+            # machines without a fold would know too few words to be compared with the whole one
             return cls(*machine, calibrated(evidence(docs.top(decision(docs.units, *machine), order)[0]), docs.y[order]))
         own = [order[i::FOLDS] for i in range(FOLDS)]
         outside = [evidence(docs.top(decision(docs.units, *docs.fit(np.setdiff1d(order, part))), part)[0]) for part in own]
