@@ -158,7 +158,7 @@ def lowest_price(text: Column) -> Column:
 
 def split_lineup(entry: Column) -> Column:
     """Names joined by back-to-back marks, apart."""
-    return F.filter(F.transform(F.split(entry, r"(?i)\s+(?:b2b|b3b|vs\.?)\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(entry, r"(?i)\s+(?:b2b|b3b|vs\.?)\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def has_weak_separator(entry: Column) -> Column:

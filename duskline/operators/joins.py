@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
 #: Rows of a side that may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -100,3 +102,27 @@ def set_plan(stored: DataFrame, observed: DataFrame, keys: list[str], value: str
     gone = F.when(deletes_allowed, "delete").otherwise("suppressed-delete")
     action = F.when(F.col("_a").isNull(), "insert").when(F.col("_b").isNull(), gone).when(F.col("_old").eqNullSafe(F.col("_new")), "keep").otherwise("update")
     return both.select(*keys, action.alias("action"), F.coalesce("_new", "_old").alias(value))
+
+
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first rows of each key, most at most. Spark keeps no more than those of each key in a task before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with rows numbered from 1 in an order: range partitions are sorted on their own, and each starts after the rows of those before.
+
+    One count a partition goes to the driver. The order should be whole (end in a key), so that no value of it is all rows.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    placed = checkpointed(spread.withColumns({"_part": F.spark_partition_id(), "_at": at.bitwiseAND((1 << 33) - 1)}))
+    starts, total = [], 1
+    for part, count in sorted(tuple(r) for r in placed.groupBy("_part").count().collect()):
+        starts.append((part, total))
+        total += count
+    before = spark.createDataFrame(starts, "_part int, _before long")
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")

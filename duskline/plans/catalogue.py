@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, reads, rollups, sinks, texts, windows  # noqa: F401  they register their queries
+from . import applied, decisions, reads, rollups, sinks, texts, windows  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -47,12 +47,12 @@ def best_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, CASE WHEN o_orderkey % 9 = 0 THEN 'u' || o_custkey END AS url FROM orders WHERE o_custkey % 10 = 0),
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, CASE WHEN o_orderkey % 9 = 0 THEN 'u' || o_custkey END AS url FROM orders),
 p AS (SELECT a.o_orderkey, b.o_orderkey AS earlier, CASE WHEN a.o_orderdate = b.o_orderdate THEN 'none' WHEN a.o_orderpriority <> b.o_orderpriority THEN 'none' WHEN a.url = b.url THEN 'high' WHEN a.o_orderpriority = '1-URGENT' THEN 'medium' ELSE 'none' END AS c FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.o_orderkey < a.o_orderkey)
 SELECT o_orderkey, earlier, c AS confidence FROM p WHERE c <> 'none'""")
 def moved_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ER-2: earlier rows of one source that may be the same event at another time."""
-    o = load(spark, sf_dir, "orders").where("o_custkey % 10 = 0").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("u"), F.col("o_custkey").cast("string"))).alias("url"))
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("u"), F.col("o_custkey").cast("string"))).alias("url"))
     p = joins.blocked_pairs(o, "o_orderkey", ["o_custkey"])
     same = (F.col("a_o_orderpriority") == F.col("b_o_orderpriority")).cast("double")
     wording = F.when(F.col("b_o_orderpriority") == "1-URGENT", "new date").otherwise("")
@@ -174,16 +174,20 @@ def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT p_name AS key, p_partkey, p_brand, p_size > 10 AS published, p_size < 3 AS irrelevant FROM part WHERE p_partkey % 4 = 0), c AS (SELECT p_partkey, p_name AS key, p_brand FROM part WHERE p_partkey % 4 = 1)
+WITH h AS (SELECT p_name AS key, p_partkey, p_brand, p_size > 10 AS published, p_size < 3 AS irrelevant FROM part), c AS (SELECT p_partkey, p_name AS key, p_brand FROM part)
 SELECT c.p_partkey, count(*) FILTER (WHERE published) AS published, count(*) FILTER (WHERE irrelevant) AS irrelevant, coalesce(bool_or(published AND h.p_brand = c.p_brand), false) AS same_venue,
   CASE WHEN count(*) FILTER (WHERE irrelevant) > 0 THEN 'against' WHEN count(*) FILTER (WHERE published) = 0 THEN 'unsupported' WHEN coalesce(bool_or(published AND h.p_brand = c.p_brand), false) THEN 'strong' WHEN count(*) FILTER (WHERE published) >= 2 THEN 'supporting' ELSE 'unsupported' END AS strength
-FROM c JOIN h ON c.key = h.key GROUP BY c.p_partkey""")
+FROM c JOIN h ON c.key = h.key AND h.p_partkey <> c.p_partkey GROUP BY c.p_partkey""")
 def series_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ER-15, AGG-14: what a candidate's series published before. History is summed by (key, venue) first, so that no candidate meets single rows."""
     p = load(spark, sf_dir, "part")
-    h = p.where("p_partkey % 4 = 0").groupBy(F.col("p_name").alias("key"), F.col("p_brand").alias("venue")).agg(F.count_if(F.col("p_size") > 10).alias("pub"), F.count_if(F.col("p_size") < 3).alias("irr"))
-    c = p.where("p_partkey % 4 = 1").select("p_partkey", F.col("p_name").alias("key"), "p_brand")
-    m = c.join(h, "key").groupBy("p_partkey").agg(F.sum("pub").alias("published"), F.sum("irr").alias("irrelevant"), F.bool_or((F.col("pub") > 0) & (F.col("venue") == F.col("p_brand"))).alias("same_venue"))
+    h = p.groupBy(F.col("p_name").alias("key"), F.col("p_brand").alias("venue")).agg(F.count_if(F.col("p_size") > 10).alias("pub"), F.count_if(F.col("p_size") < 3).alias("irr"), F.count("*").alias("rows"))
+    own = lambda test: test.cast("long")
+    c = p.select("p_partkey", F.col("p_name").alias("key"), F.col("p_brand").alias("venue"), own(F.col("p_size") > 10).alias("own_pub"), own(F.col("p_size") < 3).alias("own_irr"))
+    by_key = h.groupBy("key").agg(F.sum("pub").alias("pub_all"), F.sum("irr").alias("irr_all"), F.sum("rows").alias("rows"))
+    # each row's own share is taken off, and rows without any other of their series leave
+    m = c.join(h.select("key", "venue", "pub"), ["key", "venue"]).join(by_key, "key").where("rows > 1")
+    m = m.select("p_partkey", (F.col("pub_all") - F.col("own_pub")).alias("published"), (F.col("irr_all") - F.col("own_irr")).alias("irrelevant"), (F.col("pub") - F.col("own_pub") > 0).alias("same_venue"))
     return m.withColumn("strength", decisions.series_strength(F.col("irrelevant"), F.col("published"), F.lit(True), F.col("same_venue"), F.lit(False)))
 
 

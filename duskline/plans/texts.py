@@ -74,26 +74,6 @@ def shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", text.shortened(F.col("text")).alias("short"))
 
 
-@query("""
-WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, p_name, 'x ' || p_name || ' y' AS title FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT l_orderkey, count(*) FILTER (WHERE contains(lower(title), lower(p_name))) AS in_title, count(*) AS n FROM l GROUP BY l_orderkey""")
-def preview_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-9: how many of a line-up's names the title holds."""
-    line = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    g = line.select("l_orderkey", text.names_in_title(F.concat(F.lit("x "), "p_name", F.lit(" y")), F.array("p_name")).alias("k"))
-    return g.groupBy("l_orderkey").agg(F.sum("k").alias("in_title"), F.count("*").alias("n"))
-
-
-@query("""
-WITH w AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^a-zæøåöäüßéèêçñóí]+', ' ', 'g'), ' ') AS w FROM documents)
-SELECT doc_id, len(list_filter(w, lambda x: list_contains(['der', 'die', 'und', 'das', 'ist'], x))) AS de, len(list_filter(w, lambda x: list_contains(['the', 'and', 'of', 'to', 'is'], x))) AS en FROM w""")
-def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLS-9: function words per language."""
-    words = F.split(F.regexp_replace(F.lower("text"), "[^a-zæøåöäüßéèêçñóí]+", " "), " ")
-    count = lambda *known: F.size(F.filter("w", lambda x: x.isin(*known))).cast("long")
-    return load(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", count("der", "die", "und", "das", "ist").alias("de"), count("the", "and", "of", "to", "is").alias("en"))
-
-
 #: Rules with which documents of invented prose can be told apart.
 DOCUMENT_RULES = [(f"{rules.B}ththe{rules.E}", "first"), (f"{rules.B}erth{rules.E}", "second"), (f"{rules.B}tion{rules.E}", "third"), (f"{rules.B}le{rules.E}", "fourth")]
 

@@ -79,10 +79,10 @@ def candidates(feed: DataFrame, schema: str = CANDIDATE) -> DataFrame:
     return feed.where("problem IS NULL").select("page", F.from_json("item", schema).alias("c")).select("page", "c.*").where("title IS NOT NULL AND start IS NOT NULL")
 
 
-def fetch_state(feed: DataFrame) -> DataFrame:
-    """One row: items, declared, problems and whether the fetch is complete. No items at all is a failure, not an empty source."""
+def fetch_state(feed: DataFrame, *keys: str) -> DataFrame:
+    """One row (for each of keys, if any): items, declared, problems and whether the fetch is complete. No items at all is a failure, not an empty source."""
     problem = F.col("problem").isNotNull()
-    state = feed.agg(F.count_if(~problem).alias("items"), F.max("declared").alias("declared"), F.count_if(problem).alias("problems"))
+    state = feed.groupBy(*keys).agg(F.count_if(~problem).alias("items"), F.max("declared").alias("declared"), F.count_if(problem).alias("problems"))
     return state.withColumn("complete", (F.col("items") > 0) & (F.col("problems") == 0) & (F.col("items") >= F.coalesce("declared", F.col("items"))))
 
 
@@ -108,7 +108,7 @@ def listing_links(pages: DataFrame, html: str = "html", pattern: str = "") -> Da
     return found.where(F.col("target").contains(pattern)).groupBy("target").agg(F.min(F.struct("page_id", "at")).alias("_f")).select("target", "_f.page_id", "_f.at")
 
 
-def details(listing: DataFrame, pages: DataFrame, key: Column) -> DataFrame:
+def details(listing: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     """The second stage of a two-stage connector: detail pages joined to the links; those not fetched are kept with a problem."""
     out = listing.join(pages, key, "left")
     return out.withColumn("problem", F.when(F.col("html").isNull(), F.concat(F.lit("not fetched: "), F.col("target"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,3 +33,14 @@ def by_keys(df: DataFrame, column: str, keys: list) -> DataFrame:
 def by_key(df: DataFrame, column: str, key) -> DataFrame:
     """The row of a unique key."""
     return df.where(F.col(column) == key).limit(1)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint in the shared folder, so that it is the same rows in the same partitions whenever it is read again."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='duskline-')}")
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
