@@ -58,6 +58,8 @@ WITNESSES = 3
 MIN_LIFT = 3.0
 MARGIN_COST = 4.0
 LOWEST = -8.0
+#: Units worked on at a time.
+SLICE = 1 << 14
 #: Bytes of remembered words, of which each takes some more than its letters.
 CACHE_BYTES, ENTRY_BYTES = 96 << 20, 300
 _RUNS = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
@@ -101,6 +103,11 @@ def units_in(text: str | None) -> list[bytes]:
     return sorted({u for w in words_in(text) for u in units(w)})
 
 
+def packed(text: str | None) -> bytes:
+    """units_in as one string; no code is zero."""
+    return b"\0".join(units_in(text))
+
+
 def triples(block: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     """For units of one length (rows): the index of each subsequence, and its weight."""
     n = block.shape[1]
@@ -119,10 +126,10 @@ def norm(n: int) -> float:
 
 
 def by_length(rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, matrix) of the units of each length."""
+    """(positions, matrix) of the units of each length, SLICE at most at a time."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    for n in np.unique(sizes):
-        at = np.flatnonzero(sizes == n)
+    for at in (every[i : i + SLICE] for n in np.unique(sizes) for every in (np.flatnonzero(sizes == n),) for i in range(0, len(every), SLICE)):
+        n = len(rows[at[0]])
         yield at, np.frombuffer(b"".join(rows[i] for i in at), np.uint8).reshape(len(at), n)
 
 
@@ -179,11 +186,11 @@ def kernel_machine(rows: list[bytes], y: np.ndarray, times: np.ndarray, landmark
 class Documents:
     """Labelled documents as lists of unit numbers."""
 
-    def __init__(self, rows: Iterable[tuple[Iterable[bytes], int]]):
+    def __init__(self, rows: Iterable[tuple[bytes, int]]):
         number: dict[bytes, int] = {}
         self.y, self.holds = [], []
         for found, label in rows:
-            own = [number.setdefault(u, len(number)) for u in sorted(set(found))]
+            own = [number.setdefault(u, len(number)) for u in found.split(b"\0") if u]
             self.holds.append(np.fromiter(own, np.int64, len(own)))
             self.y.append(int(label))
         self.units, self.y = list(number), np.array(self.y)
@@ -279,8 +286,8 @@ class ToxicityModel:
         self.weights, self.offset, self.curve = weights, offset, np.asarray(curve, float)
 
     @classmethod
-    def fit(cls, rows: Iterable[tuple[Iterable[bytes], int]]) -> ToxicityModel:
-        """rows: (units of a text, label)."""
+    def fit(cls, rows: Iterable[tuple[bytes, int]]) -> ToxicityModel:
+        """rows: (the packed units of a text, label)."""
         docs = Documents(rows)
         if len(set(docs.y.tolist())) < 2 or not docs.units:
             return cls(None)
@@ -331,19 +338,20 @@ class ToxicityModel:
         return score
 
 
-def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCUMENTS) -> list[tuple[list[bytes], int]]:
-    """(units, label) of the bounded sample of labelled documents; whole texts become units on the executors. An id that is labelled twice is an example of each label."""
+def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCUMENTS) -> list[tuple[bytes, int]]:
+    """(packed units, label) of the bounded sample of labelled documents; whole texts become units on the executors. An id that is labelled twice is an example of each label."""
     ids = labels.select(id_col, F.col(label_col).cast("int").alias("_label")).where(F.col(id_col).isNotNull() & F.col("_label").isNotNull()).distinct()
     order = F.xxhash64(id_col), F.col(id_col)
     ids = ids.where("_label = 1").orderBy(*order).limit(most // 3).unionByName(ids.where("_label = 0").orderBy(*order).limit(most - most // 3))
 
-    @F.pandas_udf(T.ArrayType(T.BinaryType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([units_in(t) for t in texts], dtype=object)
+    @F.pandas_udf(T.BinaryType())
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in pieces(batches):
+            yield pd.Series([packed(t) for t in texts], dtype=object)
 
     rows = df.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(ids), id_col).select(id_col, "_label", cut("_text").alias("_units"))
-    found = {(r[0], r[1], tuple(map(bytes, r[2]))) for r in rows.collect()}
-    return [(list(us), y) for _, y, us in sorted(found)]
+    found = {(r[0], r[1], bytes(r[2])) for r in rows.toLocalIterator()}
+    return [(us, y) for _, y, us in sorted(found)]
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -69,7 +69,7 @@ def toxic_rows():
 
 
 def unit_rows():
-    return [(toxicity.units_in(text), label) for text, label in toxic_rows()]
+    return [(toxicity.packed(text), label) for text, label in toxic_rows()]
 
 
 def test_gapped_and_inserted_characters():
@@ -80,7 +80,7 @@ def test_gapped_and_inserted_characters():
 
 
 def test_toxicity_without_examples(documents):
-    model = toxicity.ToxicityModel.fit([(toxicity.units_in("all fine"), 0)])
+    model = toxicity.ToxicityModel.fit([(toxicity.packed("all fine"), 0)])
     df = documents([None, "", "x"]).withColumn("score", F.lit("taken"))
     assert {r["score"] for r in toxicity.score_toxicity(df, model).collect()} == {0.0}
     assert toxicity.score_toxicity(df.limit(0), model).count() == 0
@@ -97,7 +97,7 @@ def test_toxicity_query_equals_the_model_by_its_definition(spark, documents, tmp
     documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(toxic_rows())] + [(900, 1, 0), (None, 1, 1), (901, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     labels = {i: y for i, (_, y) in enumerate(toxic_rows()) if zlib.crc32(str(i).encode()) % 3 != 1} | ({900: 0} if zlib.crc32(b"900") % 3 != 1 else {})
-    seen = sorted((i, tuple(toxicity.units_in(t)), labels[i]) for i, t in rows if i in labels)
+    seen = sorted((i, toxicity.packed(t), labels[i]) for i, t in rows if i in labels)
     model = toxicity.ToxicityModel.fit([(us, y) for i, us, y in sorted(seen, key=lambda r: (r[0], r[2], r[1]))])
 
     def score(text):
