@@ -43,7 +43,7 @@ PATH_SHIFT = 131
 MOST_LABELS = 4000
 EPOCHS, RATE, DECAY = 120, 5.0, 3e-4
 #: A URL is blocked if its score is at least this.
-MIN_BLOCK = 0.45
+MIN_BLOCK = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The labelled table is made of these words: of the categories that blocklists have, and of ordinary sites.
