@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from duskline.llm import neardup, similar
 
@@ -60,6 +62,29 @@ def test_components_equal_brute_force(documents, odd_texts):
     assert got == brute(texts)
 
 
+def test_a_family_about_the_threshold_in_small_blocks(documents, monkeypatch):
+    """Most members are just below 0.8 of one another, some reach it: many components meet in each key."""
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(similar, "BLOCK_HASHES", 1000)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [edited(rng, base, rng.randrange(1, 6)) for _ in range(70)]
+    expected = brute(texts)
+    assert 10 < len(set(expected.values())) < 65
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(documents(texts)).collect()}
+    assert got == expected
+
+
+def test_overlaps_equal_set_sizes(monkeypatch):
+    rng = np.random.default_rng(1)
+    left, right = ([np.unique(rng.integers(-60, 60, n)) for n in sizes] for sizes in ([0, 1, 30, 90], [40, 0, 7]))
+    expected = [[len(set(a) & set(b)) for b in right] for a in left]
+    for width in (7, 4096):
+        monkeypatch.setattr(similar, "WIDTH", width)
+        assert similar.overlaps(left, right).tolist() == expected
+    assert similar.overlaps(left, [np.array([10**9])]).tolist() == [[0]] * 4
+
+
 def test_repeated_and_missing_ids(documents):
     base = " ".join(f"w{i}" for i in range(60))
     df = documents([(5, base), (3, base + " end"), (3, "another text under the same id as one before"), (None, "end " + base), (9, "far away from all of this"), (7, None), (8, "")])
