@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, decontam, feistel, neardup, perspectives, quality_rules, token_rollup, toxicity, url_filter
+from . import bpe, byte_cnn, centroids, decontam, feistel, fill_middle, neardup, perspectives, quality_rules, substring_dedup, token_rollup, toxicity, url_filter
 from .common import fold_of, shared_dir, table, words_of, written
 
 #: Score from which a document counts as label 1.
@@ -100,11 +100,26 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", neardup.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"), dims=64, scale=64, clusters=16, rounds=3, seed=1)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20, shortest=5)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_perspectives, op4_token_rollup, op5_decontamination, op6_url_filter, op7_toxicity, op8_sharding, op9_quality_classifier, op10_simhash_neardup)
+    f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_perspectives, op4_token_rollup, op5_decontamination, op6_url_filter, op7_toxicity, op8_sharding, op9_quality_classifier, op10_simhash_neardup, op11_centroids, op12_fill_in_middle, op13_substring_dedup)
 }
 
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op3_perspectives": perspectives.oracle(), "op6_url_filter": url_filter.oracle(), "op8_sharding": feistel.oracle(seed=42)}
+    return {"op3_perspectives": perspectives.oracle(), "op6_url_filter": url_filter.oracle(), "op8_sharding": feistel.oracle(seed=42), "op11_centroids": centroids.oracle(), "op12_fill_in_middle": fill_middle.oracle(), "op13_substring_dedup": substring_dedup.oracle()}
