@@ -6,9 +6,9 @@ window can repeat only if the one it elects does. Elected windows that repeat
 are extended to twice their length inside the window that elects them, those
 that repeat again, up to the whole window, or until no candidates survive.
 
-Each level is one scan and one shuffle: a task puts its candidates' hashes in
-arrays by bucket, equal ones once, and a bucket answers with the places that
-survive. A key that a third of all rows have is therefore sent once a task.
+Each level is one scan and two shuffles: a task puts its candidates' hashes in
+arrays by bucket, equal ones once, a bucket finds the places that survive, and
+they are gathered by row. A key that a third of all rows have is therefore sent once a task.
 Hashes of short levels have 64 bits, and let too much through at worst; whole
 windows have 128, which stand for the words themselves.
 
@@ -43,6 +43,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
 #: Odd multipliers of the two hashes: bytes in a word, words in a window.
 _BASES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+_ANSWER = pa.schema([("home", pa.int32()), ("rows", pa.binary()), ("sizes", pa.binary()), ("at", pa.binary())])
 _MESSAGE = "bucket int, keys binary, at binary, docs binary, rows binary, sizes binary"
 
 
@@ -148,10 +149,10 @@ def candidates(data: np.ndarray, bounds: np.ndarray, survivors: list[np.ndarray]
 def _pack(bucket: int, keys: np.ndarray, at: np.ndarray, docs: np.ndarray, rows: np.ndarray) -> dict:
     """A message: places grouped by row."""
     order = np.lexsort((at, rows))
-    rows, docs = rows[order], docs[order]
+    rows, docs = rows[order], docs[order] if len(docs) else docs
     new = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     sizes = np.diff(np.append(new, len(rows)))
-    return {"bucket": bucket, "keys": keys[order].tobytes() if len(keys) else b"", "at": at[order].astype(np.int32).tobytes(), "docs": docs[new].tobytes(), "rows": rows[new].tobytes(), "sizes": sizes.astype(np.int32).tobytes()}
+    return {"bucket": bucket, "keys": keys[order].tobytes() if len(keys) else b"", "at": at[order].astype(np.int32).tobytes(), "docs": docs[new].tobytes() if len(docs) else b"", "rows": rows[new].tobytes(), "sizes": sizes.astype(np.int32).tobytes()}
 
 
 def _runs(keys: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,13 +204,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield data, np.concatenate([[0], np.cumsum(sizes[part])]), own
 
 
-def _places(cell) -> np.ndarray:
-    """All places in a row's list of packed ones."""
-    return np.frombuffer(b"".join(cell or []), np.int32)
+def _by_home(rows: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple[int, dict]]:
+    """Places packed for each bucket of rows."""
+    home = rows % buckets
+    order = np.argsort(home, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []:
+        yield int(home[part[0]]), _pack(0, rows[:0], at[part], rows[:0], rows[part])
 
 
 def _level(docs: DataFrame, lengths: list[int], level: int, buckets: int) -> DataFrame:
-    """row, at (packed places): survivors of a level, on the last one the windows that start earlier too. docs: row, doc, text and, from the second level on, left."""
+    """row, left (packed places): survivors of a level, on the last one the windows that start earlier too. docs: row, doc, text and, from the second level on, left."""
     last = level == len(lengths) - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +224,7 @@ def _level(docs: DataFrame, lengths: list[int], level: int, buckets: int) -> Dat
                 yield pa.RecordBatch.from_pylist([x], schema=pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("keys", "at", "docs", "rows", "sizes")]))
 
         for data, bounds, own in _texts(batches):
-            left = None if level == 0 else [_places(x) for x in own.column("left").to_pylist()]
+            left = None if level == 0 else [np.frombuffer(x, np.int32) for x in own.column("left").to_pylist()]
             text, at, keys = candidates(data, bounds, left, lengths, level)
             if len(at):
                 ids, rows = (own.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row"))
@@ -250,31 +254,39 @@ def _level(docs: DataFrame, lengths: list[int], level: int, buckets: int) -> Dat
                 known[order] = np.bincount(run, at[order] < 0)[run] > 0
                 found = (found | known) & (at >= 0)
             out.append((rows[found], at[found]))
-        rows, at = (np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-        order = np.lexsort((at, rows))
-        rows, at = rows[order], at[order].astype(np.int32)
-        cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-        packed = pa.array([p.tobytes() for p in np.split(at, cuts[1:])] if len(rows) else [], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(rows[cuts], pa.int64()), packed], names=["row", "at"])
+        if out:
+            rows, at = (np.concatenate(p) for p in zip(*out, strict=True))
+            yield pa.RecordBatch.from_pylist([{"home": home} | {k: m[k] for k in ("rows", "sizes", "at")} for home, m in _by_home(rows, at, buckets)], schema=_ANSWER)
+
+    def collect(answers: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, at = [], []
+        for x in (x for batch in answers for x in batch.to_pylist()):
+            rows.append(np.repeat(np.frombuffer(x["rows"], np.int64), np.frombuffer(x["sizes"], np.int32)))
+            at.append(np.frombuffer(x["at"], np.int32))
+        rows, at = np.concatenate(rows), np.concatenate(at)
+        order = np.argsort(rows, kind="stable")
+        rows, at = rows[order], at[order]
+        cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[cuts]), pa.array([p.tobytes() for p in np.split(at, cuts[1:])], pa.binary())], names=["row", "left"])
 
     columns = ["row", "doc", "text"] + ["left"] * (level > 0)
-    return docs.select(*columns).mapInArrow(send, _MESSAGE).groupBy("bucket").applyInArrow(answer, "row long, at binary")
+    answers = docs.select(*columns).mapInArrow(send, _MESSAGE).groupBy("bucket").applyInArrow(answer, "home int, rows binary, sizes binary, at binary")
+    return answers.groupBy("home").applyInArrow(collect, "row long, left binary")
 
 
 def repeats(docs: DataFrame, window: int = 20, shortest: int = 5) -> DataFrame:
-    """row, left (lists of packed places): the windows of each row that start earlier too. docs: row, doc, text."""
+    """row, left (packed places): the windows of each row that start earlier too, a written table. docs: row, doc, text."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(math.ceil(size / BUCKET_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lengths, found = lengths_of(window, shortest), None
-    gathered = lambda table: table.groupBy("row").agg(F.collect_list("at").alias("left"))
     for level in range(len(lengths)):
         before = found
-        found = written(_level(docs if before is None else docs.join(gathered(before), "row"), lengths, level, buckets), "repeats")
+        found = written(_level(docs if before is None else docs.join(before, "row"), lengths, level, buckets), "repeats")
         if before is not None:
             discard(before)
         if found.isEmpty():
             break
-    return gathered(found)
+    return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, shortest: int = 5) -> DataFrame:
@@ -290,7 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 words = text.as_buffer().to_pybytes().split()
                 gone = 0
                 if left:
-                    at = _places(left)
+                    at = np.frombuffer(left, np.int32)
                     change = np.zeros(len(words) + 1, np.int32)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + window, -1)
