@@ -146,23 +146,29 @@ def fit(rows: list[tuple[bytes, int]], share: float) -> ByteCnn:
 
 
 def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCUMENTS, most_bytes: int = TRAIN_BYTES) -> tuple[list[tuple[bytes, int]], float]:
-    """The bounded sample of labelled documents as (text, label), and the share of label 1. The driver gets sizes first, then the texts up to most_bytes of each label."""
+    """The bounded sample of labelled documents as (text, label), and the share of label 1.
+
+    Documents come in the order of a hash of their id; a text that no longer fits
+    in its label's half of most_bytes is passed over, and the others go on. An id
+    that repeats is an example with one of its texts, that of the least hash. The
+    driver gets a size for each of most documents, then the chosen texts.
+    """
     ids = labels.select(id_col, F.col(label_col).cast("int").alias("_label")).where(F.col(id_col).isNotNull() & F.col("_label").isNotNull())
     share = ids.agg(F.avg("_label")).first()[0]
     order = F.xxhash64(id_col), F.col(id_col)
     ids = ids.distinct()
     ids = ids.where("_label = 1").orderBy(*order).limit(most // 2).unionByName(ids.where("_label = 0").orderBy(*order).limit(most - most // 2))
-    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).join(F.broadcast(ids), id_col)
-    sizes = rows.select(id_col, "_label", F.octet_length("_text").alias("n"), F.xxhash64(id_col).alias("h")).collect()
+    texts = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    sized = texts.select(id_col, F.struct(F.xxhash64("_text").alias("hash"), F.octet_length("_text").alias("n")).alias("_size"))
+    sizes = sized.join(F.broadcast(ids), id_col).groupBy(id_col, "_label").agg(F.min("_size").alias("_size"), F.first(F.xxhash64(id_col)).alias("h")).collect()
     chosen, held = [], {0: 0, 1: 0}
-    for r in sorted(sizes, key=lambda r: (r["h"], r[0], r["n"])):
-        if held[r["_label"]] + r["n"] <= most_bytes // 2:
-            held[r["_label"]] += r["n"]
-            chosen.append((r[0], r["_label"], r["n"]))
-        else:
-            held[r["_label"]] = most_bytes  # nothing after the first that does not fit, so that short texts are not preferred
-    few = df.sparkSession.createDataFrame(sorted(set(chosen)), f"{id_col} {df.schema[id_col].dataType.simpleString()}, _label int, _n int")
-    found = rows.withColumn("_n", F.octet_length("_text")).join(F.broadcast(few), [id_col, "_label", "_n"]).select(id_col, "_label", "_text").collect()
+    for r in sorted(sizes, key=lambda r: (r["h"], r[0])):
+        if held[r["_label"]] + r["_size"]["n"] <= most_bytes // 2:
+            held[r["_label"]] += r["_size"]["n"]
+            chosen.append((r[0], r["_label"], tuple(r["_size"])))
+    few = df.sparkSession.createDataFrame(chosen, f"{id_col} {df.schema[id_col].dataType.simpleString()}, _label int, _size struct<hash:bigint,n:int>")
+    found = texts.withColumn("_size", F.struct(F.xxhash64("_text").alias("hash"), F.octet_length("_text").alias("n"))).join(F.broadcast(few), [id_col, "_size"])
+    found = found.dropDuplicates([id_col, "_label"]).select(id_col, "_label", "_text").collect()
     return [(x, y) for _, y, x in sorted((r[0], r[1], bytes(r[2])) for r in found)], 0.5 if share is None else float(share)
 
 

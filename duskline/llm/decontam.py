@@ -137,7 +137,7 @@ class BlockIndex:
 class Items:
     """A block of benchmark items, indexed; flat arrays throughout, as there may be many."""
 
-    def __init__(self, items: list[tuple[int, bytes]], min_similarity: float = MIN_SIMILARITY):
+    def __init__(self, items: list[tuple[object, bytes]], min_similarity: float = MIN_SIMILARITY):
         self.min_similarity = min_similarity
         ids, sizes, prints, codes, owners = [], [], [], [], []
         for i, text in items:
@@ -149,7 +149,7 @@ class Items:
                 prints.append(simhashes(own, len(own))[0])
                 ids.append(i)
                 sizes.append(len(words))
-        self.ids, self.sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
+        self.ids, self.sizes = ids, np.array(sizes, np.int64)
         self.bags = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         self.bag_at = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
         owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
@@ -180,7 +180,7 @@ class Items:
         same = self.known[place] == codes[at]
         return at[same], place[same]
 
-    def matches(self, text: bytes | None) -> list[tuple[int, int, int, float]]:
+    def matches(self, text: bytes | None) -> list[tuple[object, int, int, float]]:
         """(item id, first word, words, similarity) of the best window for each item that one matches."""
         words = normal_words(text)
         if not words or not len(self.ids):
@@ -200,7 +200,7 @@ class Items:
             size = self.sizes[self.holders[np.repeat(self.held_at[which], counts) + inner]]
             for n in sorted(sizes.intersection(np.unique(size).tolist())):
                 self._windows(codes, np.unique(place[size == n]), min(n, len(words)) - width + 1, n, best)
-        return [(int(self.ids[k]), start, words, score) for k, (score, start, words) in sorted(best.items())]
+        return [(self.ids[k], start, words, score) for k, (score, start, words) in sorted(best.items())]
 
     def _windows(self, codes: np.ndarray, shared: np.ndarray, span: int, size: int, best: dict[int, tuple[float, int, int]]) -> None:
         """Searches the windows of span shingles, for items of one size, that hold a shared shingle, and keeps each item's best."""
@@ -243,9 +243,14 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int =
         yield block
 
 
+def _schema(kind: str) -> str:
+    return f"array<struct<item:{kind}, first_word:long, n_words:long, similarity:double>>"
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """(id, item, first_word, n_words, similarity): the best window of each document for each item that it matches."""
-    schema = "array<struct<item:long, first_word:long, n_words:long, similarity:double>>"
+    kind = benchmark.schema[item_col].dataType.simpleString()
+    schema = _schema(kind)
     found = None
     for block in item_blocks(benchmark, item_col, item_text_col):
         shared = df.sparkSession.sparkContext.broadcast(block)
@@ -253,13 +258,13 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         hits = hits.select(F.col(id_col), F.col("m.item").alias(item_col), "m.first_word", "m.n_words", "m.similarity")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = df.where(F.lit(False)).select(F.col(id_col), F.lit(0).cast("long").alias(item_col), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("similarity"))
+        found = df.where(F.lit(False)).select(F.col(id_col), F.lit(None).cast(kind).alias(item_col), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("similarity"))
     return found
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """The rows of df that match no item, judged in place: no join."""
-    schema = "array<struct<item:long, first_word:long, n_words:long, similarity:double>>"
+    schema = _schema(benchmark.schema[item_col].dataType.simpleString())
     first = True
     for block in item_blocks(benchmark, item_col, item_text_col):
         df = df if first else written(df, "clean")

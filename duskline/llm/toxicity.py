@@ -339,7 +339,7 @@ class ToxicityModel:
 
 
 def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCUMENTS) -> list[tuple[bytes, int]]:
-    """(packed units, label) of the bounded sample of labelled documents; whole texts become units on the executors. An id that is labelled twice is an example of each label."""
+    """(packed units, label) of the bounded sample of labelled documents; whole texts become units on the executors. An id that is labelled twice is an example of each label, one whose rows repeat an example with the least of their units."""
     ids = labels.select(id_col, F.col(label_col).cast("int").alias("_label")).where(F.col(id_col).isNotNull() & F.col("_label").isNotNull()).distinct()
     order = F.xxhash64(id_col), F.col(id_col)
     ids = ids.where("_label = 1").orderBy(*order).limit(most // 3).unionByName(ids.where("_label = 0").orderBy(*order).limit(most - most // 3))
@@ -350,7 +350,8 @@ def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pd.Series([packed(t) for t in texts], dtype=object)
 
     rows = df.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(ids), id_col).select(id_col, "_label", cut("_text").alias("_units"))
-    found = {(r[0], r[1], bytes(r[2])) for r in rows.toLocalIterator()}
+    one = rows.groupBy(id_col, "_label").agg(F.min("_units").alias("_units"))
+    found = {(r[0], r[1], bytes(r[2])) for r in one.toLocalIterator()}
     return [(us, y) for _, y, us in sorted(found)]
 
 

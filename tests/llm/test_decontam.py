@@ -103,3 +103,14 @@ def test_null_ids_repeats_and_clashing_names(spark, documents):
     benchmark = spark.createDataFrame([(5, item, "x")], "item_id long, text string, doc_id string")
     assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontam.contaminated(df, benchmark).collect()) == [(0, 5), (1, 5), (1, 5)]
     assert [r["doc_id"] for r in decontam.clean(df, benchmark).collect()] == [2]
+
+
+def test_item_ids_may_be_null_repeated_or_strings(spark, documents):
+    item = " ".join(f"item{i}" for i in range(12))
+    df = documents([f"before {item} after", "nothing of it"])
+    for kind, ids in (("long", [None, 7, 7]), ("string", [None, "a", "b"])):
+        benchmark = spark.createDataFrame([(i, item) for i in ids], f"item_id {kind}, text string")
+        found = decontam.contaminated(df, benchmark)
+        assert dict(found.dtypes)["item_id"] == {"long": "bigint"}.get(kind, kind)
+        assert sorted(((r.doc_id, r.item_id) for r in found.collect()), key=str) == sorted(((0, i) for i in ids), key=str)
+        assert [r.doc_id for r in decontam.clean(df, benchmark).collect()] == [1]

@@ -129,6 +129,20 @@ def test_training_texts_are_bounded_in_bytes(spark, documents):
     assert share == 0.5 and sorted(y for _, y in rows) == [0] * 4 + [1] * 4 and {len(t) for t, _ in rows} == {100}
 
 
+def test_one_huge_text_leaves_both_labels(spark, documents):
+    for huge in (0, 1, 7):
+        df = documents([("x" * 8000 if i == huge else f"text {i}") for i in range(20)] + [(3, "again"), (3, "again")])
+        labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+        rows, _ = byte_cnn.training_rows(df, labels, most_bytes=8000)
+        assert sorted(y for _, y in rows) == sorted(i % 2 for i in range(20) if i != huge)
+
+
+def test_repeated_ids_are_one_toxicity_example(spark, documents):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(documents([(1, f"bad words {i}") for i in range(9)] + [(2, "nice words")]), labels)
+    assert sorted(y for _, y in rows) == [0, 1]
+
+
 def test_scores_without_both_labels():
     for share in (0.0, 0.5, 0.9, 1.0):
         expected = min(max(share, 1e-3), 1 - 1e-3)

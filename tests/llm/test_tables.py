@@ -142,7 +142,7 @@ def test_pipeline_on_odd_rows(spark, documents, odd_texts, tmp_path):
     # of the labelled texts' own words, so that the quality rules keep it
     good = " ".join(random.Random(9).choices(["alpha", "béta", "gamma,", "Zeta!", "eta", "theta", "iota", "kappa"], k=70))
     rows = [*enumerate(odd_texts), (None, good), (None, None), (500, good), (500, good), (501, good + " end"), (502, " ".join(f"long{i}" for i in range(40_000)))]
-    df = documents(rows).withColumn("code", F.lit("mine")).withColumn("score", F.lit(1))
+    df = documents(rows).withColumn("code", F.lit("mine")).withColumns({"score": F.lit(1), "n_words": F.lit(-5), "kept": F.lit("x")})
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(30)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "some item of the benchmark that nobody holds"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -150,6 +150,7 @@ def test_pipeline_on_odd_rows(spark, documents, odd_texts, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, str(tmp_path))
         assert kept.columns == df.columns, name
+        assert {tuple(r) for r in kept.select("code", "score", "n_words", "kept").collect()} == {("mine", 1, -5, "x")}, name
     empty = df.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
