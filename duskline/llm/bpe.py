@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from .common import pieces
 
-#: Bytes of the young half of each of a worker's caches, and what an entry takes beside its symbols and for each of them.
-CACHE_BYTES, ENTRY_BYTES, SYMBOL_BYTES = 64 << 20, 250, 12
+#: Bytes of the young half of each of a worker's four caches (so 128 MB for all their halves), and what an entry takes beside its symbols and for each of them.
+CACHE_BYTES, ENTRY_BYTES, SYMBOL_BYTES = 16 << 20, 400, 16
 #: Longer keys are worked out anew each time.
 MOST_CACHED = 1024
 #: Longer fragments are merged with a heap.
