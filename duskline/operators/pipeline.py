@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import genres, rules, text, time
-from . import decisions, joins
+from ..functions import genres, relevance, rules, text, time
+from ..sources.tables import checkpointed
+from . import decisions, joins, matching
 
 #: Styles of a release catalogue and the genre each stands for.
 STYLES = {"Techno": "techno", "Hard Techno": "hard-techno", "Minimal": "minimal-techno", "House": "house", "Deep House": "deep-house", "Tech House": "tech-house", "Progressive House": "progressive-house", "Disco": "disco", "Trance": "trance", "Psy-Trance": "psytrance", "Drum n Bass": "drum-and-bass", "Jungle": "jungle", "Breakbeat": "breakbeat", "UK Garage": "garage", "Dubstep": "dubstep", "Hardstyle": "hardstyle", "Hardcore": "hardcore", "Electro": "electro", "Industrial": "industrial", "Ambient": "ambient", "Experimental": "experimental"}
@@ -46,7 +47,7 @@ def classified(rows: DataFrame) -> DataFrame:
 
 def secondary_genre(mentions: Column, primary: Column) -> Column:
     """The second of exactly two genres that a text names, if the other is of the primary's family."""
-    found = F.array_distinct(F.transform(mentions, lambda m: m["genre"]))
+    found = F.array_distinct(F.transform(mentions, lambda m: m["name"]))
     family = lambda g: F.coalesce(genres.parent_of(g), g)
     other = F.get(F.filter(found, lambda g: family(g) != family(primary)), F.lit(0))
     anchored = F.exists(found, lambda g: family(g) == family(primary))
@@ -54,35 +55,30 @@ def secondary_genre(mentions: Column, primary: Column) -> Column:
 
 
 def compared(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """With duplicate_of and duplicate_confidence: the best stored event of the same night."""
-    a = rows.withColumn("night", time.night_key(F.col("start")))
-    s = stored.select(F.col("event_id").alias("s_id"), time.night_key(F.col("start")).alias("night"), F.col("venue_id").alias("s_venue"), F.col("title").alias("s_title"), F.col("lineup").alias("s_lineup"), F.col("url").alias("s_url"))
-    words = lambda c: text.title_words(text.plain_name(F.col(c)))
-    pairs = a.select("candidate_id", "night", "venue_id", "title", "lineup", "url").join(s, "night")
-    pairs = pairs.withColumns({"t": text.jaccard(words("title"), words("s_title")), "o": text.overlap(text.lineup_keys(F.col("lineup")), text.lineup_keys(F.col("s_lineup")))})
-    no = F.lit(False)
-    shared = F.coalesce(text.normal_url(F.col("url")) == text.normal_url(F.col("s_url")), no)
-    confidence = decisions.assess_duplicate(same_night=F.lit(True), room_conflict=no, sub_venue_conflict=no, shared_url=shared, same_venue=F.coalesce(F.col("venue_id") == F.col("s_venue"), no), venue_unknown=F.col("venue_id").isNull() | F.col("s_venue").isNull(), title=F.col("t"), artists=F.col("o"), both_lineups=(F.size("lineup") > 0) & (F.size("s_lineup") > 0))
-    best = decisions.best_match(pairs.select("candidate_id", "s_id", confidence.alias("duplicate_confidence")), "candidate_id", "duplicate_confidence", "s_id")
-    out = a.drop("night").join(best.withColumnRenamed("s_id", "duplicate_of"), "candidate_id", "left")
-    return out.withColumn("duplicate_confidence", F.coalesce("duplicate_confidence", F.lit("none")))
+    """With published, duplicate_of, duplicate_in (stored or batch) and duplicate_confidence: each candidate against stored events and those of the batch published before it, in the order of candidate_id."""
+    room = lambda df: F.col("sub_venue") if "sub_venue" in df.columns else F.lit(None).cast("string")
+    made = lambda df, key: matching.features(df, key, F.col("start"), F.col("venue_id"), room(df), F.col("title"), F.col("lineup"), F.array("url"))
+    able = rows.select(F.col("candidate_id").alias("id"), (F.col("decision") == "auto_publish").alias("eligible"))
+    own = checkpointed(made(rows, "candidate_id").join(able, "id"))
+    found = matching.visible_in_batch(own, made(stored, "event_id"))
+    return rows.join(found.withColumnRenamed("id", "candidate_id"), "candidate_id")
 
 
 def decided(rows: DataFrame) -> DataFrame:
-    """With relevance, decision and hold_reason."""
-    words = F.concat_ws(" ", "title", F.array_join("lineup", " "), "description")
-    explicit = words.rlike(rf"(?i){rules.B}(?:dj|djs|rave|b2b|open decks?|club ?night|klubaften|all night long){rules.E}")
-    contrary = words.rlike(rf"(?i){rules.B}(?:rock|metal|punk|country|folk|jazz|opera|pop|r&b){rules.E}")
-    out = rows.withColumn("relevance", rules.relevance_level(explicit, F.col("genre"), explicit, contrary, F.lit(False)))
+    """With relevance, decision and hold_reason, from what the text says in its context."""
+    words = F.concat_ws(". ", "title", "description")
+    out = relevance.with_signals(rows.withColumn("_words", words), "_words", "lineup")
+    no = F.lit(False)
+    out = out.withColumn("relevance", relevance.assessed(F.col("genre"), F.lit(True), no, no))
     here = lambda c: F.col(c).isNotNull()
     out = out.withColumn("decision", decisions.quality_gate(F.coalesce(F.col("title") != "", F.lit(False)), here("start"), here("venue_id"), here("url"), F.col("relevance") != "none", F.col("genre_confidence")))
-    reason = F.when(contrary & (F.col("relevance") == "none"), "negative_relevance").when(~(here("start") & here("venue_id") & here("url")), "incomplete_data").when(F.col("genre").isNull(), "no_genre_evidence").otherwise("low_confidence")
-    return out.withColumn("hold_reason", F.when(F.col("decision") == "hold", reason))
+    reason = F.when(F.col("contrary") & (F.col("relevance") == "none"), "negative_relevance").when(~(here("start") & here("venue_id") & here("url")), "incomplete_data").when(F.col("genre").isNull(), "no_genre_evidence").otherwise("low_confidence")
+    return out.withColumn("hold_reason", F.when(F.col("decision") == "hold", reason)).drop("_words", *relevance.SIGNALS)
 
 
 def ingest_pipeline(raw: DataFrame, registry: DataFrame, stored: DataFrame) -> DataFrame:
-    """raw: candidate_id, title, venue, start, url, lineup, description, genre_hint. The same chain serves a recheck of stored rows."""
-    return raw.transform(cleaned).transform(placed, registry).transform(classified).transform(compared, stored).transform(decided)
+    """raw: candidate_id (the order of the batch), title, venue, start, url, lineup, description, genre_hint. stored: event_id, title, venue_id, start, url, lineup and, if known, sub_venue."""
+    return raw.transform(cleaned).transform(placed, registry).transform(classified).transform(decided).transform(compared, stored)
 
 
 def enriched(rows: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
@@ -102,12 +98,6 @@ def style_genre(releases: DataFrame, key: str) -> DataFrame:
     return g.groupBy(key).agg(F.when(F.min("g") == F.max("g"), F.min("g")).alias("genre"))
 
 
-def visible_in_batch(rows: DataFrame, key: str = "url", order: str = "candidate_id") -> DataFrame:
-    """Rows of one batch with first_in_batch: the earliest row of the same key, which later ones must be matched to."""
-    first = rows.groupBy(key).agg(F.min(order).alias("first_in_batch"))
-    return rows.join(first, key, "left")
-
-
 def queue_patch(joined: DataFrame) -> DataFrame:
     """What a new classification changes in pending queue rows: title, venue and start unless locked; the genre only if its source speaks for itself or none was set."""
     authoritative = (F.col("new_genre_confidence") == "high") | F.col("old_genre").isNull()

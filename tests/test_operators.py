@@ -20,18 +20,6 @@ def test_insert_absent_and_set_plan(spark):
     assert {tuple(r) for r in plan.collect()} == {(1, "suppressed-delete", 1.0), (2, "update", 3.0), (3, "insert", 4.0)}
 
 
-def test_greedy_groups_are_not_transitive(spark):
-    df = spark.createDataFrame([("n", "a", 1, 0.0), ("n", "b", 2, 1.5), ("n", "c", 3, 3.0), ("n", "b", 4, 1.0)], "night string, source string, id int, start double")
-    out = decisions.greedy_groups(df, "night", ["id"], lambda a, b: abs(a["start"] - b["start"]) <= 2, "night string, source string, id int, start double, group_no int")
-    assert {r["id"]: r["group_no"] for r in out.collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
-
-
-def test_first_matches_use_each_row_once(spark):
-    df = spark.createDataFrame([("v", 1, "black"), ("v", 2, "red"), ("v", 3, "black"), ("v", 4, "red")], "block string, id int, room string")
-    out = decisions.first_matches(df, "block", ["id"], lambda r: r["room"] == "black", lambda r: r["room"] == "red", lambda a, b: True, "left_id int, right_id int")
-    assert {tuple(r) for r in out.collect()} == {(1, 2), (3, 4)}
-
-
 def test_series_keys(spark):
     df = spark.createDataFrame([("Deep Sea Sessions: Nina",), ("Nina x Otto",)], "t string")
     got = df.select(decisions.series_keys(F.col("t"), F.array(F.lit("sessions"))).alias("k")).collect()
