@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import spans
+
 B, E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: Patterns in the order in which they are tried, and the genre each stands for.
 GENRE_PATTERNS = [
@@ -50,9 +52,15 @@ def first_genre(text: Column, patterns: list[tuple[str, str]] = GENRE_PATTERNS)
     return F.coalesce(*[F.when(bare.rlike("(?i)" + p), F.lit(g)) for p, g in patterns])
 
 
-def genre_mentions(text: Column) -> Column:
-    """How many times a text names any genre."""
-    return F.regexp_count(text, F.lit("(?i)" + "|".join(f"(?:{p})" for p, _ in GENRE_PATTERNS)))
+def all_genres(text: Column) -> Column:
+    """array<struct<start, name>> of all genres named that don't overlap one of an earlier rule, by place."""
+    return spans.claims(text, GENRE_PATTERNS)
+
+
+def genre_names_masked(text: Column, names: Column) -> Column:
+    """text without those of the names that hold a genre word."""
+    telling = "(?iu)" + "|".join(f"(?:{p})" for p, _ in GENRE_PATTERNS)
+    return spans.masked(text, F.filter(names, lambda n: n.rlike(telling)))
 
 
 def language_votes(text: Column) -> tuple[Column, Column]:
@@ -87,8 +95,3 @@ def name_verdict(name: Column) -> Column:
 def appearance_bucket(not_artist: Column, venue: Column, handle: Column, title_copy: Column, marker: Column, weak: Column, short: Column) -> Column:
     """The bucket of an appearance, the first that holds."""
     return F.when(not_artist, "not_artist").when(venue, "venue").when(handle, "handle").when(title_copy & marker, "title_marker").when(marker, "marker").when(weak, "weak_split").when(short, "short").when(title_copy, "title_copy").otherwise("distinct")
-
-
-def relevance_level(explicit: Column, genre: Column, club: Column, negative: Column, weak: Column) -> Column:
-    """strong, weak or none: named genres and explicit words unless contradicted, then weaker hints."""
-    return F.when(negative & ~explicit, "none").when(explicit | (genre.isNotNull() & club), "strong").when(genre.isNotNull() | club | weak, "weak").otherwise("none")

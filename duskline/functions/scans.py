@@ -1,8 +1,6 @@
 """Text rules that look back or depend on other columns of a row, as Arrow functions.
 
-What has no form in the expression language: claims of spans in priority order,
-suppression by what stands before a match, masks made of a row's own names,
-line-by-line state. Patterns use ASCII word borders.
+Line-by-line state and blocks of text. Patterns use ASCII word borders.
 """
 
 from __future__ import annotations
@@ -13,64 +11,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rules import GENRE_PATTERNS, B, E
+from .rules import B, E
+
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
 _TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
-_GENRES = [(re.compile(p, re.I), g) for p, g in GENRE_PATTERNS]
-_COMPARED = re.compile(rf"{B}(?:like|fans of|influenced by|inspired by|reminiscent of|inspireret af|à la){E}[^.!?\n]{{0,40}}$", re.I)
-_HISTORIC = re.compile(rf"{B}(?:formerly|former|previously|started out|used to|tidligere){E}", re.I)
-#: Genres that speak against an electronic night.
-NEGATIVE = re.compile(rf"{B}(?:rock|metal|punk|country|folk|singer-songwriter|jazz|opera|pop|r&b|indie|blues){E}", re.I)
-
-
-@F.pandas_udf(T.ArrayType(_struct(genre=_TEXT, index=T.IntegerType())))
-def all_genres(texts: pd.Series) -> pd.Series:
-    """All mentions that don't overlap one of an earlier rule, by place."""
-
-    def one(text):
-        taken, out = [], []
-        for pattern, genre in _GENRES:
-            for m in pattern.finditer(text or ""):
-                if all(m.end() <= s or m.start() >= e for s, e in taken):
-                    taken.append(m.span())
-                    out.append({"genre": genre, "index": m.start()})
-        return sorted(out, key=lambda x: x["index"])
-
-    return texts.map(one)
-
-
-@F.pandas_udf(T.StringType())
-def names_masked(texts: pd.Series, names: pd.Series) -> pd.Series:
-    """Texts without those of the row's names that hold a genre word."""
-
-    def one(text, own):
-        for name in sorted(own if own is not None else [], key=len, reverse=True):
-            if name and any(p.search(name) for p, _ in _GENRES):
-                text = re.sub(rf"{B}{re.escape(name)}{E}", " ", text or "", flags=re.I)
-        return text
-
-    return pd.Series([one(t, n) for t, n in zip(texts, names, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.BooleanType())
-def contextual_negative(texts: pd.Series, names: pd.Series) -> pd.Series:
-    """Whether a text names a contrary genre, other than in a comparison, a credit of the past or one of the row's names."""
-
-    def one(text, own):
-        text = text or ""
-        spans = [m.span() for n in (own if own is not None else []) if n for m in re.finditer(re.escape(n), text, re.I)]
-        for m in NEGATIVE.finditer(text):
-            sentence = text[max(text.rfind(c, 0, m.start()) for c in ".!?\n") + 1 : m.end()]
-            if any(s <= m.start() and m.end() <= e for s, e in spans) or _COMPARED.search(text[max(0, m.start() - 60) : m.start()]) or _HISTORIC.search(sentence):
-                continue
-            return True
-        return False
-
-    return pd.Series([one(t, n) for t, n in zip(texts, names, strict=True)], dtype=bool)
 
 
 @F.pandas_udf(T.ArrayType(_struct(room=_TEXT, artists=_TEXTS)))
@@ -111,30 +59,6 @@ def video_match(names: pd.Series, titles: pd.Series, channels: pd.Series) -> pd.
     return pd.DataFrame({"accepted": [r[0] for r in rows], "reasons": [r[1] for r in rows]})
 
 
-_PROFILE = re.compile(r"^https?://(?:www\.|m\.)?soundcloud\.com/([\w-]+)/?(?:[?#].*)?$", re.I)
-
-
-@F.pandas_udf(_struct(url=_TEXT, rejected=_TEXT))
-def profile_url(links: pd.Series) -> pd.DataFrame:
-    """A link as an artist's profile in normal form, or why it is none."""
-
-    def one(link):
-        link = (link or "").strip()
-        if not link:
-            return None, "empty"
-        if "soundcloud.com" not in link.lower():
-            return None, "other-host"
-        m = _PROFILE.match(link)
-        if not m:
-            return None, "not-a-profile"
-        if m[1].lower() in ("discover", "search", "you", "upload", "pages", "terms-of-use"):
-            return None, "reserved"
-        return f"https://soundcloud.com/{m[1].lower()}", None
-
-    rows = [one(x) for x in links]
-    return pd.DataFrame({"url": [r[0] for r in rows], "rejected": [r[1] for r in rows]})
-
-
 @F.pandas_udf(T.ArrayType(_struct(type=_TEXT, text=_TEXT, items=_TEXTS)))
 def description_blocks(texts: pd.Series) -> pd.Series:
     """A description as headings, paragraphs and lists."""

@@ -42,10 +42,6 @@ def slug(decomposed: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def event_slug(title: Column, venue: Column, start_text: Column, city: str) -> Column:
-    return F.concat_ws("-", slug(title), slug(venue), slug(F.lit(city)), F.substring(start_text, 1, 10))
-
-
 def without_url_noise(name: Column) -> Column:
     """A name without zero-width characters, URLs and the separators they leave."""
     bare = F.regexp_replace(name, r"[​-‏⁠﻿]", "")
@@ -135,6 +131,18 @@ def valid_url(text: Column) -> Column:
     return F.coalesce(F.trim(text).rlike(r"(?i)^https?://[^\s/?#]+\S*$"), F.lit(False))
 
 
+#: Paths of a profile host that are no profiles.
+RESERVED_PROFILES = ["discover", "search", "you", "upload", "pages", "terms-of-use"]
+
+
+def profile(link: Column) -> Column:
+    """struct<url, rejected>: a link as an artist's profile in normal form, or why it is none."""
+    bare = F.trim(F.coalesce(link, F.lit("")))
+    handle = F.lower(F.regexp_extract(bare, r"(?i)^https?://(?:www\.|m\.)?soundcloud\.com/([\w-]+)/?(?:[?#].*)?$", 1))
+    why = F.when(bare == "", "empty").when(~F.contains(F.lower(bare), F.lit("soundcloud.com")), "other-host").when(handle == "", "not-a-profile").when(handle.isin(*RESERVED_PROFILES), "reserved")
+    return F.struct(F.when(why.isNull(), F.concat(F.lit("https://soundcloud.com/"), handle)).alias("url"), why.alias("rejected"))
+
+
 def shortened(text: Column, most: int = 400) -> Column:
     """White space collapsed, at most so many characters and an ellipsis."""
     flat = squeezed(text)
@@ -192,7 +200,3 @@ def html_text(html: Column) -> Column:
 def anchors(html: Column) -> Column:
     """The targets of a page's links, in order."""
     return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-
-
-def jsonld_blocks(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))

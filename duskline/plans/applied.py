@@ -19,13 +19,14 @@ def _listed_strings(values) -> str:
 
 
 @query("""
-WITH f AS (SELECT user_id, event_id % 2000 + 1 AS part, min(ts) AS since FROM events WHERE event_type = 'view' GROUP BY ALL)
+WITH f AS (SELECT user_id, event_id % (SELECT count(*) FROM part) AS part, min(ts) AS since FROM events WHERE event_type = 'view' GROUP BY ALL)
 SELECT user_id, o_orderkey, min(l_partkey) AS first_artist, count(DISTINCT l_partkey) AS artists FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN f ON f.part = l_partkey JOIN customer ON c_custkey = user_id
 WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate <= o_orderdate + INTERVAL 60 DAY AND p_size > 5 AND c_acctbal > 0 AND since < TIMESTAMP '2024-01-20 00:00:00' GROUP BY ALL""")
 def alert_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-9: events, their appearances, the artists, those who follow them and are subscribed, as one row for each follower and event."""
     stamp = lambda s: F.lit(s).cast("timestamp")
-    follows = load(spark, sf_dir, "events").where("event_type = 'view'").groupBy("user_id", (F.col("event_id") % 2000 + 1).alias("l_partkey")).agg(F.min("ts").alias("since")).where(F.col("since") < stamp("2024-01-20 00:00:00"))
+    parts = load(spark, sf_dir, "part").count()
+    follows = load(spark, sf_dir, "events").where("event_type = 'view'").groupBy("user_id", (F.col("event_id") % parts).alias("l_partkey")).agg(F.min("ts").alias("since")).where(F.col("since") < stamp("2024-01-20 00:00:00"))
     subscribed = follows.join(load(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id")), "user_id")
     artists = load(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
     orders = load(spark, sf_dir, "orders").where(F.col("o_orderdate") >= stamp("1996-01-01 00:00:00")).select("o_orderkey", "o_orderdate")
@@ -204,15 +205,6 @@ def explorer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.apply(e, filters.parse(_ASKED), now()).select("event_id")
 
 
-@query("""
-WITH s AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS explicit, CASE WHEN o_orderkey % 3 = 0 THEN 'techno' END AS genre, o_orderkey % 5 = 0 AS club, o_orderkey % 7 = 0 AS negative, o_orderkey % 11 = 0 AS weak FROM orders)
-SELECT o_orderkey, CASE WHEN negative AND NOT explicit THEN 'none' WHEN explicit OR (genre IS NOT NULL AND club) THEN 'strong' WHEN genre IS NOT NULL OR club OR weak THEN 'weak' ELSE 'none' END AS relevance FROM s""")
-def relevance_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLS-8: how relevant a row is by its hints."""
-    k = F.col("o_orderkey")
-    return load(spark, sf_dir, "orders").select("o_orderkey", rules.relevance_level(k % 2 == 0, F.when(k % 3 == 0, "techno"), k % 5 == 0, k % 7 == 0, k % 11 == 0).alias("relevance"))
-
-
 @query(f"""
 WITH m AS (SELECT l_orderkey, MAP {{{{{", ".join(f"'{k}': '{v}'" for k, v in pipeline.STYLES.items())}}}}}[{_listed_strings([*pipeline.STYLES, "Unmapped"])}[(l_partkey * l_linenumber) % {len(pipeline.STYLES) + 1} + 1]] AS g FROM lineitem)
 SELECT l_orderkey, CASE WHEN min(g) = max(g) THEN min(g) END AS genre FROM m GROUP BY l_orderkey""")

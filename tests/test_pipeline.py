@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from duskline.functions import filters, scans
+from duskline.functions import filters, rules
 from duskline.operators import pipeline
 
 T = dt.datetime
@@ -46,15 +46,13 @@ def test_filters_round_trip(spark):
 
 def test_small_decisions(spark):
     df = spark.createDataFrame([("techno then disco", "techno"), ("techno, house, disco", "techno"), ("deep house and tech house", "house")], "t string, p string")
-    got = df.select(pipeline.secondary_genre(scans.all_genres("t"), F.col("p")).alias("s")).collect()
+    got = df.select(pipeline.secondary_genre(rules.all_genres(F.col("t")), F.col("p")).alias("s")).collect()
     assert [r["s"] for r in got] == ["disco", None, None]
     releases = spark.createDataFrame([("a", ["Techno", "Odd"]), ("a", ["Techno"]), ("b", ["House", "Disco"])], "k string, styles array<string>")
     assert {r["k"]: r["genre"] for r in pipeline.style_genre(releases, "k").collect()} == {"a": "techno", "b": None}
     links = spark.range(1).select(pipeline.external_links(F.lit("https://a.b/x"), F.lit("http://www.a.b/x/"), F.lit(None).cast("string"), F.array(F.lit("https://c.d"))).alias("l")).first()["l"]
     assert [(x["role"], x["url"]) for x in links] == [("official", "https://a.b/x"), ("other", "https://c.d")]
     assert spark.range(1).select(pipeline.display_title(F.lit("The Hall: Night"), F.lit("the hall")).alias("t")).first()["t"] == "Night"
-    batch = pipeline.visible_in_batch(spark.createDataFrame([(1, "u"), (2, "u"), (3, "w")], "candidate_id int, url string"))
-    assert {r["candidate_id"]: r["first_in_batch"] for r in batch.collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_alert_plan(spark):
