@@ -233,21 +233,21 @@ def headliners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT c_custkey, min(c_acctbal) AS bal, min(c_mktsegment) AS seg FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1), n AS (SELECT c_custkey, min(c_acctbal) + 1 AS bal, 'NEW' AS seg FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1)
+WITH s AS (SELECT c_custkey, min(c_acctbal) AS bal, min(c_mktsegment) AS seg FROM customer WHERE c_custkey % 3 <> 1 GROUP BY 1), n AS (SELECT c_custkey, min(c_acctbal) + 1 AS bal, 'NEW' AS seg FROM customer WHERE c_custkey % 3 <> 2 GROUP BY 1)
 SELECT c_custkey, CASE WHEN n.c_custkey IS NOT NULL AND (s.c_custkey IS NULL OR s.bal > 0) THEN n.bal ELSE s.bal END AS bal, coalesce(s.seg, n.seg) AS seg FROM s FULL JOIN n USING (c_custkey)""")
 def guarded_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-2, SNK-3: an upsert with a guard and a column that keeps its first value."""
     c = load(spark, sf_dir, "customer")
-    stored = c.where("c_custkey % 2 = 0").groupBy("c_custkey").agg(F.min("c_acctbal").alias("bal"), F.min("c_mktsegment").alias("seg"))
-    new = c.where("c_custkey % 3 = 0").groupBy("c_custkey").agg((F.min("c_acctbal") + 1).alias("bal"), F.lit("NEW").alias("seg"))
+    stored = c.where("c_custkey % 3 <> 1").groupBy("c_custkey").agg(F.min("c_acctbal").alias("bal"), F.min("c_mktsegment").alias("seg"))
+    new = c.where("c_custkey % 3 <> 2").groupBy("c_custkey").agg((F.min("c_acctbal") + 1).alias("bal"), F.lit("NEW").alias("seg"))
     return joins.upsert(stored, new, ["c_custkey"], keep_first=("seg",), guard=F.col("old.bal") > 0)
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0""")
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 1 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 1""")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-4."""
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return joins.insert_absent(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_name", F.lit("new")), ["c_custkey"])
+    return joins.insert_absent(c.where("c_custkey % 3 <> 1"), c.where("c_custkey % 3 <> 2").withColumn("c_name", F.lit("new")), ["c_custkey"])
 
 
 @query("""SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1998-01-01') AND NOT (o_orderstatus = 'P' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40))""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genres, text, time
 from ..operators import joins
-from ..sources.tables import load
+from ..sources.tables import checkpointed, load
 from .reads import GENRE_OF, _tags, tags_of
 from .registry import listed, query
 
@@ -152,51 +152,59 @@ def route_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.unionByName(c).unionByName(fixed)
 
 
-_line_words = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1)))"
+_text_words = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1)))"
 
 
-def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the sorted set of words of a document's first line."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.lower(F.substring_index("text", "\n", 1)).alias("line"))
+def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang and the sorted set of words of a document's whole text."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.lower("text").alias("line"))
     plain = F.trim(F.regexp_replace(F.regexp_replace("line", r"[^a-z0-9\s]", ""), r"\s+", " "))
     return d.select("doc_id", "source", "lang", F.array_sort(F.array_distinct(F.filter(F.split(plain, " "), lambda x: F.length(x) > 1))).alias("w")).where(F.size("w") > 0)
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, source, lang, {_line_words} AS w FROM documents)
+WITH t AS (SELECT doc_id, source, lang, {_text_words} AS w FROM documents)
 SELECT min(doc_id) AS class_id, count(*) AS members, any_value(source) AS source, any_value(lang) AS lang FROM t WHERE len(w) > 0 GROUP BY source, lang, w""")
 def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-3: documents of one source and language whose first lines have the same words, as one class named by its smallest id."""
-    g = line_words(spark, sf_dir).groupBy("source", "lang", F.array_join("w", " ").alias("key")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
+    """SET-3: documents of one source and language whose texts have the same words, as one class named by its smallest id. Sets are grouped by digest, so that they aren't shuffled."""
+    g = text_words(spark, sf_dir).groupBy("source", "lang", F.sha2(F.array_join("w", " "), 256).alias("key")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
     return g.select("class_id", "members", "source", "lang")
 
 
+#: From which Jaccard similarity on word sets are put out as a pair.
+SIMILAR = 0.8
+
+
 @query(f"""
-WITH t AS (SELECT doc_id, source, lang, {_line_words} AS w FROM documents), c AS (SELECT min(doc_id) AS id, source, lang, w FROM t WHERE len(w) > 0 GROUP BY source, lang, w),
-p AS (SELECT a.id AS a_class, b.id AS b_class, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS na, len(b.w) AS nb FROM c a JOIN c b ON a.source = b.source AND a.lang = b.lang AND a.id < b.id)
-SELECT a_class, b_class, round(k / (na + nb - k), 6) AS jaccard, round(k / least(na, nb), 6) AS overlap FROM p WHERE k / (na + nb - k) >= 0.5""")
+WITH t AS (SELECT doc_id, source, lang, {_text_words} AS w FROM documents), c AS (SELECT min(doc_id) AS id, source, lang, w FROM t WHERE len(w) > 0 GROUP BY source, lang, w),
+p AS (SELECT a.id AS a_class, b.id AS b_class, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS na, len(b.w) AS nb FROM c a JOIN c b ON a.source = b.source AND a.lang = b.lang AND a.id < b.id AND len(a.w) >= {SIMILAR} * len(b.w) AND len(b.w) >= {SIMILAR} * len(a.w))
+SELECT a_class, b_class, round(k / (na + nb - k), 6) AS jaccard, round(k / least(na, nb), 6) AS overlap FROM p WHERE k / (na + nb - k) >= {SIMILAR}""")
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-3, STR-6: similar first lines within a source and language, as pairs of token_classes.
+    """SET-3, STR-6: similar word sets of whole texts within a source and language, as pairs of token_classes.
 
-    Lines of the same words are one class, so copies make no pairs. Sets with a
-    Jaccard of 0.5 share at least half of the larger one, so they share one of
-    the rarest words of either (prefix filter): candidates meet on those.
+    Texts of the same words are one class, so copies make no pairs. Sets with a
+    Jaccard of t share at least t of the larger one, so they share one of the
+    (1 - t) n + 1 rarest words of either (prefix filter): ids meet on those, and
+    only pairs that met, of sizes that allow t, get their sets.
     """
     keys = ["source", "lang"]
-    w = line_words(spark, sf_dir).groupBy(*keys, F.array_join("w", " ").alias("key")).agg(F.min("doc_id").alias("id")).withColumn("w", F.split("key", " ")).drop("key")
-    words = w.select("id", *keys, "w", F.explode("w").alias("word"))
+    w = text_words(spark, sf_dir).withColumn("key", F.sha2(F.array_join("w", " "), 256))
+    one = w.groupBy(*keys, "key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    sets = checkpointed(w.join(one, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), *keys, "w", F.size("w").alias("n")))
+    words = sets.select("id", *keys, "n", F.explode("w").alias("word"))
     rare = words.groupBy(*keys, "word").agg(F.count("*").alias("f"))
-    ranked = words.join(rare, [*keys, "word"]).groupBy("id", *keys).agg(F.first("w").alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("f", "word"))), lambda x: x["word"]).alias("by_rarity"))
-    prefix = F.slice("by_rarity", 1, F.size("w") - F.ceil(F.size("w") / 2).cast("int") + 1)
-    keyed = ranked.select("id", *keys, "w", F.explode(prefix).alias("word"))
-    a, b = keyed.select(*keys, "word", F.col("id").alias("a_class"), F.col("w").alias("a_w")), keyed.select(*keys, "word", F.col("id").alias("b_class"), F.col("w").alias("b_w"))
-    pairs = a.join(b, [*keys, "word"]).where("a_class < b_class").dropDuplicates(["a_class", "b_class"])
-    out = pairs.select("a_class", "b_class", text.jaccard(F.col("a_w"), F.col("b_w")).alias("j"), text.overlap(F.col("a_w"), F.col("b_w")).alias("o"))
-    return out.where("j >= 0.5").select("a_class", "b_class", F.round("j", 6).alias("jaccard"), F.round("o", 6).alias("overlap"))
+    ranked = words.join(rare, [*keys, "word"]).groupBy("id", *keys, "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("by_rarity"))
+    prefix = F.slice("by_rarity", 1, F.col("n") - F.ceil(F.col("n") * SIMILAR).cast("int") + 1)
+    keyed = ranked.select("id", *keys, "n", F.explode(prefix).alias("x")).select("id", *keys, "n", F.col("x.word").alias("word"))
+    a, b = (keyed.select(*keys, "word", F.col("id").alias(f"{s}_class"), F.col("n").alias(f"{s}_n")) for s in "ab")
+    met = a.join(b, [*keys, "word"]).where((F.col("a_class") < F.col("b_class")) & (F.col("a_n") >= F.col("b_n") * SIMILAR) & (F.col("b_n") >= F.col("a_n") * SIMILAR)).select("a_class", "b_class").distinct()
+    side = lambda s: sets.select(F.col("id").alias(f"{s}_class"), F.col("w").alias(f"{s}_w"))
+    out = met.join(side("a"), "a_class").join(side("b"), "b_class").select("a_class", "b_class", text.jaccard(F.col("a_w"), F.col("b_w")).alias("j"), text.overlap(F.col("a_w"), F.col("b_w")).alias("o"))
+    return out.where(F.col("j") >= SIMILAR).select("a_class", "b_class", F.round("j", 6).alias("jaccard"), F.round("o", 6).alias("overlap"))
 
 
 @query("""
-WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS q FROM lineitem WHERE l_orderkey % 2 = 0), o AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity + 1 ELSE l_quantity END AS q FROM lineitem WHERE l_orderkey % 3 = 0),
+WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS q FROM lineitem WHERE l_orderkey % 3 <> 1), o AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity + 1 ELSE l_quantity END AS q FROM lineitem WHERE l_orderkey % 3 <> 2),
 ss AS (SELECT l_orderkey, l_linenumber, min(q) AS q FROM s GROUP BY ALL), oo AS (SELECT l_orderkey, l_linenumber, min(q) AS q FROM o GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, CASE WHEN ss.q IS NULL THEN 'insert' WHEN oo.q IS NULL THEN CASE WHEN l_orderkey % 4 = 0 THEN 'delete' ELSE 'suppressed-delete' END WHEN ss.q = oo.q THEN 'keep' ELSE 'update' END AS action, coalesce(oo.q, ss.q) AS q FROM ss FULL JOIN oo USING (l_orderkey, l_linenumber)""")
 def set_diff_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +212,8 @@ def set_diff_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = load(spark, sf_dir, "lineitem")
     q = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
     keys = ["l_orderkey", "l_linenumber"]
-    stored = line.where("l_orderkey % 2 = 0").groupBy(*keys).agg(F.min("l_quantity").alias("q"))
-    observed = line.where("l_orderkey % 3 = 0").groupBy(*keys).agg(F.min(q).alias("q"))
+    stored = line.where("l_orderkey % 3 <> 1").groupBy(*keys).agg(F.min("l_quantity").alias("q"))
+    observed = line.where("l_orderkey % 3 <> 2").groupBy(*keys).agg(F.min(q).alias("q"))
     return joins.set_plan(stored, observed, keys, "q", F.col("l_orderkey") % 4 == 0)
 
 
@@ -226,11 +234,11 @@ def lock_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT l_orderkey, lower(trim(p_name)) AS key, min(l_linenumber * 1000000 + p_partkey) AS pos, arg_min(p_name, l_linenumber * 1000000 + p_partkey) AS name FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
-SELECT l_orderkey, string_agg(name, '|' ORDER BY pos) AS names FROM n GROUP BY l_orderkey""")
+WITH l AS (SELECT l_orderkey, lower(trim(p_name)) AS key, p_name, l_linenumber, p_partkey, row_number() OVER (PARTITION BY l_orderkey, lower(trim(p_name)) ORDER BY l_linenumber, p_partkey) AS rn FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey, string_agg(p_name, '|' ORDER BY l_linenumber, p_partkey) AS names FROM l WHERE rn = 1 GROUP BY l_orderkey""")
 def first_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-7: the first spelling of each name of a line-up, in order."""
-    pos = F.col("l_linenumber").cast("long") * 1_000_000 + F.col("p_partkey")
+    pos = F.struct("l_linenumber", "p_partkey")
     n = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey", F.lower(F.trim("p_name")).alias("key")).agg(F.min(pos).alias("pos"), F.min_by("p_name", pos).alias("name"))
     return n.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), "|").alias("names"))
 

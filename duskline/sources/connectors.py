@@ -8,70 +8,119 @@ only then may rows that were not seen again be taken for gone.
 from __future__ import annotations
 
 import json
-import os
-import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CANDIDATE = "title string, venue string, start string, end string, url string, lineup array<string>, genre_hint string, cancelled boolean"
 
 
-class Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+class Pages:
+    """A folder of a feed's pages, one file each, written through Hadoop's file systems, so on any store that Spark can read."""
 
-
-class PagedReader(DataSourceReader):
-    """Reads a feed's pages, one partition each, up to a limit. A page that can't be read is a problem row, not an error; so is a missing page before a later one, and the limit if the last page within it has items or later pages exist."""
-
-    def __init__(self, options: dict):
-        self.path, self.pages = options["path"], int(options.get("pages", 25))
-
-    def partitions(self) -> list[Page]:
-        return [Page(i + 1) for i in range(self.pages)]
-
-    def read(self, partition: Page) -> Iterator[tuple]:
-        try:
-            with open(f"{self.path}/page-{partition.number}.json", encoding="utf-8") as f:
-                page = json.load(f)
-        except FileNotFoundError:
-            if self.last() > partition.number:
-                yield partition.number, None, None, "missing page before a later one"
-            return
-        except (OSError, ValueError) as e:
-            yield partition.number, None, None, f"{type(e).__name__}: {e}"
-            return
-        for item in page.get("items", []):
-            yield partition.number, json.dumps(item), page.get("total"), None
-        if partition.number == self.pages and (page.get("items") or self.last() > self.pages):
-            yield partition.number, None, page.get("total"), f"stopped at {self.pages} pages"
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def last(self) -> int:
-        """The highest page number there is."""
-        found = (re.fullmatch(r"page-(\d+)\.json", name) for name in os.listdir(self.path))
-        return max((int(m[1]) for m in found if m), default=0)
-
-
-class PagedFeed(DataSource):
-    """spark.read.format("paged_feed").option("path", ...): page, item (JSON), declared, problem."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_feed"
-
-    def schema(self) -> str:
-        return "page int, item string, declared long, problem string"
-
-    def reader(self, schema) -> PagedReader:
-        return PagedReader(self.options)
-
-
-def paged_feed(spark: SparkSession, path: str, pages: int = 25) -> DataFrame:
-    spark.dataSource.register(PagedFeed)
-    return spark.read.format("paged_feed").option("path", path).option("pages", pages).load()
+        """The number of the last page there is, by doubling and halving; pages are landed in order."""
+        if not self._there(1):
+            return 0
+        low, high = 1, 2
+        while self._there(high):
+            low, high = high, 2 * high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self._there(middle) else (low, middle)
+        return low
+
+    def _file(self, number: int):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self._at, f"page-{number}.json")
+
+    def _there(self, number: int) -> bool:
+        return self._fs.exists(self._file(number))
+
+    def read(self, number: int) -> dict:
+        stream = self._fs.open(self._file(number))
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
+
+    def land(self, number: int, page: dict) -> None:
+        """Writes a page aside and renames it, so that a stream never reads a part of one."""
+        aside = self.spark._jvm.org.apache.hadoop.fs.Path(self._at, f"_page-{number}")
+        out = self._fs.create(aside, True)
+        try:
+            out.write(bytearray(json.dumps(page).encode()))
+        finally:
+            out.close()
+        self._fs.rename(aside, self._file(number))
+
+
+class FetchFailed(RuntimeError):
+    """A page could not be fetched; those before it are landed."""
+
+
+def land_pages(pages: Pages, fetch: Callable[[str | None], dict], limit: int, cursor: Callable[[dict], str], retries: int = 1, wait: float = 2.0) -> int:
+    """Fetches a feed page by page, from where the last run was cut, and lands each page; the number of pages there are.
+
+    fetch(cursor) gives a page with items, at most limit; cursor(item) is what
+    the next page comes after. The feed ends with a page that is not full, or one that
+    doesn't get further; there is no cap. A page that fails is tried again, then
+    ends the run with FetchFailed; PermissionError is not tried again.
+    """
+    number = pages.last()
+    before = pages.read(number) if number else None
+    at = cursor(before["items"][-1]) if before and before["items"] else None
+    while before is None or len(before["items"]) >= limit:
+        for attempt in range(retries + 1):
+            try:
+                page = fetch(at)
+                break
+            except PermissionError as e:
+                raise FetchFailed(f"page {number + 1}: {e}") from e
+            except Exception as e:  # noqa: BLE001  whatever a client raises
+                if attempt == retries:
+                    raise FetchFailed(f"page {number + 1}: {e}") from e
+                time.sleep(wait)
+        reached = cursor(page["items"][-1]) if page.get("items") else None
+        if number and (reached is None or reached == at):
+            break
+        number += 1
+        pages.land(number, page)
+        before, at = {"items": page.get("items") or []}, reached
+    return number
+
+
+_PAGE = "total long, items array<string>, broken string"
+
+
+def page_rows(files: DataFrame) -> DataFrame:
+    """page, item (JSON), declared, problem: a row for each item of whole-text files page-N.json, and for each that is no JSON. Of a stream too."""
+    read = files.select(F.regexp_extract(F.col("_metadata.file_name"), r"page-(\d+)\.json", 1).cast("int").alias("page"), F.from_json("value", _PAGE, {"columnNameOfCorruptRecord": "broken"}).alias("p"))
+    bad = F.col("p").isNull() | F.col("p.broken").isNotNull()
+    none = F.array().cast("array<string>")
+    items = F.when(bad, F.array(F.lit(None).cast("string"))).otherwise(F.coalesce("p.items", none))
+    return read.select("page", F.explode(items).alias("item"), F.col("p.total").alias("declared"), F.when(bad, "not JSON").alias("problem"))
+
+
+def paged_feed(spark: SparkSession, path: str) -> DataFrame:
+    """page, item (JSON), declared, problem of all pages in a folder; a page missing before a later one is a problem."""
+    files = spark.read.option("wholetext", True).text(f"{path}/page-*.json")
+    there = files.select(F.regexp_extract(F.col("_metadata.file_name"), r"page-(\d+)\.json", 1).cast("int").alias("page"))
+    every = there.agg(F.max("page").alias("last")).select(F.explode(F.sequence(F.lit(1), F.col("last"))).alias("page"))
+    gaps = every.join(there, "page", "left_anti")
+    none = F.lit(None)
+    return page_rows(files).unionByName(gaps.select("page", none.cast("string").alias("item"), none.cast("long").alias("declared"), F.lit("missing page before a later one").alias("problem")))
+
+
+def page_stream(spark: SparkSession, path: str, each: int = 100) -> DataFrame:
+    """The same as a stream of the pages landed, so many files a batch; its checkpoint knows which it has had. Files are told apart by name, so a page is taken once."""
+    return page_rows(spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", each).option("pathGlobFilter", "page-*.json").text(path))
 
 
 def candidates(feed: DataFrame, schema: str = CANDIDATE) -> DataFrame:
@@ -86,9 +135,18 @@ def fetch_state(feed: DataFrame, *keys: str) -> DataFrame:
     return state.withColumn("complete", (F.col("items") > 0) & (F.col("problems") == 0) & (F.col("items") >= F.coalesce("declared", F.col("items"))))
 
 
-def json_feed(spark: SparkSession, path: str, schema: str = CANDIDATE) -> DataFrame:
-    """A flat feed of one JSON object a line."""
-    return spark.read.schema(schema).json(path).where("title IS NOT NULL")
+def in_city(rows: DataFrame, city: Column, cities: list[str], postal: Column, codes: tuple[int, int]) -> DataFrame:
+    """Rows in one of the cities by name, or by postal code where no city is named."""
+    named = F.lower(F.trim(city))
+    code = F.regexp_extract(postal, r"\d{4}", 0).try_cast("int")
+    return rows.where(F.when(F.coalesce(named, F.lit("")) != "", F.exists(F.array(*map(F.lit, cities)), lambda c: F.contains(named, c))).otherwise(F.coalesce(code.between(*codes), F.lit(False))))
+
+
+def category_genre(category: Column, genres_of: dict[str, str], text_genre: Column) -> tuple[Column, Column]:
+    """(genre, kind of evidence) of a listing: what its source's category stands for, else what its text names, which counts for less if the source has another category."""
+    mapped = F.try_element_at(F.create_map(*[F.lit(x) for pair in genres_of.items() for x in pair]), category)
+    kind = F.when(mapped.isNotNull(), "official-source-metadata").when(text_genre.isNotNull() & category.isNotNull(), "deterministic-mapping").when(text_genre.isNotNull(), "official-description")
+    return F.coalesce(mapped, text_genre), kind
 
 
 LD_EVENT = "`@type` string, name string, startDate string, endDate string, url string, location struct<name:string>, offers struct<url:string, price:double>, performer array<struct<name:string>>"

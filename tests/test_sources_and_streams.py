@@ -1,9 +1,10 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from duskline.functions import scans
+from duskline.functions import rules, scans, text
 from duskline.sources import connectors
 from duskline.streaming import runs
 
@@ -12,24 +13,83 @@ def test_paged_feed_knows_whether_it_is_whole(spark, tmp_path):
     item = lambda i: {"title": f"t{i}", "start": "2024-01-01T20:00:00Z", "lineup": ["a"]}
     for n in (1, 2):
         (tmp_path / f"page-{n}.json").write_text(json.dumps({"total": 4, "items": [item(2 * n), item(2 * n + 1)]}))
-    feed = connectors.paged_feed(spark, str(tmp_path), 5)
-    assert {r["title"] for r in connectors.candidates(feed).collect()} == {"t2", "t3", "t4", "t5"}
+    feed = connectors.paged_feed(spark, str(tmp_path))
+    assert {(r["title"], tuple(r["lineup"])) for r in connectors.candidates(feed).collect()} == {(f"t{i}", ("a",)) for i in range(2, 6)}
     assert connectors.fetch_state(feed).first()["complete"]
     (tmp_path / "page-3.json").write_text("{broken")
-    state = connectors.fetch_state(feed).first()
+    state = connectors.fetch_state(connectors.paged_feed(spark, str(tmp_path))).first()
     assert (state["complete"], state["problems"], state["items"]) == (False, 1, 4)
 
 
-def test_paged_feed_tells_of_the_cap_and_of_gaps(spark, tmp_path):
-    page = lambda n: (tmp_path / f"page-{n}.json").write_text(json.dumps({"items": [{"title": f"t{n}", "start": "2024-01-01T20:00:00Z"}]}))
-    for n in (1, 2, 3):
-        page(n)
-    state = lambda pages: tuple(connectors.fetch_state(connectors.paged_feed(spark, str(tmp_path), pages)).first())
-    assert state(2) == (2, None, 1, False)
-    assert state(3) == (3, None, 1, False)
-    assert state(4) == (3, None, 0, True)
-    page(5)
-    assert state(6) == (4, None, 1, False)
+def test_paged_feed_has_no_cap_and_tells_of_gaps(spark, tmp_path):
+    for n in [*range(1, 41), 43]:
+        (tmp_path / f"page-{n}.json").write_text(json.dumps({"items": [{"title": f"t{n}", "start": "2024-01-01T20:00:00Z"}] * (n != 40)}))
+    feed = connectors.paged_feed(spark, str(tmp_path))
+    assert sorted(r["page"] for r in feed.where("problem IS NOT NULL").collect()) == [41, 42]
+    assert tuple(connectors.fetch_state(feed).first()) == (40, None, 2, False)
+
+
+class Api:
+    """A feed of so many items, 3 a page, that fails when told to."""
+
+    def __init__(self, items):
+        self.items, self.calls, self.failing = items, [], {}
+
+    def __call__(self, after):
+        self.calls.append(after)
+        if self.failing.get(after, 0):
+            self.failing[after] -= 1
+            raise ConnectionError("503")
+        at = 0 if after is None else int(after) + 1
+        return {"items": [{"id": str(i), "title": f"t{i}", "start": "2024-01-01"} for i in range(at, min(at + 3, self.items))]}
+
+
+def test_a_feed_cut_at_page_seven_goes_on_there(spark, tmp_path):
+    api, pages = Api(100), connectors.Pages(spark, f"file://{tmp_path}/pages")
+    api.failing = {"2": 1, "17": 5}
+    land = lambda: connectors.land_pages(pages, api, 3, lambda x: x["id"], wait=0)
+
+    def taken():
+        stream = connectors.page_stream(spark, f"{tmp_path}/pages", each=4)
+        keep = lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")
+        runs.run_available(stream, keep, f"{tmp_path}/checkpoint").awaitTermination(60)
+        return sorted(json.loads(r["item"])["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    with pytest.raises(connectors.FetchFailed, match="page 7"):
+        land()
+    assert pages.last() == 6 and taken() == sorted(map(str, range(18)))
+    api.failing, api.calls = {}, []
+    assert land() == 34 and api.calls[0] == "17" and len(api.calls) == 28
+    assert taken() == sorted(map(str, range(100)))
+    assert land() == 34 and connectors.fetch_state(connectors.paged_feed(spark, f"{tmp_path}/pages")).first()["items"] == 100
+
+
+def test_feeds_that_end_early_or_are_refused(spark, tmp_path):
+    def pages(name):
+        return connectors.Pages(spark, f"file://{tmp_path}/{name}")
+
+    assert connectors.land_pages(pages("empty"), Api(0), 3, lambda x: x["id"]) == 1
+    assert connectors.land_pages(pages("full"), Api(6), 3, lambda x: x["id"]) == 2
+    stuck = lambda after: {"items": [{"id": "9"}] * 3}
+    assert connectors.land_pages(pages("stuck"), stuck, 3, lambda x: x["id"]) == 1
+    calls = []
+
+    def refused(after):
+        calls.append(after)
+        raise PermissionError("401")
+
+    with pytest.raises(connectors.FetchFailed):
+        connectors.land_pages(pages("refused"), refused, 3, lambda x: x["id"], wait=0)
+    assert len(calls) == 1
+
+
+def test_cities_and_categories(spark):
+    rows = [(1, "København K", None), (2, "Aarhus", "1050"), (3, None, "DK-2100"), (4, None, None), (5, " ", "8000")]
+    df = spark.createDataFrame(rows, "id int, city string, postal string")
+    assert [r.id for r in connectors.in_city(df, F.col("city"), ["københavn", "copenhagen"], F.col("postal"), (1000, 2500)).orderBy("id").collect()] == [1, 3]
+    df = spark.createDataFrame([("edm", None), ("jazz", "house"), (None, "house"), ("jazz", None)], "c string, g string")
+    genre, kind = connectors.category_genre(F.col("c"), {"edm": "electronic-other"}, F.col("g"))
+    assert [tuple(r) for r in df.select(genre.alias("g"), kind.alias("k")).collect()] == [("electronic-other", "official-source-metadata"), ("house", "deterministic-mapping"), ("house", "official-description"), (None, None)]
 
 
 def test_json_ld(spark):
@@ -55,16 +115,16 @@ def test_free_text_dates(spark):
 
 
 def test_scans(spark):
-    rows = [("hard techno and techno, then house", ["House Of Lords"]), ("for fans of rock. Disco by House of Lords", ["House of Lords"]), ("a rock night", []), (None, None)]
+    rows = [("hard techno and techno, then house", ["House Of Lords"]), ("Disco by House of Lords", ["House of Lords"]), (None, None)]
     df = spark.createDataFrame(rows, "t string, n array<string>")
-    got = df.select(scans.all_genres("t").alias("g"), scans.names_masked("t", "n").alias("m"), scans.contextual_negative("t", "n").alias("neg")).collect()
-    assert [(x["genre"], x["index"]) for x in got[0]["g"]] == [("hard-techno", 0), ("techno", 16), ("house", 29)]
-    assert "house" not in got[1]["m"].lower() and [r["neg"] for r in got] == [False, False, True, False]
+    got = df.select(rules.all_genres(F.col("t")).alias("g"), rules.genre_names_masked(F.col("t"), F.col("n")).alias("m")).collect()
+    assert [[(x["name"], x["start"]) for x in r["g"]] for r in got] == [[("hard-techno", 0), ("techno", 16), ("house", 29)], [("disco", 0), ("house", 9)], []]
+    assert got[1]["m"] == "Disco by  "
     rooms = spark.createDataFrame([("MAIN ROOM\nAnn, Bob\nBack:\nCleo",)], "t string").select(scans.rooms_of("t").alias("r")).first()["r"]
     assert [(r["room"], r["artists"]) for r in rooms] == [("MAIN ROOM", ["Ann", "Bob"]), ("Back", ["Cleo"])]
     v = spark.createDataFrame([("Ann", "Ann live set", "x"), ("Ann", "Anna live", "x"), ("Ann", "Ann karaoke", "Ann")], "n string, t string, c string").select(scans.video_match("n", "t", "c").alias("v")).collect()
     assert [r["v"]["accepted"] for r in v] == [True, False, False]
-    p = spark.createDataFrame([("https://www.soundcloud.com/Ann/",), ("https://soundcloud.com/ann/track",), ("",)], "u string").select(scans.profile_url("u").alias("p")).collect()
+    p = spark.createDataFrame([("https://www.soundcloud.com/Ann/",), ("https://soundcloud.com/ann/track",), ("",)], "u string").select(text.profile(F.col("u")).alias("p")).collect()
     assert [(r["p"]["url"], r["p"]["rejected"]) for r in p] == [("https://soundcloud.com/ann", None), (None, "not-a-profile"), (None, "empty")]
     blocks = spark.createDataFrame([("LINE-UP\n\n- a\n- b\n\nSome text\nmore",)], "t string").select(scans.description_blocks("t").alias("b")).first()["b"]
     assert [b["type"] for b in blocks] == ["heading", "list", "paragraph"]
