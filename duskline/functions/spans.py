@@ -8,6 +8,7 @@ beside it. Everything stays in the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 from operator import or_
@@ -15,13 +16,20 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: What stands before the first and after the last letter of a word.
+_OPENS, _ENDS = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 NO_TEXTS = "array<string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: what a lambda refers to is otherwise worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word(pattern: str, any_case: bool = True) -> str:
-    """A pattern for Spark, with ASCII word edges for \\b."""
-    return ("(?iu)" if any_case else "") + pattern.replace(r"\b", _EDGE)
+    """A pattern for Spark, with ASCII word edges for \\b: one that begins an alternative opens a word, others end one."""
+    opened = re.sub(r"(^|[(|]|\(\?:)\\b", lambda m: m[1] + _OPENS, pattern)
+    return ("(?iu)" if any_case else "") + opened.replace(r"\b", _ENDS)
 
 
 def patterns(sources: list[str]) -> Column:
@@ -29,14 +37,19 @@ def patterns(sources: list[str]) -> Column:
 
 
 def any_of(sources: list[str]) -> str:
-    return word("|".join(f"(?:{p})" for p in sources))
+    """A pattern for any of the sources; the edge that most of them begin with is looked at once."""
+    edged = [p[2:] for p in sources if p.startswith(r"\b")]
+    others = [word(p, any_case=False) for p in sources if not p.startswith(r"\b")]
+    first = [_OPENS + "(?:" + "|".join(f"(?:{word(p, any_case=False)})" for p in edged) + ")"] if edged else []
+    return "(?iu)" + "|".join([*first, *(f"(?:{p})" for p in others)])
 
 
 def spans(text: Column, pattern: Column) -> Column:
     """All matches of a pattern, by place: the text between them and they themselves, measured."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     length = lambda texts: F.aggregate(texts, F.lit(0), lambda n, x: n + F.length(x))
-    return F.transform(found, lambda m, i: F.struct((length(F.slice(between, 1, i + 1)) + length(F.slice(found, 1, i))).alias("start"), m.alias("text")))
+    place = lambda v, i: length(F.slice(v["between"], 1, i + 1)) + length(F.slice(v["found"], 1, i))
+    both = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"))
+    return let(both, lambda v: F.transform(v["found"], lambda m, i: F.struct(place(v, i).alias("start"), m.alias("text"))))
 
 
 def before(text: Column, span: Column, most: int | None = None) -> Column:
@@ -53,14 +66,15 @@ def after(text: Column, span: Column, most: int) -> Column:
 
 def sentence_before(text: Column, span: Column) -> Column:
     """What stands before a span in its sentence."""
-    return F.regexp_extract(before(text, span), r"([^.!?:\n]*)\z", 1)
+    # read backwards from the span: a search for the end of the text would try every place before it
+    return F.reverse(F.regexp_extract(F.reverse(before(text, span)), r"^[^.!?:\n]*", 0))
 
 
 def amid_sentence(text: Column, span: Column) -> Column:
     """Whether a capital letter begins a span that doesn't begin a sentence: most likely part of a name."""
     first = F.substring(span["text"], 1, 1)
-    head = F.regexp_replace(before(text, span), r"\s+\z", "")
-    return (first != F.lower(first)) & (head != "") & ~head.rlike(r"[.!?:]\z")
+    last = F.regexp_extract(F.reverse(before(text, span)), r"^\s*(\S)", 1)
+    return (first != F.lower(first)) & (last != "") & ~last.isin(".", "!", "?", ":")
 
 
 def masked(text: Column, names: Column, least: int = 3) -> Column:
@@ -87,11 +101,10 @@ def claims(text: Column, ordered: list[tuple[str, str]]) -> Column:
     none = F.array().cast("array<struct<start:int,name:string>>")
 
     def claim(acc: Column, p: Column) -> Column:
-        found = spans(acc["rest"], p["pattern"])
-        between = F.split(acc["rest"], p["pattern"], -1)
-        blank = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, s: F.concat(b, F.repeat(F.lit("\x01"), F.length(s["text"])))), ""), F.element_at(between, -1))
-        mine = F.transform(found, lambda s: F.struct(s["start"].alias("start"), p["name"].alias("name")))
-        return F.when(F.rlike(acc["rest"], p["pattern"]), F.struct(blank.alias("rest"), F.concat(acc["found"], mine).alias("found"))).otherwise(acc)
+        blank = lambda v: F.concat(F.array_join(F.zip_with(F.slice(v["between"], 1, F.size(v["found"])), v["found"], lambda b, s: F.concat(b, F.repeat(F.lit("\x01"), F.length(s["text"])))), ""), F.element_at(v["between"], -1))
+        mine = lambda v: F.transform(v["found"], lambda s: F.struct(s["start"].alias("start"), p["name"].alias("name")))
+        both = F.struct(spans(acc["rest"], p["pattern"]).alias("found"), F.split(acc["rest"], p["pattern"], -1).alias("between"))
+        return F.when(F.rlike(acc["rest"], p["pattern"]), let(both, lambda v: F.struct(blank(v).alias("rest"), F.concat(acc["found"], mine(v)).alias("found")))).otherwise(acc)
 
     start = F.struct(F.coalesce(text, F.lit("")).alias("rest"), none.alias("found"))
     return F.aggregate(table, start, claim, lambda acc: F.array_sort(acc["found"]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filters, genres, rules, text
 from ..operators import decisions, pipeline, sinks
-from ..sources import connectors
+from ..sources import connectors, html
 from ..sources.tables import load
 from ..streaming import runs
 from .reads import _tags, tags_of
@@ -279,15 +279,40 @@ def free_text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.free_text_candidates(pages, "body", 2024)
 
 
+def _clean(column: str) -> str:
+    """SQL of a text with its entities decoded and white space collapsed."""
+    out = column
+    for entity, character in html.ENTITIES.items():
+        quoted = character.replace("'", "''")
+        out = f"replace({out}, '{entity}', '{quoted}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH r AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<style.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS x FROM pages),
+q AS (SELECT page_id, regexp_extract_all(x, '<[^>]*>|[^<]+') AS ps FROM r),
+u AS (SELECT page_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM q),
+t AS (SELECT *, lower(regexp_extract(p, '^</?([A-Za-z][A-Za-z0-9-]*)', 1)) AS tag, CASE WHEN starts_with(p, '</') THEN -1 ELSE 1 END AS d FROM u),
+w AS (SELECT *, sum(CASE WHEN tag = 'article' THEN d ELSE 0 END) OVER o AS art, sum(CASE WHEN tag = 'h1' THEN d ELSE 0 END) OVER o AS h1, sum(CASE WHEN tag = 'article' AND d = 1 THEN 1 ELSE 0 END) OVER o AS item FROM t WINDOW o AS (PARTITION BY page_id ORDER BY i)),
+n AS (SELECT page_id, item, string_agg(p, ' ' ORDER BY i) FILTER (WHERE tag = '' AND h1 > 0) AS title, string_agg(p, ' ' ORDER BY i) FILTER (WHERE tag = '') AS body, count(*) FILTER (WHERE tag = 'a' AND d = 1 AND regexp_matches(p, 'href="[^"]')) AS links FROM w WHERE art > 0 GROUP BY page_id, item)
+SELECT page_id, CAST(item AS INTEGER) AS item, nullif({_clean("title")}, '') AS title, md5(nullif({_clean("body")}, '')) AS body, links FROM n WHERE body IS NOT NULL OR links > 0""")
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-8, SRC-9: the articles of pages as candidates, their fields found by the elements around them."""
+    found = html.items(load(spark, sf_dir, "pages").select("page_id", "html"), "html", "article", {"title": ["h1"], "body": []})
+    return found.select("page_id", "item", "title", F.md5("body").alias("body"), F.size("href").cast("long").alias("links"))
+
+
 @query("""
-WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) AS target, generate_subscripts(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1), 1) - 1 AS pos FROM pages),
-f AS (SELECT target, min(page_id) AS page_id, min_by(pos, page_id * 100000 + pos) AS pos FROM l WHERE contains(target, 'on') GROUP BY target), d AS (SELECT DISTINCT '/' || n_name AS target FROM nation)
-SELECT f.target, page_id, CAST(pos AS BIGINT) AS pos, 'not fetched: ' || f.target AS problem FROM f""")
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) AS target, generate_subscripts(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1), 1) - 1 AS pos, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
+f AS (SELECT DISTINCT ON (target) target, page_id, pos FROM l ORDER BY target, page_id, pos), d AS (SELECT DISTINCT ON (target) target, title FROM l WHERE pos = 0 ORDER BY target, page_id)
+SELECT f.target, page_id, CAST(pos AS BIGINT) AS pos, title, CASE WHEN d.target IS NULL THEN 'not fetched: ' || f.target END AS problem FROM f LEFT JOIN d USING (target)""")
 def detail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-9: the detail pages that listings link to, each once, and those that were not fetched as problems."""
-    links = connectors.listing_links(load(spark, sf_dir, "pages"), pattern="on")
-    fetched = load(spark, sf_dir, "nation").select(F.concat(F.lit("/"), "n_name").alias("target"), F.lit("<html></html>").alias("html")).distinct()
-    return connectors.details(links, fetched, "target").select("target", "page_id", F.col("at").cast("long").alias("pos"), "problem")
+    """SRC-9: the detail pages that listings link to, each once, with what was fetched under that address (a page is under its own first link here), and problems for the others."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "html")
+    address, title = F.get(text.anchors(F.col("html")), F.lit(0)), F.regexp_extract("html", r"(?i)<title>([^<]*)</title>", 1)
+    fetched = pages.select(address.alias("target"), "page_id", title.alias("title"), "html").where("target IS NOT NULL")
+    fetched = fetched.groupBy("target").agg(F.min_by(F.struct("title", "html"), "page_id").alias("p")).select("target", "p.*")
+    return connectors.details(connectors.listing_links(pages), fetched, "target").select("target", "page_id", F.col("at").cast("long").alias("pos"), "title", "problem")
 
 
 @query("""

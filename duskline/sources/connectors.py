@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import html as markup
+
 CANDIDATE = "title string, venue string, start string, end string, url string, lineup array<string>, genre_hint string, cancelled boolean"
 
 
@@ -149,15 +151,20 @@ def category_genre(category: Column, genres_of: dict[str, str], text_genre: Colu
     return F.coalesce(mapped, text_genre), kind
 
 
-LD_EVENT = "`@type` string, name string, startDate string, endDate string, url string, location struct<name:string>, offers struct<url:string, price:double>, performer array<struct<name:string>>"
+EVENT_TYPES = ("Event", "MusicEvent")
 
 
 def jsonld_events(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Events in the JSON-LD blocks of pages: page columns, title, start, end, venue, url, ticket_url, price, lineup."""
-    blocks = F.regexp_extract_all(F.col(html), F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
-    e = pages.select("*", F.explode(blocks).alias("_b")).withColumn("_e", F.from_json("_b", LD_EVENT)).where(F.col("_e.@type").isin("Event", "MusicEvent") & F.col("_e.name").isNotNull())
-    lineup = F.coalesce(F.transform("_e.performer", lambda p: p["name"]), F.array().cast("array<string>"))
-    return e.select(*[c for c in pages.columns if c != html], F.col("_e.name").alias("title"), F.col("_e.startDate").alias("start"), F.col("_e.endDate").alias("end"), F.col("_e.location.name").alias("venue"), F.col("_e.url").alias("url"), F.col("_e.offers.url").alias("ticket_url"), F.col("_e.offers.price").alias("price"), lineup.alias("lineup"))
+    """Events in the JSON-LD of pages, those of lists, graphs and item lists too: page columns, title, start, end, venue, url, ticket_url, price, lineup."""
+    n = markup.json_ld(pages, html).where(F.col("type").isin(*EVENT_TYPES))
+    at = lambda path: F.get_json_object("node", f"$.{path}")
+    performers = at("performer")
+    each = F.when(F.startswith(performers, F.lit("[")), F.from_json(performers, "array<string>")).when(performers.isNotNull(), F.array(performers))
+    names = F.filter(F.transform(each, lambda p: F.coalesce(F.get_json_object(p, "$.name"), F.when(~F.startswith(p, F.lit("{")), p))), lambda x: x.isNotNull())
+    n = n.withColumn("_offer", markup.cheapest_offer(F.col("node")))
+    kept = [c for c in pages.columns if c != html]
+    out = n.select(*kept, at("name").alias("title"), at("startDate").alias("start"), at("endDate").alias("end"), F.coalesce(at("location.name"), at("location[0].name")).alias("venue"), at("url").alias("url"), F.col("_offer.url").alias("ticket_url"), F.col("_offer.price").alias("price"), F.coalesce(names, F.array().cast("array<string>")).alias("lineup"))
+    return out.where("title IS NOT NULL")
 
 
 def listing_links(pages: DataFrame, html: str = "html", pattern: str = "") -> DataFrame:

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from duskline.functions import rules, scans, text
+from duskline.functions import rules, text
 from duskline.sources import connectors
 from duskline.streaming import runs
 
@@ -114,20 +114,14 @@ def test_free_text_dates(spark):
     assert spark.range(1).select(connectors.decoded(F.lit(bytearray("blåbær".encode("latin-1")))).alias("t")).first()["t"] == "blåbær"
 
 
-def test_scans(spark):
+def test_genre_claims_and_profiles(spark):
     rows = [("hard techno and techno, then house", ["House Of Lords"]), ("Disco by House of Lords", ["House of Lords"]), (None, None)]
     df = spark.createDataFrame(rows, "t string, n array<string>")
     got = df.select(rules.all_genres(F.col("t")).alias("g"), rules.genre_names_masked(F.col("t"), F.col("n")).alias("m")).collect()
     assert [[(x["name"], x["start"]) for x in r["g"]] for r in got] == [[("hard-techno", 0), ("techno", 16), ("house", 29)], [("disco", 0), ("house", 9)], []]
     assert got[1]["m"] == "Disco by  "
-    rooms = spark.createDataFrame([("MAIN ROOM\nAnn, Bob\nBack:\nCleo",)], "t string").select(scans.rooms_of("t").alias("r")).first()["r"]
-    assert [(r["room"], r["artists"]) for r in rooms] == [("MAIN ROOM", ["Ann", "Bob"]), ("Back", ["Cleo"])]
-    v = spark.createDataFrame([("Ann", "Ann live set", "x"), ("Ann", "Anna live", "x"), ("Ann", "Ann karaoke", "Ann")], "n string, t string, c string").select(scans.video_match("n", "t", "c").alias("v")).collect()
-    assert [r["v"]["accepted"] for r in v] == [True, False, False]
     p = spark.createDataFrame([("https://www.soundcloud.com/Ann/",), ("https://soundcloud.com/ann/track",), ("",)], "u string").select(text.profile(F.col("u")).alias("p")).collect()
     assert [(r["p"]["url"], r["p"]["rejected"]) for r in p] == [("https://soundcloud.com/ann", None), (None, "not-a-profile"), (None, "empty")]
-    blocks = spark.createDataFrame([("LINE-UP\n\n- a\n- b\n\nSome text\nmore",)], "t string").select(scans.description_blocks("t").alias("b")).first()["b"]
-    assert [b["type"] for b in blocks] == ["heading", "list", "paragraph"]
 
 
 def test_stream_delivers_each_key_once(spark, tmp_path):
