@@ -77,10 +77,6 @@ def hold_back_start_flags(patch: Column, locked: Column) -> Column:
     return F.when(F.array_contains(locked, "startDatetime"), F.map_filter(patch, lambda k, v: ~derived(k, v))).otherwise(patch)
 
 
-def with_override(field: str, locked: Column, old: Column, new: Column) -> Column:
-    return F.when(F.array_contains(locked, field), old).otherwise(new)
-
-
 def sync_action(published: Column, manual: Column, decision: Column, reason: Column) -> Column:
     return F.when(published & ~manual & (decision == "hold") & (reason == "negative_relevance"), "unpublish").otherwise("no_change")
 

@@ -31,12 +31,6 @@ def identity_closure(nodes: DataFrame, refs: DataFrame, id_col: str, merged_col:
     return refs.join(canonical, F.col(ref_col) == F.col("_node"), "left").drop("_node")
 
 
-def first_match(left: DataFrame, right: DataFrame, on: Column, left_key: str, order: list[str], value: str) -> DataFrame:
-    """left with the value of its first match in right, by order; null without one."""
-    best = left.join(right, on).groupBy(left_key).agg(F.min_by(value, F.struct(*order)).alias(value))
-    return left.join(best, left_key, "left")
-
-
 def blocked_pairs(df: DataFrame, id_col: str, blocks: list[str]) -> DataFrame:
     """All pairs a < b of rows that agree in the block columns, as columns a_* and b_*.
 

@@ -137,6 +137,13 @@ def fetch_state(feed: DataFrame, *keys: str) -> DataFrame:
     return state.withColumn("complete", (F.col("items") > 0) & (F.col("problems") == 0) & (F.col("items") >= F.coalesce("declared", F.col("items"))))
 
 
+def json_feed(spark: SparkSession, path: str, schema: str = CANDIDATE) -> tuple[DataFrame, DataFrame]:
+    """(candidates, problems) of a flat feed of one JSON object a line: lines that are no JSON, or lack a title or start, are problems with their text."""
+    read = spark.read.text(path).select("value", F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("c"))
+    bad = F.col("c").isNull() | F.col("c._broken").isNotNull() | F.col("c.title").isNull() | F.col("c.start").isNull()
+    return read.where(~bad).select("c.*").drop("_broken"), read.where(bad).select(F.col("value").alias("text"))
+
+
 def in_city(rows: DataFrame, city: Column, cities: list[str], postal: Column, codes: tuple[int, int]) -> DataFrame:
     """Rows in one of the cities by name, or by postal code where no city is named."""
     named = F.lower(F.trim(city))

@@ -35,12 +35,16 @@ def by_key(df: DataFrame, column: str, key) -> DataFrame:
     return df.where(F.col(column) == key).limit(1)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the shared folder, so that it is the same rows in the same partitions whenever it is read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, which a cluster must name; in local mode, where it is unset, a new temporary one."""
     if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='duskline-')}")
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint in the shared folder, so that it is the same rows in the same partitions whenever it is read again."""
+    df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
