@@ -186,10 +186,6 @@ def recurring_guard(matches: DataFrame, titles: DataFrame, title_key: str) -> Da
     return matches.join(often, title_key, "left").withColumn("confidence", F.when(F.col("_often") & (F.col("confidence") == "high"), "medium").otherwise(F.col("confidence"))).drop("_often")
 
 
-def venue_plan(found: Column, similar: Column, confirmed: Column) -> Column:
-    return F.when(found, "existing").when(similar & ~confirmed, "needs_confirmation").otherwise("create")
-
-
 def consolidated(survivor: str, other: str, scalars: list[str], arrays: list[str]) -> list[Column]:
     """Columns of a merged row: the survivor's values, the other's where it has none, arrays joined."""
     own = [F.coalesce(F.col(f"{survivor}.{c}"), F.col(f"{other}.{c}")).alias(c) for c in scalars]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters, genres, rules, text
-from ..operators import decisions, pipeline, sinks
+from ..operators import decisions, lineups, pipeline, sinks
 from ..sources import connectors, html
 from ..sources.tables import load
 from ..streaming import runs
@@ -112,11 +112,45 @@ def name_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("p_partkey", "verdict", bucket.alias("bucket"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'existing' WHEN c_custkey % 2 = 0 AND c_custkey % 5 <> 0 THEN 'needs_confirmation' ELSE 'create' END AS plan FROM customer""")
+@query("""
+WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 1 THEN ' Red  Box! ' WHEN c_custkey % 3 = 0 THEN 'SUPPLIER ' || c_custkey % 400 || '!' WHEN c_custkey % 3 = 1 THEN 'the old hall of ' || c_custkey % 400 ELSE 'Hall & Bar ' || c_custkey END AS name, c_custkey % 4 = 0 AS confirmed FROM customer),
+k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS key FROM n),
+r AS (SELECT 'supplier ' || s_suppkey AS key, 0 AS t, s_suppkey FROM supplier UNION ALL SELECT 'the old hall of ' || s_suppkey * 2, 0, s_suppkey FROM supplier),
+b AS (SELECT DISTINCT ON (key) key, s_suppkey FROM r ORDER BY key, s_suppkey)
+SELECT c_custkey, CASE WHEN s_suppkey IS NOT NULL THEN 'existing' WHEN key = 'red box' AND NOT confirmed THEN 'needs_confirmation' ELSE 'create' END AS plan,
+  CASE WHEN s_suppkey IS NOT NULL THEN 's' || s_suppkey WHEN key = 'red box' AND NOT confirmed THEN NULL ELSE 'v-' || regexp_replace(regexp_replace(replace(lower(name), '&', 'and'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END AS venue_id FROM k LEFT JOIN b USING (key)""")
 def venue_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ER-24: what becomes of a venue that a source names."""
+    """ER-24: what becomes of a venue that a source names, by the venues there are, under their names and aliases."""
     k = F.col("c_custkey")
-    return load(spark, sf_dir, "customer").select("c_custkey", decisions.venue_plan(k % 3 == 0, k % 2 == 0, k % 5 == 0).alias("plan"))
+    number = (k % 400).cast("string")
+    name = F.when(k % 50 == 1, " Red  Box! ").when(k % 3 == 0, F.concat(F.lit("SUPPLIER "), number, F.lit("!"))).when(k % 3 == 1, F.concat(F.lit("the old hall of "), number)).otherwise(F.concat(F.lit("Hall & Bar "), k.cast("string")))
+    wanted = load(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), (k % 4 == 0).alias("confirmed"))
+    s = load(spark, sf_dir, "supplier")
+    row = lambda key, priority: s.select(key.alias("key"), F.lit(priority).alias("priority"), F.col("s_suppkey").cast("long").alias("ord"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("venue_id"), F.lit(None).cast("string").alias("sub_venue"))
+    registry = row(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")), 0).unionByName(row(F.concat(F.lit("the old hall of "), (F.col("s_suppkey") * 2).cast("string")), 1))
+    return lineups.planned_venues(wanted, registry).select("c_custkey", "plan", "venue_id")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS event_id, l_linenumber AS place, CASE WHEN l_partkey % 13 = 0 THEN 'dj ' || l_partkey || ' b2b x' ELSE 'dj ' || l_partkey END AS name, l_partkey, l_suppkey, l_quantity AS q, l_extendedprice AS e FROM lineitem),
+f AS (SELECT event_id, name, min(place) AS place, min(l_partkey) AS part FROM l GROUP BY ALL),
+o AS (SELECT DISTINCT ON (event_id, name) event_id, name, 'u/' || l_suppkey AS url FROM l WHERE l_suppkey % 4 < 2 ORDER BY event_id, name, l_suppkey % 4 = 1 DESC, place DESC, l_suppkey DESC, q DESC, e DESC),
+s AS (SELECT l_partkey AS part, min('p/' || l_suppkey) AS lo, max('p/' || l_suppkey) AS hi FROM l WHERE l_suppkey % 4 = 2 AND l_partkey % 13 <> 0 GROUP BY l_partkey)
+SELECT f.event_id, place, f.name, coalesce(o.url, CASE WHEN lo = hi AND f.part % 13 <> 0 THEN lo END) AS url FROM f LEFT JOIN o ON o.event_id = f.event_id AND o.name = f.name LEFT JOIN s ON s.part = f.part WHERE coalesce(o.url, CASE WHEN lo = hi AND f.part % 13 <> 0 THEN lo END) IS NOT NULL""")
+def lineup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ER-22: the links that each order shows for the acts of its lines: set by hand, its source's own, or reused from an act with one profile."""
+    part = F.col("l_partkey")
+    name = F.when(part % 13 == 0, F.concat(F.lit("dj "), part.cast("string"), F.lit(" b2b x"))).otherwise(F.concat(F.lit("dj "), part.cast("string")))
+    line = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("place"), name.alias("name"), part.alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("e"))
+    events = line.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("a"))
+    url = lambda p: F.concat(F.lit(p), F.col("supp").cast("string"))
+    own = line.where("supp % 4 < 2").select("event_id", "name", url("u/").alias("url"), (F.col("supp") % 4 == 1).alias("manual"), F.struct("place", "supp", "q", "e").alias("ord"))
+    # an act's profiles are reduced to the least and the greatest before they meet its appearances
+    known = line.where("supp % 4 = 2").groupBy("part").agg(F.min("name").alias("other_entry"), F.array_distinct(F.array(F.min(url("p/")), F.max(url("p/")))).alias("urls"))
+    rows = line.select("event_id", F.col("name").alias("entry"), "part").distinct().join(known, "part").select("event_id", "entry", "other_entry", F.explode("urls").alias("url"))
+    out = lineups.shown_links(events.select("event_id", F.transform("a", lambda x: x["name"]).alias("artists")), own, lineups.reused_links(rows))
+    places = line.groupBy("event_id", "name").agg(F.min("place").alias("place"))
+    return out.drop("place").join(places, ["event_id", "name"]).select("event_id", "place", "name", "url")
 
 
 @query("""

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from duskline.operators import decisions, joins
+from duskline.operators import decisions, joins, lineups
 
 
 def test_upsert_twice_changes_nothing(spark):
@@ -30,3 +30,21 @@ def test_large_side_is_not_broadcast(spark):
     small, large = spark.range(5), spark.range(1000)
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
     assert hinted(joins.small_side(small, 10)) and not hinted(joins.small_side(large, 10))
+
+
+def test_links_beside_a_lineup(spark):
+    events = spark.createDataFrame([(1, ["Ann", "Bo", "Ann", "Cy b2b Di"]), (2, ["Ann"]), (3, None)], "event_id int, artists array<string>")
+    own = spark.createDataFrame([(1, "Ann", "a1", False, 1), (1, "Ann", "a2", True, 0), (1, "Gone", "g", True, 0)], "event_id int, name string, url string, manual boolean, ord int")
+    rows = [(1, "Bo", "Bo", "b"), (1, "Bo", "bo", "b"), (1, "Cy b2b Di", "Cy", "c"), (2, "Ann", "Ann", "x"), (2, "Ann", "Ann", "y")]
+    reused = lineups.reused_links(spark.createDataFrame(rows, "event_id int, entry string, other_entry string, url string"))
+    shown = lineups.shown_links(events, own, reused)
+    assert sorted(map(tuple, shown.collect())) == [(1, 0, "Ann", "a2"), (1, 1, "Bo", "b")]
+    assert {r.event_id: r.has_links for r in lineups.with_availability(events, shown).collect()} == {1: True, 2: False, 3: False}
+    assert lineups.shown_links(events, own.limit(0), reused.limit(0)).count() == 0
+
+
+def test_venues_are_planned_by_those_there_are(spark):
+    registry = spark.createDataFrame([("the hall", 0, 1, "v1", None), ("black box", 2, 2, "v2", "Black Box")], "key string, priority int, ord long, venue_id string, sub_venue string")
+    rows = [(1, " The  HALL! ", False), (2, "Red Box", False), (3, "Red Box", True), (4, "Black Box", False), (5, "New & Old", False), (6, None, False)]
+    got = lineups.planned_venues(spark.createDataFrame(rows, "id int, name string, confirmed boolean"), registry)
+    assert {r.id: (r.plan, r.venue_id) for r in got.collect()} == {1: ("existing", "v1"), 2: ("needs_confirmation", None), 3: ("create", "v-red-box"), 4: ("existing", "v2"), 5: ("create", "v-new-and-old"), 6: ("create", None)}
