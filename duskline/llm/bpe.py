@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from .common import pieces
 
-#: Bytes of the young half of each of a worker's four caches (so 128 MB for all their halves), and what an entry takes beside its symbols and for each of them.
-CACHE_BYTES, ENTRY_BYTES, SYMBOL_BYTES = 16 << 20, 400, 16
+#: Bytes of the young half of each of a worker's caches, and what an entry takes beside its symbols and for each of them.
+CACHE_BYTES, ENTRY_BYTES, SYMBOL_BYTES = 64 << 20, 250, 12
 #: Longer keys are worked out anew each time.
 MOST_CACHED = 1024
 #: Longer fragments are merged with a heap.
@@ -51,6 +51,16 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in kept else next(spare)) for b in range(256)]
 
 
+def names_of(spec: dict) -> dict[int, str]:
+    """The tokens of a tokenizer file by id."""
+    return {v: k for k, v in (spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}).items()}
+
+
+def decoded(names: dict[int, str], ids: list[int]) -> str:
+    """As the library's decode(ids, skip_special_tokens=False) for a file without a decoder: tokens joined by a space; unknown ids are left out."""
+    return " ".join(names[i] for i in ids if i in names)
+
+
 class Cache(dict):
     """A dict of bounded bytes: once the young half is full, the old half goes; what is found in the old half is young again."""
 
@@ -79,7 +89,9 @@ class ForcedBoundaryBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, lib = spec["model"], Tokenizer.from_file(path)
+        model = spec["model"]
+        # the library only normalizes and splits here, so it is given no vocabulary to hold
+        lib = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": [], "unk_token": None}, "added_tokens": [], "post_processor": None}))
         if model.get("end_of_word_suffix") != END:
             raise ValueError(f"the vocabulary has no word ends {END!r}")
         self._normalizer, self._splitter = lib.normalizer, lib.pre_tokenizer
@@ -89,7 +101,7 @@ class ForcedBoundaryBpe:
         self._added = {k.encode(): v for k, v in added.items()}
         self._added_at = re.compile(b"(" + b"|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + b")") if added else None
         vocab: dict[str, int] = model["vocab"]
-        self._names = {v: k for k, v in (vocab | added).items()}
+        self._names = names_of(spec)
         self._decimal = {i: str(i) for i in self._names}
         self._symbols = {self._inner(k): v for k, v in vocab.items() if len(self._inner(k)) == 1}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
@@ -220,8 +232,7 @@ class ForcedBoundaryBpe:
         return [int(i) for i in self.texts(text.encode())[0].split()]
 
     def decode(self, ids: list[int]) -> str:
-        """As the library's decode(ids, skip_special_tokens=False) for a file without a decoder: tokens joined by a space; unknown ids are left out."""
-        return " ".join(self._names[i] for i in ids if i in self._names)
+        return decoded(self._names, ids)
 
 
 def encode_texts(df: DataFrame, tokenizer: str, text_col: str = "text", with_ids: bool = True, with_texts: bool = True) -> DataFrame:
@@ -253,8 +264,9 @@ def decode_ids(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str
     """Adds the decoded text of an array of ids; null ids decode to the empty text."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = ForcedBoundaryBpe(tokenizer)
+        with open(tokenizer, encoding="utf-8") as f:
+            names = names_of(json.load(f))
         for ids in pieces(batches):
-            yield pd.Series([bpe.decode([] if x is None else list(x)) for x in ids], dtype=object)
+            yield pd.Series([decoded(names, [] if x is None else list(x)) for x in ids], dtype=object)
 
     return df.withColumn(out_col, F.pandas_udf(run, T.StringType())(F.col(ids_col)))
