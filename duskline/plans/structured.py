@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import descriptions, rooms
-from ..operators import evidence
+from ..operators import evidence, headliners
 from ..sources.tables import load
 from .registry import query
 
@@ -153,3 +153,24 @@ def rule_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.groupBy("artist", "video").agg(F.min_by(F.struct(*rest), F.struct("published", "supp", "q")).alias("c")).select("artist", "video", "c.*")
     chosen = c.where("_able").groupBy("artist").agg(F.min("video").alias("chosen"))
     return evidence.replay_report(evidence.replayed(c.join(chosen, "artist", "left"), RULE_VERSIONS))
+
+
+# ------------------------------------------------------------------ headliners
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k, 'Act ' || l_partkey AS name, min(l_linenumber) AS place, l_partkey AS part FROM lineitem GROUP BY l_orderkey, l_partkey),
+a AS (SELECT k, list(name ORDER BY place, name) AS names, list(part ORDER BY place, name) AS parts FROM l GROUP BY k),
+h AS (SELECT k, CASE WHEN len(names) = 1 OR k % 4 = 0 THEN names[1] WHEN k % 4 = 1 THEN names[2] WHEN k % 4 = 2 AND k % 3 = 0 AND parts[-1] >= 10 THEN names[-1] END AS artist, len(names) = 1 OR k % 4 < 2 AS strong FROM a)
+SELECT k AS order_id, artist, CASE WHEN strong THEN 'documented' ELSE 'supported_prioritized' END AS confidence FROM h WHERE artist IS NOT NULL""")
+def event_headliners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ER-18: who headlines each order, by its title, description, picture and the order of its acts. An order has few lines."""
+    line = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("part")).agg(F.min("l_linenumber").alias("place"))
+    line = line.withColumn("name", F.concat(F.lit("Act "), F.col("part").cast("string")))
+    e = line.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("place", "name", "part"))).alias("a"))
+    k, first, second, last = F.col("k"), F.get("a", F.lit(0))["name"], F.get("a", F.lit(1))["name"], F.element_at("a", -1)
+    title = F.when(k % 4 == 0, F.concat(F.lit("A night with "), F.lower(first))).otherwise("Night")
+    said = F.when(k % 4 == 1, F.concat(second, F.lit(" headlines, with "), first, F.lit(" warming up."))).when(k % 4 == 2, F.concat(F.lit("Tonight: "), last["name"], F.lit(" and more")))
+    image = F.when(k % 3 == 0, F.concat(F.lit("https://x.dk/i/act-"), last["part"].cast("string"), F.lit(".jpg?w=1")))
+    events = e.select(k.alias("event_id"), title.alias("title"), F.transform("a", lambda x: x["name"]).alias("artists"), said.alias("description"), image.alias("image"))
+    return headliners.headliners(headliners.signals(events)).withColumnRenamed("event_id", "order_id")
