@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,10 +101,51 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", text.anchors(F.col("html")).alias("a")).select("page_id", F.size("a").cast("long").alias("links"), F.array_join("a", " ").alias("targets"))
 
 
-@query()
+_SKIPPED = ["(?is)<script\\b.*?</script\\s*>", "(?is)<style\\b.*?</style\\s*>", "(?is)<head\\b.*?</head\\s*>", "(?s)<!--.*?-->"]
+#: SQL: each step is a pattern and what it becomes; characters by number.
+_STEPS = [
+    *[(p, "''") for p in _SKIPPED],
+    (r"(?i)</p\s*>|<p\b[^>]*>", "chr(10) || chr(10)"),
+    (r"(?i)<br\s*/?>|</?(?:div|li|ul|ol|h[1-6]|tr|article|section|nav|header|footer)\b[^>]*>", "chr(10)"),
+    (r"<[^>]*>", "''"),
+]
+_TIDY = [(r"[ \t]+", "' '"), (r" ?\n ?", "chr(10)"), (r"\n{{3,}}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")]
+
+
+def _plain_html(column: str) -> str:
+    replaced = lambda steps, out: functools.reduce(lambda x, s: f"regexp_replace({x}, '{s[0]}', {s[1]}, 'g')", steps, out)
+    out = replaced(_STEPS, column)
+    for entity, character in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        out = f"replace({out}, '{entity}', {character})"
+    return replaced(_TIDY, out)
+
+
+@query(f"""
+WITH t AS (SELECT page_id, {_plain_html("html")} AS t FROM pages),
+h AS (SELECT page_id, t, substr(t, 1, 2000) AS head FROM t),
+c AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?])(\\s|$)', 1) AS sentence, regexp_extract(head, '(?s)^(.*\\S)\\s', 1) AS word FROM h)
+SELECT page_id, CAST(length(t) AS INTEGER) AS n, CASE WHEN length(t) <= 2000 THEN t WHEN length(sentence) >= 1000 THEN sentence WHEN word <> '' THEN word ELSE head END AS text FROM c""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-10, STR-11: the text of a page, in paragraphs, cut at a boundary."""
-    return load(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n"), text.at_boundary(F.col("t"), 20_000).alias("text"))
+    return load(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n"), text.at_boundary(F.col("t"), 2000).alias("text"))
+
+
+_PRACTICAL_SQL = rules.PRACTICAL.removeprefix("(?iu)").replace(r"(?<![\p{L}\d])", r"(?:^|[^\p{L}\d])").replace(r"(?![\p{L}\d])", r"(?:$|[^\p{L}\d])")
+
+
+@query(
+    r"""
+WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Billet 120 kr. Doors open at 22! Garderobe i kælderen.' WHEN 1 THEN 'Entré 100,-' || chr(10) || chr(10) || 'Kontakt: info@x.dk' || chr(10) || '22.00 - 05.00' WHEN 2 THEN 'Tickets at the door. ' || coalesce(text, '') WHEN 3 THEN 'Freedom is not free' ELSE text END AS t FROM documents),
+s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(trim(t), '([^\d\s][.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_matches(x, '\p{L}')) AS ss FROM d)
+SELECT doc_id, len(list_filter(ss, lambda x: NOT regexp_matches(x, '(?i)""".replace("{", "{{").replace("}", "}}")
+    + _PRACTICAL_SQL.replace("{", "{{").replace("}", "}}")
+    + "'))) = 0 AS practical FROM s"
+)
+def practical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS-10: texts of which every sentence is about tickets, doors and the like; whole documents among them."""
+    k, body = F.col("doc_id") % 5, F.coalesce("text", F.lit(""))
+    t = F.when(k == 0, "Billet 120 kr. Doors open at 22! Garderobe i kælderen.").when(k == 1, "Entré 100,-\n\nKontakt: info@x.dk\n22.00 - 05.00").when(k == 2, F.concat(F.lit("Tickets at the door. "), body)).when(k == 3, "Freedom is not free").otherwise(F.col("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", rules.practical_only(t).alias("practical"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
