@@ -62,3 +62,18 @@ def summary_text(text: Column, most: int = 155) -> Column:
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     head = F.regexp_replace(F.substring(flat, 1, most), r"\s+\S*$", "")
     return F.when(F.length(flat) <= most, flat).otherwise(F.concat(head, F.lit("…")))
+
+
+def inserted(new: DataFrame, stored: DataFrame, source: str, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, links, log): the three tables' rows of an insert, all of the same new events, those whose id is not stored, each once (the least slug of an id that repeats).
+
+    new: event_id, slug, official_url, ticket_url. A link is written for each role with a URL; each event has one row of the log, with the fields that it was given.
+    """
+    rest = [c for c in new.columns if c != "event_id"]
+    one = new.groupBy("event_id").agg(F.min_by(F.struct(*rest), F.struct("slug", *[c for c in rest if c != "slug"])).alias("_e")).select("event_id", "_e.*")
+    events = one.join(stored.select("event_id"), "event_id", "left_anti").withColumn("created_at", at)
+    roles = F.array(F.struct(F.lit("official").alias("role"), F.col("official_url").alias("url")), F.struct(F.lit("ticket").alias("role"), F.col("ticket_url").alias("url")))
+    links = events.select("event_id", F.lit(source).alias("source_id"), F.explode(F.filter(roles, lambda x: x["url"].isNotNull())).alias("_l")).select("event_id", "source_id", "_l.role", "_l.url")
+    given = F.array_sort(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), c) for c in rest])))
+    log = events.select("event_id", F.lit("sync").alias("changed_by"), F.lit("create").alias("change_type"), given.alias("fields_changed"), F.lit(None).cast("string").alias("note"), at.alias("created_at"))
+    return events, links, log

@@ -51,3 +51,19 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = F.create_map(F.lit("start"), F.lit("x")), F.create_map(F.lit("start"), F.lit("x"), F.lit("end"), F.lit("y"))
     changed = load(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", F.when(F.col("event_id") % 2 == 0, two).otherwise(one).alias("patch"))
     return sinks.change_log(changed, "sync", "update", now()).select("event_id", "changed_by", "change_type", F.array_join("fields_changed", ",").alias("fields"))
+
+
+@query("""
+WITH n AS (SELECT o_orderkey AS id, 'o-' || o_orderkey AS slug, CASE WHEN o_orderkey % 4 <> 0 THEN 'https://x.dk/' || o_orderkey END AS o, CASE WHEN o_orderkey % 3 = 0 THEN 'https://t.dk/' || o_custkey END AS t FROM orders WHERE o_orderstatus <> 'F' OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45))
+SELECT 'events' AS target, id AS event_id, slug AS detail FROM n UNION ALL SELECT 'links', id, 'official ' || o FROM n WHERE o IS NOT NULL UNION ALL SELECT 'links', id, 'ticket ' || t FROM n WHERE t IS NOT NULL
+UNION ALL SELECT 'log', id, concat_ws(',', CASE WHEN o IS NOT NULL THEN 'official_url' END, 'slug', CASE WHEN t IS NOT NULL THEN 'ticket_url' END) FROM n""")
+def event_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1: what inserting new events writes to the events, their sources' links and the log; stored ones (closed orders with a large line) are left alone."""
+    key = F.col("o_orderkey")
+    o = load(spark, sf_dir, "orders")
+    large = load(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("event_id")).distinct()
+    stored = o.where("o_orderstatus = 'F'").select(key.alias("event_id")).join(large, "event_id", "left_semi")
+    new = o.select(key.alias("event_id"), F.concat(F.lit("o-"), key.cast("string")).alias("slug"), F.when(key % 4 != 0, F.concat(F.lit("https://x.dk/"), key.cast("string"))).alias("official_url"), F.when(key % 3 == 0, F.concat(F.lit("https://t.dk/"), F.col("o_custkey").cast("string"))).alias("ticket_url"))
+    events, links, log = sinks.inserted(new, stored, "orders", now())
+    row = lambda df, name, detail: df.select(F.lit(name).alias("target"), "event_id", detail.alias("detail"))
+    return row(events, "events", F.col("slug")).unionByName(row(links, "links", F.concat_ws(" ", "role", "url"))).unionByName(row(log, "log", F.array_join("fields_changed", ",")))

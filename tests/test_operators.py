@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from duskline.operators import decisions, joins, lineups
+from duskline.operators import decisions, joins, lineups, sinks
 
 
 def test_upsert_twice_changes_nothing(spark):
@@ -48,3 +48,11 @@ def test_venues_are_planned_by_those_there_are(spark):
     rows = [(1, " The  HALL! ", False), (2, "Red Box", False), (3, "Red Box", True), (4, "Black Box", False), (5, "New & Old", False), (6, None, False)]
     got = lineups.planned_venues(spark.createDataFrame(rows, "id int, name string, confirmed boolean"), registry)
     assert {r.id: (r.plan, r.venue_id) for r in got.collect()} == {1: ("existing", "v1"), 2: ("needs_confirmation", None), 3: ("create", "v-red-box"), 4: ("existing", "v2"), 5: ("create", "v-new-and-old"), 6: ("create", None)}
+
+
+def test_an_insert_writes_three_tables_of_the_same_events(spark):
+    new = spark.createDataFrame([(1, "a", "o1", "t1"), (2, "b", None, None), (2, "a2", None, "t2"), (3, "c", "o3", None)], "event_id int, slug string, official_url string, ticket_url string")
+    events, links, log = sinks.inserted(new, spark.createDataFrame([(3,)], "event_id int"), "src", F.lit("2024-01-15").cast("timestamp"))
+    assert {(r.event_id, r.slug) for r in events.collect()} == {(1, "a"), (2, "a2")}
+    assert {(r.event_id, r.role, r.url) for r in links.collect()} == {(1, "official", "o1"), (1, "ticket", "t1"), (2, "ticket", "t2")}
+    assert {(r.event_id, tuple(r.fields_changed)) for r in log.collect()} == {(1, ("official_url", "slug", "ticket_url")), (2, ("slug", "ticket_url"))}
