@@ -64,8 +64,8 @@ def decoded(names: dict[int, str], ids: list[int]) -> str:
 class Cache(dict):
     """A dict of bounded bytes: once the young half is full, the old half goes; what is found in the old half is young again."""
 
-    def __init__(self, make):
-        self.make, self.old, self.held = make, {}, 0
+    def __init__(self, make, most: int | None = None):
+        self.make, self.most, self.old, self.held = make, most, {}, 0
 
     def __missing__(self, key):
         if len(key) > MOST_CACHED:
@@ -73,7 +73,7 @@ class Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if self.held >= CACHE_BYTES:
+        if self.held >= (self.most or CACHE_BYTES):
             self.old, self.held = dict(self), 0
             self.clear()
         self.held += ENTRY_BYTES + SYMBOL_BYTES * len(key)
@@ -84,7 +84,7 @@ class Cache(dict):
 class ForcedBoundaryBpe:
     """Encodes as the tokenizer of a tokenizers-library file with word ends does, without special tokens added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int | None = None):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -111,8 +111,8 @@ class ForcedBoundaryBpe:
         self._bytes = byte_alphabet()
         #: For words of ASCII only, without white space, where the library's normalizer and splitter do no more than this.
         self._ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-        self._chunks, self._words = Cache(self._chunk), Cache(self._plain)
-        self._mapped_words, self._fragments = Cache(self._mapped), Cache(self._merge)
+        self._chunks, self._words = Cache(self._chunk, cache_bytes), Cache(self._plain, cache_bytes)
+        self._mapped_words, self._fragments = Cache(self._mapped, cache_bytes), Cache(self._merge, cache_bytes)
 
     @staticmethod
     def _inner(token: str) -> str:
@@ -235,10 +235,11 @@ class ForcedBoundaryBpe:
         return decoded(self._names, ids)
 
 
-def encode_texts(df: DataFrame, tokenizer: str, text_col: str = "text", with_ids: bool = True, with_texts: bool = True) -> DataFrame:
+def encode_texts(df: DataFrame, tokenizer: str, text_col: str = "text", with_ids: bool = True, with_texts: bool = True, cache_bytes: int | None = None) -> DataFrame:
     """Adds n_tokens (long) and, if asked for, ids (array of int), ids_text (decimal ids joined by a space) and decoded (string).
 
     tokenizer: path of the tokenizer file, readable at that path on every executor.
+    cache_bytes: of the young half of each cache of a worker, CACHE_BYTES unless given; results don't depend on it.
     """
     kept = [c for c in df.columns if c not in ("n_tokens", "ids", "ids_text", "decoded")]
     fields = [T.StructField("n_tokens", T.LongType())]
@@ -246,7 +247,7 @@ def encode_texts(df: DataFrame, tokenizer: str, text_col: str = "text", with_ids
     fields += [T.StructField("ids_text", T.StringType()), T.StructField("decoded", T.StringType())] * with_texts
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = ForcedBoundaryBpe(tokenizer)
+        bpe = ForcedBoundaryBpe(tokenizer, cache_bytes)
         for texts in pieces(batches):
             rows = [bpe.texts(t or b"") for t in texts]
             out = {"n_tokens": [r[2] for r in rows]}
