@@ -7,7 +7,7 @@ event's artists are compared by grouping, not one by one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, spans, text
@@ -38,9 +38,12 @@ def mention(value: Column, name: Column) -> Column:
 
 def cue_subjects(sentence: Column, names: Column) -> Column:
     """array of the folded names that a headline cue in a sentence is about: the nearest before it and those joined to that one, or else the first after it."""
-    said = fold(sentence)
+    return spans.let(fold(sentence), lambda said: _subjects(said, names))
+
+
+def _subjects(said: Column, names: Column) -> Column:
     told = F.transform(names, lambda n: F.struct(mention(said, n).alias("start"), n.alias("name")))
-    placed = F.array_sort(F.filter(told, lambda m: m["start"].isNotNull()))
+    placed = F.sort_array(F.filter(told, lambda m: m["start"].isNotNull()))
     within = lambda c, m: (c["start"] >= m["start"]) & (c["start"] < m["start"] + F.length(m["name"]))
     cues = lambda ms: F.filter(spans.spans(said, F.lit(spans.word(CUE))), lambda c: ~F.exists(ms, lambda m: within(c, m)))
 
@@ -68,19 +71,19 @@ def signals(events: DataFrame, key: str = "event_id", title: str = "title", arti
     """key, name (folded), place, artist, signal, group: every sign that an artist headlines."""
     listed = events.select(key, fold(F.coalesce(title, F.lit(""))).alias("_title"), F.coalesce(description, F.lit("")).alias("_text"), F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(image, F.lit("")), r"([^/?#]+?)(?:\.[A-Za-z0-9]+)?(?:[?#].*)?$", 1), r"[^\p{L}\p{N}]+", "_")).alias("_file"), F.coalesce(artists, F.array().cast("array<string>")).alias("_all"))
     real = F.filter(F.transform("_all", lambda a: F.struct(fold(a).alias("name"), a.alias("artist"))), lambda x: (x["name"] != "") & (rules.name_verdict(x["artist"]) != "not_artist"))
-    listed = listed.withColumn("_real", real)
-    once = F.filter("_real", lambda x, i: F.array_position(F.transform("_real", lambda y: y["name"]), x["name"]) == i + 1)
+    # each list is bound before a lambda refers to it, or its texts would be folded again for every element
+    once = spans.let(real, lambda v: F.filter(v, lambda x, i: F.array_position(v["name"], x["name"]) == i + 1))
     listed = listed.withColumn("_real", once).withColumn("_names", F.transform("_real", lambda x: x["name"])).withColumn("_n", F.size("_real"))
     ordered = F.transform("_all", fold)
-    listed = listed.withColumn("_sorted", (F.size("_all") >= ALPHABETICAL) & (ordered == F.array_sort(ordered)))
-    named = F.filter("_names", lambda n: mention(F.col("_title"), n).isNotNull())
+    listed = listed.withColumn("_sorted", (F.size("_all") >= ALPHABETICAL) & spans.let(ordered, lambda v: v == F.sort_array(v)))
+    named = spans.let(F.col("_title"), lambda t: F.filter("_names", lambda n: mention(t, n).isNotNull()))
     listed = listed.withColumn("_in_title", named)
     # a title that is the whole line-up says nothing
     listed = listed.withColumn("_in_title", F.when((F.size("_in_title") >= 2) & (F.size("_in_title") == F.col("_n")), F.array().cast("array<string>")).otherwise(F.col("_in_title")))
     sentences = F.filter(F.split("_text", r"(?<=[.!?])\s+|\n+"), lambda s: s.rlike(spans.word(CUE)))
-    listed = listed.withColumn("_cued", F.flatten(F.transform(sentences, lambda s: cue_subjects(s, F.col("_names")))))
-    places = F.array_sort(F.filter(F.transform("_names", lambda n: F.struct(mention(fold(F.col("_text")), n).alias("start"), n.alias("name"))), lambda m: m["start"].isNotNull()))
-    listed = listed.withColumn("_first", F.get(places, F.lit(0))["name"])
+    listed = listed.withColumn("_cued", spans.let(F.col("_names"), lambda names: F.flatten(F.transform(sentences, lambda s: cue_subjects(s, names)))))
+    places = spans.let(fold(F.col("_text")), lambda said: F.filter(F.transform("_names", lambda n: F.struct(mention(said, n).alias("start"), n.alias("name"))), lambda m: m["start"].isNotNull()))
+    listed = listed.withColumn("_first", F.array_min(places)["name"])
     rows = listed.select(key, "_n", "_title", "_file", "_sorted", "_in_title", "_cued", "_first", F.posexplode("_real").alias("place", "_r"))
     name, several = F.col("_r.name"), F.col("_n") > 1
     slug = F.regexp_replace(name, r"[^\p{L}\p{N}]+", "_")
@@ -101,9 +104,10 @@ def signals(events: DataFrame, key: str = "event_id", title: str = "title", arti
 
 def headliners(found: DataFrame, key: str = "event_id") -> DataFrame:
     """key, artist, confidence: documented by a strong signal, or supported_prioritized as the only one with two supporting groups. found: as signals gives it."""
-    votes = found.groupBy(key, "name").agg(F.min_by("artist", "place").alias("artist"), F.max(F.col("group") == STRONG).alias("strong"), F.countDistinct(F.when(F.col("group") != STRONG, F.col("group"))).alias("groups"))
-    event = votes.groupBy(key).agg(F.max("strong").alias("_any"), F.count_if(F.col("groups") >= 2).alias("_supported"))
-    out = votes.join(event, key)
+    votes = found.groupBy(key, "name").agg(F.min_by("artist", "place").alias("artist"), F.max(F.col("group") == STRONG).alias("strong"), F.size(F.collect_set(F.when(F.col("group") != STRONG, F.col("group")))).alias("groups"))
+    # an event has few artists; a join of what they add up to would find all signals a second time
+    event = Window.partitionBy(key)
+    out = votes.withColumns({"_any": F.max("strong").over(event), "_supported": F.count_if(F.col("groups") >= 2).over(event)})
     alone = ~F.col("_any") & (F.col("groups") >= 2) & (F.col("_supported") == 1)
     confidence = F.when(F.col("strong"), "documented").when(alone, "supported_prioritized")
     return out.select(key, "artist", confidence.alias("confidence")).where("confidence IS NOT NULL")
