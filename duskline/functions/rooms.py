@@ -33,9 +33,8 @@ def plain(text: Column, brackets: bool = False) -> Column:
     return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
-def mentions(line: Column, name: Column) -> Column:
-    own = plain(name)
-    return (own != "") & F.contains(F.concat(F.lit(" "), plain(line), F.lit(" ")), F.concat(F.lit(" "), own, F.lit(" ")))
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), plain(text), F.lit(" "))
 
 
 def _word_count(text: Column) -> Column:
@@ -49,22 +48,36 @@ def is_practical(line: Column) -> Column:
 def _heading(line: Column) -> Column:
     """struct<room, inline> of a line that names exactly one room, else null."""
     words = plain(line, brackets=True)
-    side, end = F.contains(words, F.lit("den anden side")), F.contains(words, F.lit("den anden ende"))
-    before, after = F.regexp_extract(line, NAMED_HEADING, 1), F.trim(F.regexp_extract(line, NAMED_HEADING, 2))
+    rooms = lambda w: F.struct(F.contains(w, F.lit("den anden side")).alias("side"), F.contains(w, F.lit("den anden ende")).alias("end"))
+    return spans.let(spans.let(words, rooms), lambda v: _heading_of(line, v["side"], v["end"]))
+
+
+def _heading_of(line: Column, side: Column, end: Column) -> Column:
+    parts = F.struct(F.regexp_extract(line, NAMED_HEADING, 1).alias("before"), F.trim(F.regexp_extract(line, NAMED_HEADING, 2)).alias("after"))
+    named = F.when(line.rlike(NAMED_HEADING), spans.let(parts, lambda v: _named_heading(v["before"], v["after"], end)))
+    other = F.when(line.rlike(MAIN_HEADING), _made(MAIN, F.trim(F.regexp_extract(line, MAIN_HEADING, 1)))).when(line.rlike(SMALL_HEADING), _made(SMALL, F.trim(F.regexp_extract(line, SMALL_HEADING, 1))))
+    return F.when(side & end, F.lit(None)).when(side | end, named).otherwise(other)
+
+
+def _made(room: str, rest: Column) -> Column:
+    return F.struct(F.lit(room).alias("room"), rest.alias("inline"))
+
+
+def _named_heading(before: Column, after: Column, end: Column) -> Column:
     short = (_word_count(before) <= 4) & ~before.rlike(r"[.!?]\s") & ~F.trim(before).rlike(r"[.!?]$")
     lineup = (after == "") | (~after.rlike(r"[.!?]$") & ((_word_count(after) <= 6) | F.contains(after, F.lit(","))))
-    made = lambda room, rest: F.struct(F.lit(room).alias("room"), rest.alias("inline"))
-    named = F.when(line.rlike(NAMED_HEADING) & short & lineup, F.when(end, made(SMALL, after)).otherwise(made(MAIN, after)))
-    other = F.when(line.rlike(MAIN_HEADING), made(MAIN, F.trim(F.regexp_extract(line, MAIN_HEADING, 1)))).when(line.rlike(SMALL_HEADING), made(SMALL, F.trim(F.regexp_extract(line, SMALL_HEADING, 1))))
-    return F.when(side & end, F.lit(None)).when(side | end, named).otherwise(other)
+    return F.when(short & lineup, F.when(end, _made(SMALL, after)).otherwise(_made(MAIN, after)))
+
+
+def _told(line: Column, known: Column) -> Column:
+    """struct<kind, room, decorated, names>: what a line is, and which artists it names. known: array<struct<own, artist>>, own in plain form between spaces."""
+    return spans.let(_heading(line), lambda h: _told_of(line, h, known))
 
 
-def _told(line: Column, artists: Column) -> Column:
-    """struct<kind, room, decorated, names>: what a line is, and which artists it names."""
-    h = _heading(line)
+def _told_of(line: Column, h: Column, known: Column) -> Column:
     other = (_word_count(line) <= 6) & line.rlike(spans.word(OTHER_ROOM)) & line.rlike(OTHER_ROOM_FORM)
     kind = F.when(line == "", "blank").when(line.rlike(SEPARATOR) | is_practical(line), "break").when(h.isNotNull(), "room").when(other, "other").otherwise("text")
-    named = lambda where: F.filter(artists, lambda a: mentions(where, a))
+    named = lambda where: spans.let(_padded(where), lambda w: F.filter(known, lambda x: F.contains(w, x["own"])))["artist"]
     return F.struct(kind.alias("kind"), h["room"].alias("room"), line.rlike(DECORATED).alias("decorated"), named(F.coalesce(h["inline"], line)).alias("names"))
 
 
@@ -93,7 +106,10 @@ def with_rooms(df: DataFrame, title: str = "title", description: str = "descript
     names = F.coalesce(artists, F.array().cast("array<string>"))
     lines = F.split(F.coalesce(description, F.lit("")), "\n")
     start = F.struct(F.lit(None).cast("string").alias("room"), F.lit(False).alias("saw"), F.lit(False).alias("section"), F.lit(0).alias("headings"), F.array().cast("array<struct<room:string,artist:string>>").alias("placed")).cast(_STATE)
-    out = df.withColumn("_told", F.transform(lines, lambda x: _told(F.trim(x), names)))
+    # the names' plain forms, and each line, are bound once
+    known = F.filter(F.transform(names, lambda a: F.struct(_padded(a).alias("own"), a.alias("artist"))), lambda x: F.trim(x["own"]) != "")
+    told = spans.let(known, lambda k: F.transform(F.transform(lines, lambda x: F.trim(x)), lambda x: _told(x, k)))
+    out = df.withColumn("_told", told)
     out = out.withColumn("_fold", F.aggregate("_told", start, _step))
     placed = F.col("_fold.placed")
     within = lambda room: F.filter(names, lambda a: F.exists(placed, lambda p: (p["artist"] == a) & (p["room"] == room)))
