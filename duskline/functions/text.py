@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spans import let
+
 #: Title words that tell no event from another.
 GENERIC_TITLE_WORDS = (
     "black red box boxes room stage hall floor techno house electronic electro melodic hard deep party showcase club rave raves festival gig "
@@ -99,18 +101,24 @@ def first_spellings(names: Column) -> Column:
 
 def normal_url(url: Column) -> Column:
     """https, no www., no tracking parameters, parameters sorted, no closing slashes, fragment kept; text that is no URL is only trimmed."""
-    text = F.trim(url)
-    base, fragment = F.substring_index(text, "#", 1), F.when(F.instr(text, "#") > 0, F.expr("''")).otherwise(F.lit(None))
-    fragment = F.when(F.instr(text, "#") > 0, F.substr(text, F.instr(text, "#") + 1))
-    host = F.regexp_replace(F.lower(F.regexp_extract(base, r"^[a-zA-Z][\w+.-]*://([^/?]+)", 1)), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_extract(base, r"^[a-zA-Z][\w+.-]*://[^/?]+([^?]*)", 1), "/+$", "")
-    query = F.regexp_extract(base, r"\?(.*)$", 1)
     key = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.startswith(key(p), F.lit("utm_")) & ~key(p).isin(*TRACKING_PARAMETERS))
-    with_values = F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
-    ordered = F.array_join(F.array_sort(with_values), "&")
-    normal = F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), F.when(ordered == "", "").otherwise(F.concat(F.lit("?"), ordered)), F.when(F.coalesce(fragment, F.lit("")) == "", "").otherwise(F.concat(F.lit("#"), fragment)))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(None)).when(host == "", text).otherwise(normal)
+    scheme = r"^[a-zA-Z][\w+.-]*://"
+
+    def ordered(base: Column) -> Column:
+        kept = F.filter(F.split(F.regexp_extract(base, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.startswith(key(p), F.lit("utm_")) & ~key(p).isin(*TRACKING_PARAMETERS))
+        return F.array_join(F.sort_array(F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))), "&")
+
+    def parts(base: Column) -> Column:
+        host = F.regexp_replace(F.lower(F.regexp_extract(base, scheme + "([^/?]+)", 1)), r"^www\.", "")
+        path = F.regexp_replace(F.regexp_extract(base, scheme + "[^/?]+([^?]*)", 1), "/+$", "")
+        return F.struct(host.alias("host"), path.alias("path"), ordered(base).alias("query"))
+
+    def normal(text: Column, v: Column) -> Column:
+        fragment = F.when(F.instr(text, "#") > 0, F.substr(text, F.instr(text, "#") + 1)).otherwise("")
+        whole = F.concat(F.lit("https://"), v["host"], F.when(v["path"] == "", "/").otherwise(v["path"]), F.when(v["query"] == "", "").otherwise(F.concat(F.lit("?"), v["query"])), F.when(fragment == "", "").otherwise(F.concat(F.lit("#"), fragment)))
+        return F.when(F.coalesce(text, F.lit("")) == "", F.lit(None)).when(v["host"] == "", text).otherwise(whole)
+
+    return let(F.trim(url), lambda text: let(let(F.substring_index(text, "#", 1), parts), lambda v: normal(text, v)))
 
 
 def host_of(url: Column) -> Column:

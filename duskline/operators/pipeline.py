@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import genres, relevance, rules, text, time
+from ..functions import genres, relevance, rules, spans, text, time
 from ..sources.tables import checkpointed
 from . import decisions, joins, matching
 
@@ -114,9 +114,9 @@ def external_links(official: Column, ticket: Column, listing: Column, others: Co
     """array<struct<role, url>>: each normal URL once, the first role winning."""
     entry = lambda role, u: F.struct(F.lit(role).alias("role"), u.alias("url"))
     every = F.concat(F.array(entry("official", official), entry("ticket", ticket), entry("listing", listing)), F.transform(F.coalesce(others, F.array().cast("array<string>")), lambda u: entry("other", u)))
-    known = F.filter(every, lambda x: x["url"].isNotNull())
-    urls = F.transform(known, lambda x: text.normal_url(x["url"]))
-    return F.filter(known, lambda x, i: F.array_position(urls, text.normal_url(x["url"])) == i + 1)
+    known = F.transform(F.filter(every, lambda x: x["url"].isNotNull()), lambda x: F.struct(x.alias("link"), text.normal_url(x["url"]).alias("normal")))
+    first = lambda v: F.filter(v, lambda x, i: F.array_position(v["normal"], x["normal"]) == i + 1)
+    return spans.let(known, first)["link"]
 
 
 def display_title(title: Column, venue: Column) -> Column:
