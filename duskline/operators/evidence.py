@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans, text
+from ..sources.tables import checkpointed
 
 # ------------------------------------------------------------------ labels and links
 
@@ -45,13 +46,15 @@ def paired_profiles(events: DataFrame, key: str = "event_id", artists: str = "ar
     sides = F.when(F.size(text.split_lineup(F.col("entry"))) > 1, F.concat(F.array("entry"), text.split_lineup(F.col("entry")))).otherwise(F.array("entry"))
     targets = billed.select(key, "_at", "entry", F.explode(sides).alias("part")).withColumn("name_key", text.artist_key(F.col("part"))).where("name_key <> ''")
     met = forms.join(targets, [key, "name_key"])
-    best = met.groupBy(key, "line", "place", "profile").agg(F.min("form").alias("form"))
-    met = met.join(best, [key, "line", "place", "profile", "form"]).groupBy(key, "line", "place", "profile").agg(F.countDistinct("_at", "part").alias("n"), F.min(F.struct("entry", "part", "name_key")).alias("t")).where("n = 1")
-    pairs = met.select(key, "t.entry", "t.part", "t.name_key", F.col("profile").alias("url")).distinct()
-    here = pairs.groupBy(key, "entry", "part").agg(F.countDistinct("url").alias("_here"))
+    at = F.struct("_at", "part")
+    by_form = met.groupBy(key, "line", "place", "profile", "form").agg((F.min(at) == F.max(at)).alias("one"), F.min(F.struct("entry", "part", "name_key")).alias("t"))
+    best = by_form.groupBy(key, "line", "place", "profile").agg(F.min_by(F.struct("one", "t"), "form").alias("b")).where("b.one")
+    # stored, as what is found of a name and what is found of an event would otherwise each read all texts again
+    pairs = checkpointed(best.select(key, "b.t.entry", "b.t.part", "b.t.name_key", F.col("profile").alias("url")).distinct())
+    here = F.count("*").over(Window.partitionBy(key, "entry", "part"))
     # a key's profiles differ if its least is not its greatest: no set is gathered for a popular name
     every = pairs.groupBy("name_key").agg((F.min("url") != F.max("url")).alias("_differ"))
-    out = pairs.join(here, [key, "entry", "part"]).join(every, "name_key")
+    out = pairs.withColumn("_here", here).join(every, "name_key")
     conflict = F.when(text.has_weak_separator(F.col("part")), "entry_not_single_artist").when(F.col("_here") > 1, "two_handles_same_event").when(F.col("_differ"), "two_handles_same_key")
     return out.select(key, "entry", "part", "name_key", "url", conflict.alias("conflict"))
 
