@@ -156,10 +156,15 @@ _text_words = "list_sort(list_distinct(list_filter(string_split(trim(regexp_repl
 
 
 def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the sorted set of words of a document's whole text."""
+    """doc_id, source, lang and the sorted set of words of a document's whole text; it may be empty.
+
+    Filters on w belong after an aggregation or a checkpoint: before one, Spark would work the words out a second time for them.
+    """
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.lower("text").alias("line"))
-    plain = F.trim(F.regexp_replace(F.regexp_replace("line", r"[^a-z0-9\s]", ""), r"\s+", " "))
-    return d.select("doc_id", "source", "lang", F.array_sort(F.array_distinct(F.filter(F.split(plain, " "), lambda x: F.length(x) > 1))).alias("w")).where(F.size("w") > 0)
+    plain = F.regexp_replace("line", r"[^a-z0-9 \t\n\f\r]+", "")
+    for space in "\t\n\f\r":
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    return d.select("doc_id", "source", "lang", F.sort_array(F.array_distinct(F.filter(F.split(plain, " "), lambda x: F.length(x) > 1))).alias("w"))
 
 
 @query(f"""
@@ -167,7 +172,7 @@ WITH t AS (SELECT doc_id, source, lang, {_text_words} AS w FROM documents)
 SELECT min(doc_id) AS class_id, count(*) AS members, any_value(source) AS source, any_value(lang) AS lang FROM t WHERE len(w) > 0 GROUP BY source, lang, w""")
 def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-3: documents of one source and language whose texts have the same words, as one class named by its smallest id. Sets are grouped by digest, so that they aren't shuffled."""
-    g = text_words(spark, sf_dir).groupBy("source", "lang", F.sha2(F.array_join("w", " "), 256).alias("key")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
+    g = text_words(spark, sf_dir).groupBy("source", "lang", F.sha2(F.array_join("w", " "), 256).alias("key")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.max(F.size("w")).alias("n")).where("n > 0")
     return g.select("class_id", "members", "source", "lang")
 
 
