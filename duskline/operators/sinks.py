@@ -70,7 +70,9 @@ def inserted(new: DataFrame, stored: DataFrame, source: str, at: Column) -> tupl
     new: event_id, slug, official_url, ticket_url. A link is written for each role with a URL; each event has one row of the log, with the fields that it was given.
     """
     rest = [c for c in new.columns if c != "event_id"]
-    one = new.groupBy("event_id").agg(F.min_by(F.struct(*rest), F.struct("slug", *[c for c in rest if c != "slug"])).alias("_e")).select("event_id", "_e.*")
+    # dealt out before they are aggregated: with structs Spark sorts, and would first sort all of an input split in its task, to no use as ids seldom repeat
+    dealt = new.repartition(int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")), "event_id")
+    one = dealt.groupBy("event_id").agg(F.min_by(F.struct(*rest), F.struct("slug", *[c for c in rest if c != "slug"])).alias("_e")).select("event_id", "_e.*")
     events = one.join(stored.select("event_id"), "event_id", "left_anti").withColumn("created_at", at)
     roles = F.array(F.struct(F.lit("official").alias("role"), F.col("official_url").alias("url")), F.struct(F.lit("ticket").alias("role"), F.col("ticket_url").alias("url")))
     links = events.select("event_id", F.lit(source).alias("source_id"), F.explode(F.filter(roles, lambda x: x["url"].isNotNull())).alias("_l")).select("event_id", "source_id", "_l.role", "_l.url")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from duskline.functions import rooms, text
-from duskline.operators import evidence, headliners, pipeline
+from duskline.operators import evidence, headliners, pipeline, sinks
 from duskline.plans import catalogue
 
 
@@ -57,3 +57,17 @@ def test_words_of_texts_are_found_once(spark, tmp_path):
         c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
         known = c.execute("select class_id, members, source, lang from (" + ORACLES["token_classes"] + ")").fetchall()
     assert sorted(map(tuple, out.collect()), key=str) == sorted(known, key=str)
+
+
+def test_new_events_are_not_sorted_by_split(spark):
+    new = spark.createDataFrame([(1, "b", "u", None), (1, "a", None, "t"), (2, "c", None, None)], "event_id long, slug string, official_url string, ticket_url string")
+    events, links, log = sinks.inserted(new, new.where("event_id = 2"), "s", F.lit(None).cast("timestamp"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = events._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    dealt = next(i for i, x in enumerate(plan) if "REPARTITION_BY_NUM" in x)
+    assert not any("Aggregate" in x for x in plan[dealt:])
+    assert [tuple(r) for r in links.select("event_id", "role", "url").collect()] == [(1, "ticket", "t")]
+    assert [r[0] for r in log.select("fields_changed").collect()] == [["slug", "ticket_url"]]
