@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genres, text, time
-from ..operators import joins
+from ..operators import joins, sketches
 from ..sources.tables import checkpointed, load
 from .reads import GENRE_OF, _tags, tags_of
 from .registry import listed, query
@@ -155,12 +155,14 @@ def route_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 _text_words = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1)))"
 
 
-def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the sorted set of words of a document's whole text; it may be empty.
+def text_words(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, lang and the sorted set of words of a document's whole text, of all documents or those of ids (doc_id); it may be empty.
 
     Filters on w belong after an aggregation or a checkpoint: before one, Spark would work the words out a second time for them.
     """
-    d = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.lower("text").alias("line"))
+    d = load(spark, sf_dir, "documents")
+    d = d if ids is None else d.join(ids, "doc_id", "left_semi")
+    d = d.select("doc_id", "source", "lang", F.lower("text").alias("line"))
     plain = F.regexp_replace("line", r"[^a-z0-9 \t\n\f\r]+", "")
     for space in "\t\n\f\r":
         plain = F.replace(plain, F.lit(space), F.lit(" "))
@@ -180,6 +182,15 @@ def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIMILAR = 0.8
 
 
+_SPACED = bytes.maketrans(b"\t\n\f\r", b"    ")
+_NO_WORDS = bytes(x for x in range(256) if x not in b"abcdefghijklmnopqrstuvwxyz0123456789 \t\n\f\r")
+
+
+def ascii_words(line: bytes) -> set[bytes]:
+    """The set of words that text_words finds in a lower-cased text."""
+    return {x for x in line.translate(_SPACED, _NO_WORDS).split() if len(x) > 1}
+
+
 @query(f"""
 WITH t AS (SELECT doc_id, source, lang, {_text_words} AS w FROM documents), c AS (SELECT min(doc_id) AS id, source, lang, w FROM t WHERE len(w) > 0 GROUP BY source, lang, w),
 p AS (SELECT a.id AS a_class, b.id AS b_class, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS na, len(b.w) AS nb FROM c a JOIN c b ON a.source = b.source AND a.lang = b.lang AND a.id < b.id AND len(a.w) >= {SIMILAR} * len(b.w) AND len(b.w) >= {SIMILAR} * len(a.w))
@@ -187,24 +198,23 @@ SELECT a_class, b_class, round(k / (na + nb - k), 6) AS jaccard, round(k / least
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-3, STR-6: similar word sets of whole texts within a source and language, as pairs of token_classes.
 
-    Texts of the same words are one class, so copies make no pairs. Sets with a
-    Jaccard of t share at least t of the larger one, so they share one of the
-    (1 - t) n + 1 rarest words of either (prefix filter): ids meet on those, and
-    only pairs that met, of sizes that allow t, get their sets.
+    Texts of the same words are one class, so copies make no pairs. No words are
+    shuffled: sketches of the sets meet (operators.sketches), and only pairs whose
+    sketches allow the similarity get their sets, from the texts again.
     """
-    keys = ["source", "lang"]
-    w = text_words(spark, sf_dir).withColumn("key", F.sha2(F.array_join("w", " "), 256))
-    one = w.groupBy(*keys, "key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    sets = checkpointed(w.join(one, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), *keys, "w", F.size("w").alias("n")))
-    words = sets.select("id", *keys, "n", F.explode("w").alias("word"))
-    rare = words.groupBy(*keys, "word").agg(F.count("*").alias("f"))
-    ranked = words.join(rare, [*keys, "word"]).groupBy("id", *keys, "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("by_rarity"))
-    prefix = F.slice("by_rarity", 1, F.col("n") - F.ceil(F.col("n") * SIMILAR).cast("int") + 1)
-    keyed = ranked.select("id", *keys, "n", F.explode(prefix).alias("x")).select("id", *keys, "n", F.col("x.word").alias("word"))
-    a, b = (keyed.select(*keys, "word", F.col("id").alias(f"{s}_class"), F.col("n").alias(f"{s}_n")) for s in "ab")
-    met = a.join(b, [*keys, "word"]).where((F.col("a_class") < F.col("b_class")) & (F.col("a_n") >= F.col("b_n") * SIMILAR) & (F.col("b_n") >= F.col("a_n") * SIMILAR)).select("a_class", "b_class").distinct()
-    side = lambda s: sets.select(F.col("id").alias(f"{s}_class"), F.col("w").alias(f"{s}_w"))
-    out = met.join(side("a"), "a_class").join(side("b"), "b_class").select("a_class", "b_class", text.jaccard(F.col("a_w"), F.col("b_w")).alias("j"), text.overlap(F.col("a_w"), F.col("b_w")).alias("o"))
+    d = load(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    w = d.select("doc_id", "source", "lang", sketches.digested(F.lower("text"), ascii_words, SIMILAR).alias("d")).select("doc_id", "source", "lang", "d.*")
+    one = w.where("key IS NOT NULL").groupBy("source", "lang", "key").agg(F.min("doc_id").alias("id"), F.first("sketches").alias("sketches"))
+    one = one.where("id IS NOT NULL").withColumn("key", F.xxhash64("key"))
+    met = checkpointed(sketches.meeting(one, ["source", "lang"], SIMILAR))
+    # texts are read again, and those of pairs only are split; an id may be repeated over other texts
+    wanted = checkpointed(met.select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("a_key").alias("key")), F.struct(F.col("b_id").alias("id"), F.col("b_key").alias("key")))).alias("e")).select("e.*").distinct())
+    line = F.when(F.spark_partition_id() >= 0, F.array_join("w", " "))
+    found = text_words(spark, sf_dir, wanted.select(F.col("id").alias("doc_id")).distinct()).select(F.col("doc_id").alias("id"), line.alias("line"))
+    found = found.withColumn("key", F.xxhash64(F.sha2("line", 256))).join(wanted, ["id", "key"], "left_semi")
+    sets = checkpointed(found.groupBy("id", "key").agg(F.first("line").alias("line")))
+    k, both, least = F.col("shared"), F.col("a_n") + F.col("b_n"), F.least("a_n", "b_n")
+    out = sketches.shared(met, sets).select(F.col("a_id").alias("a_class"), F.col("b_id").alias("b_class"), (k / (both - k)).alias("j"), (k / least).alias("o"))
     return out.where(F.col("j") >= SIMILAR).select("a_class", "b_class", F.round("j", 6).alias("jaccard"), F.round("o", 6).alias("overlap"))
 
 
