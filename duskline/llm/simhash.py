@@ -75,10 +75,14 @@ class GrayTree:
 
     FANOUT = 8
 
-    def __init__(self, codes: np.ndarray, exact: int = 0):
-        """exact: bits that must agree outright."""
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+    def __init__(self, codes: np.ndarray, exact: int = 0, groups: np.ndarray | None = None):
+        """exact: bits that must agree outright. groups: one number a code; only codes of one group are paired, which come together in the tree. order: the place of each of the tree's codes in those given."""
+        groups = np.zeros(len(codes), np.int64) if groups is None else groups
+        self.order = np.lexsort((gray_rank(codes), groups))
+        self.codes = codes[self.order]
         self.exact = np.uint64(exact)
+        #: the first and last group below each node, by level
+        self.groups = [(groups[self.order], groups[self.order])]
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
         self.levels = [(self.codes, np.full(len(codes), full))]
         while len(self.levels[-1][0]) > 1:
@@ -86,6 +90,8 @@ class GrayTree:
             starts = np.arange(0, len(pattern), self.FANOUT)
             ones, zeros = np.bitwise_and.reduceat(pattern & mask, starts), np.bitwise_and.reduceat(~pattern & mask, starts)
             self.levels.append((ones, ones | zeros))
+            first, last = self.groups[-1]
+            self.groups.append((first[starts], last[np.minimum(starts + self.FANOUT, len(last)) - 1]))
 
     def _below(self, a: np.ndarray, b: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of children of node pairs (a <= b), and the pair that each comes from."""
@@ -93,8 +99,10 @@ class GrayTree:
         step = np.arange(k)
         x = np.broadcast_to(a[:, None, None] * k + step[None, :, None], (len(a), k, k)).ravel()
         y = np.broadcast_to(b[:, None, None] * k + step[None, None, :], (len(a), k, k)).ravel()
-        ok = (x < n) & (y < n) & (x <= y if level else x < y)
-        return x[ok], y[ok], np.repeat(np.arange(len(a)), k * k)[ok]
+        ok = np.flatnonzero((x < n) & (y < n) & (x <= y if level else x < y))
+        first, last = self.groups[level]
+        ok = ok[last[x[ok]] >= first[y[ok]]]  # groups ascend, so y's begin no earlier than x's
+        return x[ok], y[ok], ok // (k * k)
 
     def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of codes (as indexes into self.codes) that differ in at most radius bits, none of them in exact."""
