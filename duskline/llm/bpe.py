@@ -16,12 +16,14 @@ columns pass through, but for those named like results, which are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from operator import add
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -235,26 +237,35 @@ class ForcedBoundaryBpe:
         return decoded(self._names, ids)
 
 
-def encode_texts(df: DataFrame, tokenizer: str, text_col: str = "text", with_ids: bool = True, with_texts: bool = True, cache_bytes: int | None = None) -> DataFrame:
+def encode_texts(df: DataFrame, tokenizer: str, text_col: str = "text", with_ids: bool = True, with_texts: bool = True, cache_bytes: int | None = None, with_digest: bool = False) -> DataFrame:
     """Adds n_tokens (long) and, if asked for, ids (array of int), ids_text (decimal ids joined by a space) and decoded (string).
 
     tokenizer: path of the tokenizer file, readable at that path on every executor.
     cache_bytes: of the young half of each cache of a worker, CACHE_BYTES unless given; results don't depend on it.
+    with_digest: adds decoded_sha256, of the text that the ids decode to; the worker that encodes decodes them, so that no second one stands beside it and no text leaves it.
     """
-    kept = [c for c in df.columns if c not in ("n_tokens", "ids", "ids_text", "decoded")]
+    kept = [c for c in df.columns if c not in ("n_tokens", "ids", "ids_text", "decoded", "decoded_sha256")]
     fields = [T.StructField("n_tokens", T.LongType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
     fields += [T.StructField("ids_text", T.StringType()), T.StructField("decoded", T.StringType())] * with_texts
+    fields += [T.StructField("decoded_sha256", T.StringType())] * with_digest
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = ForcedBoundaryBpe(tokenizer, cache_bytes)
         for texts in pieces(batches):
-            rows = [bpe.texts(t or b"") for t in texts]
-            out = {"n_tokens": [r[2] for r in rows]}
-            if with_ids:
-                out["ids"] = [[int(i) for i in r[0].split()] for r in rows]
-            if with_texts:
-                out |= {"ids_text": [r[0] for r in rows], "decoded": [r[1] for r in rows]}
+            out = {f.name: [] for f in fields}
+            for t in texts:
+                ids_text, text, n = bpe.texts(t or b"")
+                out["n_tokens"].append(n)
+                if with_ids or with_digest:
+                    ids = np.array([int(i) for i in ids_text.split()], np.int32)
+                if with_ids:
+                    out["ids"].append(ids)
+                if with_texts:
+                    out["ids_text"].append(ids_text)
+                    out["decoded"].append(text)
+                if with_digest:
+                    out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids.tolist()).encode()).hexdigest())
             yield pd.DataFrame(out)
 
     encoded = F.pandas_udf(run, T.StructType(fields))

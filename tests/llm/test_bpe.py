@@ -82,3 +82,15 @@ def test_caches_are_bounded_in_bytes(monkeypatch):
     cache = bpe.Cache(len)
     assert [cache["x" * (i % 200)] for i in range(2000)] == [i % 200 for i in range(2000)]
     assert len(cache) + len(cache.old) < 30 and cache["y" * 5000] == 5000 and "y" * 5000 not in cache
+
+
+def test_the_stage_encodes_and_decodes_in_one_worker(spark, documents, odd_texts, library):
+    import corpus_pipeline
+
+    out = corpus_pipeline.encode(spark, documents(odd_texts), "")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, text in enumerate(odd_texts):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert (got[i]["n_tokens"], got[i]["ids"]) == (len(ids), ids)
+        assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()

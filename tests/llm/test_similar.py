@@ -95,3 +95,24 @@ def test_repeated_and_missing_ids(documents):
 
 def test_op10_keeps_its_contract(documents):
     assert neardup.one_of_each(documents(["a b c d", "a b c d", "x y z u"])).count() == 2
+
+
+def test_sets_of_a_key_are_searched_by_the_tree(monkeypatch):
+    """All pairs of one group within the radius, none of two groups; the stage's search goes through it."""
+    from duskline.llm.simhash import GrayTree
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    codes = np.array([base[rng.integers(4)] ^ np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(30))))) for _ in range(300)])
+    groups = rng.integers(-3, 40, 300)
+    tree = GrayTree(codes, groups=groups)
+    got = sorted(tuple(sorted(p)) for a, b in tree.pairs(similar.RADIUS) for p in zip(tree.order[a].tolist(), tree.order[b].tolist(), strict=True))
+    assert got == [(i, j) for i in range(300) for j in range(i + 1, 300) if groups[i] == groups[j] and np.bitwise_count(codes[i] ^ codes[j]) <= similar.RADIUS]
+
+    import pandas as pd
+
+    rows = [(1, True, 5, 1, np.arange(9)), (1, False, 7, 2, np.arange(10)), (2, False, 5, 3, np.arange(9)), (1, False, 5, 4, np.arange(50))]
+    df = pd.DataFrame([(g, o, p, c, len(s), s) for g, o, p, c, s in rows], columns=["group", "odd", "print", "component", "size", "set"])
+    assert similar._links_within(df, 0.8).to_numpy().tolist() == [[2, 1]]
+    monkeypatch.setattr(GrayTree, "pairs", lambda self, radius: iter(()))
+    assert similar._links_within(df, 0.8).empty
