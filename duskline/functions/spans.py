@@ -16,8 +16,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What stands before the first and after the last letter of a word.
-_OPENS, _ENDS = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: What stands before the first and after the last letter of a word: \w is ASCII, and in any case one look at a table, which [A-Za-z0-9_] is not.
+_OPENS, _ENDS = r"(?<!\w)", r"(?!\w)"
 NO_TEXTS = "array<string>"
 
 
@@ -32,6 +32,11 @@ def word(pattern: str, any_case: bool = True) -> str:
     return ("(?iu)" if any_case else "") + opened.replace(r"\b", _ENDS)
 
 
+def parted(text: Column, pattern: str) -> Column:
+    """split(text, pattern, -1) for a pattern that matches no empty text: Spark compiles split's pattern for each row, regexp_replace's once."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit("\x01")), F.split(t, pattern, -1)).otherwise(F.split(F.regexp_replace(t, pattern, "\x01"), "\x01", -1)))
+
+
 def patterns(sources: list[str]) -> Column:
     return F.array(*[F.lit(word(p)) for p in sources])
 

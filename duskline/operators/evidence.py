@@ -86,31 +86,48 @@ def _pattern(before: str, name: Column, after: str) -> Column:
 def billing(title: Column) -> Column:
     """What a title says before the first mark of a place or kind of event, tags in brackets at its front left out."""
     bare = F.regexp_replace(title, r"^\s*(?:[\[(【][^\])】]*[\])】]\s*)+", "")
-    return F.get(F.split(bare, spans.word(STOPS), 2), F.lit(0))
+    return F.regexp_extract(bare, r"(?ius)^(.*?)(?:" + spans.word(STOPS, any_case=False) + r"|\z)", 1)
 
 
 def billed_names(title: Column) -> Column:
-    parts = F.transform(F.split(billing(title), spans.word(BETWEEN_NAMES)), lambda x: F.trim(x))
+    parts = F.transform(spans.parted(billing(title), spans.word(BETWEEN_NAMES)), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
 def video_checks(name: Column, title: Column, channel: Column) -> dict[str, Column]:
-    """What holds of a video for an artist, by the name of the rule that asks for it."""
+    """What holds of a video for an artist, by the name of the rule that asks for it.
+
+    A pattern made of a name is compiled for every row. So where a name of ASCII stands
+    at most once in a title of ASCII, what is before and after it is looked at by fixed patterns.
+    """
     name, title, channel = (F.trim(F.coalesce(c, F.lit(""))) for c in (name, title, channel))
     own = (F.lower(channel) == F.lower(name)) & (name != "") & ~F.lower(name).isin(*COMMON_NAMES)
     trusted = F.lower(channel).isin(*TRUSTED)
-    bare = F.regexp_replace(title, _pattern(_OPEN, name, _SHUT), F.lit("$1 "))
-    whole = (name != "") & F.rlike(title, _pattern(_OPEN, name, _SHUT)) & ~F.rlike(title, _pattern(spans.word(SUPPORTING, any_case=False), name, _SHUT))
-    token = F.lower(F.call_function("regexp_extract", title, _pattern(_OPEN, name, r" +(\p{L}[\p{L}\p{N}]*)"), F.lit(2)))
-    continues = (token == "") | token.isin(*AFTER_NAME) | (token == F.get(F.split(F.lower(channel), r"\s+"), F.lit(0))) | token.rlike(r"\p{N}")
-    first = F.exists(billed_names(title), lambda p: F.rlike(F.regexp_replace(p, r"^[^\p{L}\p{N}]+", ""), _pattern("^", name, _SHUT)))
+    ascii_ = lambda c: F.octet_length(c) == F.length(c)
+    at = F.position(F.lower(name), F.lower(title))
+    known = ascii_(name) & ascii_(title) & (name != "")
+    once = known & ((at == 0) | (F.position(F.lower(name), F.lower(title), at + 1) == 0))
+    head, tail = F.substr(title, F.lit(1), at - 1), F.substr(title, at + F.length(name))
+    opened = (at > 0) & ~head.rlike(r"[\p{L}\p{N}]\z")
+    alone = F.when(opened, ~tail.rlike(r"^[\p{L}\p{N}]")).otherwise(False)
+    supporting = spans.word(SUPPORTING, any_case=False)
+    by_name = lambda plain, pattern: F.when(once, plain).otherwise(pattern)
+    bare = by_name(F.when(alone, F.concat(head, F.lit(" "), tail)).otherwise(title), F.regexp_replace(title, _pattern(_OPEN, name, _SHUT), F.lit("$1 ")))
+    whole = by_name(
+        F.when(alone, ~head.rlike("(?iu)" + supporting + r"\z")).otherwise(False),
+        (name != "") & F.rlike(title, _pattern(_OPEN, name, _SHUT)) & ~F.rlike(title, _pattern(supporting, name, _SHUT)),
+    )
+    token = F.lower(by_name(F.when(opened, F.regexp_extract(tail, r"^ +(\p{L}[\p{L}\p{N}]*)", 1)).otherwise(""), F.call_function("regexp_extract", title, _pattern(_OPEN, name, r" +(\p{L}[\p{L}\p{N}]*)"), F.lit(2))))
+    continues = spans.let(token, lambda t: (t == "") | t.isin(*AFTER_NAME) | (t == F.regexp_extract(F.lower(channel), r"^\S*", 0)) | t.rlike(r"\p{N}"))
+    begins = lambda p: F.when(known, F.startswith(F.lower(p), F.lower(name)) & ~F.substr(p, F.length(name) + 1).rlike(r"^[\p{L}\p{N}]")).otherwise(F.rlike(p, _pattern("^", name, _SHUT)))
+    first = F.when(known & (at == 0), False).otherwise(F.exists(billed_names(title), lambda p: begins(F.regexp_replace(p, r"^[^\p{L}\p{N}]+", ""))))
     return {
         "channel": own | trusted,
         "name": whole,
         "performance": ~bare.rlike(spans.any_of(NO_PERFORMANCE)),
-        "cue": ~own | bare.rlike(spans.any_of(PERFORMANCE)),
+        "cue": F.when(own, bare.rlike(spans.any_of(PERFORMANCE))).otherwise(True),
         "billed": F.size(billed_names(title)) <= MOST_BILLED,
-        "continuation": ~trusted | own | continues,
+        "continuation": F.when(trusted & ~own, continues).otherwise(True),
         "position": first,
     }
 
@@ -127,14 +144,16 @@ def video_match(name: Column, title: Column, channel: Column) -> Column:
 RULES = 1000
 
 
-def replayed(candidates: DataFrame, rules: list[tuple[int, str, str | None]]) -> DataFrame:
-    """artist, version, outcome, alternative: what each version of the rules makes of the video chosen for an artist, over the stored candidates.
+def replayed(candidates: DataFrame, rules: list[tuple[int, str, str | None]], alternatives: bool = True) -> DataFrame:
+    """artist, version, outcome and, unless told otherwise, alternative: what each version of the rules makes of the video chosen for an artist, over the stored candidates.
 
     candidates: artist, name, video, title, channel, published, attempt (primary
     or fallback), verified (null: never looked at), chosen (the artist's video),
     match_rule. rules: (version, rule, pattern); a rule is one of video_checks,
     or reject or require with a pattern for the title. Candidates are judged under each
-    version by an expression, not a join.
+    version by an expression, not a join, and those that fail a rule of every version
+    by that rule alone. They are summed up by artist and attempt with a column for each
+    version, which becomes a row only then.
     outcome: manual_pin, not_replayable, unchanged, other_candidate_available (the
     newest verified one), needs_fallback_query or would_abstain.
     """
@@ -142,32 +161,51 @@ def replayed(candidates: DataFrame, rules: list[tuple[int, str, str | None]]) ->
         raise ValueError(f"more than {RULES} rules")
     checks = video_checks(F.col("name"), F.col("title"), F.col("channel"))
     versions = sorted({v for v, _, _ in rules})
+    shared = [r for r in checks if all((v, r) in {(v, r) for v, r, p in rules if not p} for v in versions)]
+    asked = {rule for _, rule, pattern in rules if not pattern} - set(shared)
 
     def passes(version: int) -> Column:
         every = F.lit(True)
         for v, rule, pattern in rules:
-            if v == version:
+            if v == version and rule not in shared:
                 met = F.coalesce(F.col("title").rlike(spans.word(pattern)), F.lit(False)) if pattern else None
                 every = every & (~met if rule == "reject" else met if rule == "require" else F.col(f"_{rule}"))
-        return every
-
-    judged = candidates.withColumns({f"_{rule}": ok for rule, ok in checks.items()})
-    judged = judged.withColumn("_v", F.explode(F.array(*[F.struct(F.lit(v).alias("version"), passes(v).alias("ok")) for v in versions])))
+        return F.when(F.col("_shared"), every).otherwise(False)
+
+    passed = F.lit(True)
+    for rule in reversed(shared):
+        passed = F.when(checks[rule], passed).otherwise(False)
+    judged = candidates.withColumn("_shared", passed)
+    judged = judged.withColumns({f"_{rule}": F.when(F.col("_shared"), checks[rule]).otherwise(False) for rule in sorted(asked)})
+    judged = judged.withColumns({f"_ok{i}": passes(v) for i, v in enumerate(versions)})
     mine = F.col("video") == F.col("chosen")
-    open_ = F.col("_v.ok") & ~F.coalesce(mine, F.lit(False)) & F.coalesce("verified", F.lit(False))
-    owner = F.max(F.when(mine, F.col("attempt"))).over(Window.partitionBy("artist"))
-    judged = judged.withColumn("_owner", owner)
-    same = F.col("attempt") == F.col("_owner")
-    g = judged.groupBy("artist", F.col("_v.version").alias("version")).agg(
+    open_ = lambda i: F.col(f"_ok{i}") & ~F.coalesce(mine, F.lit(False)) & F.coalesce("verified", F.lit(False))
+    each = range(len(versions))
+    sums = {"mine": F.max(F.when(mine, True))}
+    for i in each:
+        sums |= {f"ok{i}": F.max(F.when(mine, F.col(f"_ok{i}"))), f"any{i}": F.max(open_(i))}
+        if alternatives:
+            sums[f"newest{i}"] = F.max(F.when(open_(i), F.struct("published", "video")))
+    # match_rule is a key at first: with sums of booleans only, rows are hashed and not sorted
+    parts = judged.groupBy("artist", "attempt", "match_rule").agg(*[c.alias(n) for n, c in sums.items()])
+    tried = parts.groupBy("artist", "attempt").agg(F.max("match_rule").alias("match_rule"), *[F.max(n).alias(n) for n in sums])
+    at_owner = F.when(F.col("mine"), F.col("attempt"))
+    g = tried.groupBy("artist").agg(
         F.max("match_rule").alias("match_rule"),
-        F.max("_owner").alias("owner"),
-        F.max(F.when(mine & same, F.col("_v.ok"))).alias("ok"),
-        F.max_by("video", F.when(open_ & same, F.struct("published", "video"))).alias("alternative"),
-        F.max(open_ & same).alias("any"),
+        F.max(at_owner).alias("owner"),
         F.max(F.col("attempt") == "fallback").alias("fallback"),
+        *[F.max_by(n, at_owner).alias(n) for n in sums if n != "mine"],
     )
-    outcome = F.when(F.col("match_rule") == "manual", "manual_pin").when(F.col("ok").isNull(), "not_replayable").when(F.col("ok"), "unchanged").when(F.coalesce("any", F.lit(False)), "other_candidate_available").when((F.col("owner") == "primary") & ~F.col("fallback"), "needs_fallback_query").otherwise("would_abstain")
-    return g.select("artist", "version", outcome.alias("outcome"), F.when(outcome == "other_candidate_available", F.col("alternative")).alias("alternative"))
+
+    def outcome(i: int) -> Column:
+        o = F.when(F.col("match_rule") == "manual", "manual_pin").when(F.col(f"ok{i}").isNull(), "not_replayable").when(F.col(f"ok{i}"), "unchanged")
+        return o.when(F.coalesce(f"any{i}", F.lit(False)), "other_candidate_available").when((F.col("owner") == "primary") & ~F.col("fallback"), "needs_fallback_query").otherwise("would_abstain")
+
+    def row(i: int) -> Column:
+        other = [F.when(outcome(i) == "other_candidate_available", F.col(f"newest{i}.video")).alias("alternative")] if alternatives else []
+        return F.struct(F.lit(versions[i]).alias("version"), outcome(i).alias("outcome"), *other)
+
+    return g.select("artist", F.explode(F.array(*map(row, each))).alias("_v")).select("artist", "_v.*")
 
 
 def replay_report(outcomes: DataFrame) -> DataFrame:

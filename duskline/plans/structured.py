@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import descriptions, rooms
@@ -143,16 +143,17 @@ def rule_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     say = lambda *parts: F.concat(*[name if p is None else F.lit(p) for p in parts])
     title = F.when(form == 0, say(None, " live at Hall")).when(form == 1, say(None, " podcast")).when(form == 2, say("warm up set for ", None)).when(form == 3, say(None, " B | Boiler Room")).when(form == 4, say(None, ", A, B & C live")).when(form == 5, "else entirely").when(form == 6, say("Hall | ", None, " dj set")).when(form == 7, say("[FULL SET] ", None, " b2b A")).otherwise(say(None, " riding"))
     supp = F.col("l_suppkey") % 3
-    line = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    c = line.select(
-        F.col("p_partkey").alias("artist"), name.alias("name"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("video"), F.col("l_shipdate").alias("published"), title.alias("title"),
+    # a video is chosen among the rows of one part and video before anything is told of it
+    line = load(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("video"), "l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey", "l_quantity")
+    first = Window.partitionBy("l_partkey", "video").orderBy("l_shipdate", "l_suppkey", "l_quantity")
+    line = line.repartition("l_partkey").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    chosen = line.where((supp < 2) & ~form.isin(2, 5)).groupBy(F.col("l_partkey").alias("artist")).agg(F.min("video").alias("chosen"))
+    c = line.join(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_partkey").alias("artist"), name.alias("name"), "video", F.col("l_shipdate").alias("published"), title.alias("title"),
         F.when(supp == 0, name).when(supp == 1, "Boiler Room").otherwise("a fan").alias("channel"), F.when(F.col("l_linenumber") < 5, "primary").otherwise("fallback").alias("attempt"),
-        F.when(F.col("l_quantity") <= 45, F.col("l_quantity") > 10).alias("verified"), F.when(F.col("p_size") == 7, "manual").otherwise("A").alias("match_rule"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("q"), ((supp < 2) & ~form.isin(2, 5)).alias("_able"),
+        F.when(F.col("l_quantity") <= 45, F.col("l_quantity") > 10).alias("verified"), F.when(F.col("p_size") == 7, "manual").otherwise("A").alias("match_rule"),
     )
-    rest = [x for x in c.columns if x not in ("artist", "video")]
-    c = c.groupBy("artist", "video").agg(F.min_by(F.struct(*rest), F.struct("published", "supp", "q")).alias("c")).select("artist", "video", "c.*")
-    chosen = c.where("_able").groupBy("artist").agg(F.min("video").alias("chosen"))
-    return evidence.replay_report(evidence.replayed(c.join(chosen, "artist", "left"), RULE_VERSIONS))
+    return evidence.replay_report(evidence.replayed(c.join(chosen, "artist", "left"), RULE_VERSIONS, alternatives=False))
 
 
 # ------------------------------------------------------------------ headliners
