@@ -86,7 +86,8 @@ class Cache(dict):
 class ForcedBoundaryBpe:
     """Encodes as the tokenizer of a tokenizers-library file with word ends does, without special tokens added."""
 
-    def __init__(self, path: str, cache_bytes: int | None = None):
+    def __init__(self, path: str, cache_bytes: int | None = None, counting: bool = False):
+        """counting: only the number of ids is asked for, and no texts are made of them."""
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -113,6 +114,8 @@ class ForcedBoundaryBpe:
         self._bytes = byte_alphabet()
         #: For words of ASCII only, without white space, where the library's normalizer and splitter do no more than this.
         self._ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+        if counting:
+            self._strings = lambda ids: ("", "", len(ids))
         self._chunks, self._words = Cache(self._chunk, cache_bytes), Cache(self._plain, cache_bytes)
         self._mapped_words, self._fragments = Cache(self._mapped, cache_bytes), Cache(self._merge, cache_bytes)
 
@@ -230,6 +233,11 @@ class ForcedBoundaryBpe:
         """The decimal ids joined by a space, the decoded text, and the number of ids."""
         return self._joined(list(map(self._chunks.__getitem__, text.split())))
 
+    def count(self, text: bytes) -> int:
+        """The number of ids alone."""
+        chunks = self._chunks
+        return sum([chunks[x][2] for x in text.split()])
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.texts(text.encode())[0].split()]
 
@@ -251,8 +259,12 @@ def encode_texts(df: DataFrame, tokenizer: str, text_col: str = "text", with_ids
     fields += [T.StructField("decoded_sha256", T.StringType())] * with_digest
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = ForcedBoundaryBpe(tokenizer, cache_bytes)
+        counting = len(fields) == 1
+        bpe = ForcedBoundaryBpe(tokenizer, cache_bytes, counting)
         for texts in pieces(batches):
+            if counting:
+                yield pd.DataFrame({"n_tokens": [bpe.count(t or b"") for t in texts]})
+                continue
             out = {f.name: [] for f in fields}
             for t in texts:
                 ids_text, text, n = bpe.texts(t or b"")

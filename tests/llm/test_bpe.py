@@ -50,6 +50,13 @@ def test_caches_that_overflow_change_nothing(monkeypatch, library):
     assert small.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_counting_makes_no_texts(library):
+    counting = bpe.ForcedBoundaryBpe(queries.tokenizer_path(), counting=True)
+    for text in [*hard_texts()[::10], "", " \n", "One, two <|endoftext|>x don't. One"]:
+        assert counting.count(text.encode()) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+    assert counting._words and not any("".join(v[:2]).strip() for c in (counting._chunks, counting._words, counting._mapped_words) for v in c.values())
+
+
 def test_query_over_odd_texts(spark, documents, odd_texts, library, tmp_path):
     documents(odd_texts).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in queries.op2_bpe(spark, str(tmp_path)).collect()}
