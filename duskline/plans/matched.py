@@ -158,7 +158,7 @@ def relevance_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
     x = F.when(F.col("doc_id") % 2 == 0, F.concat(said, F.lit(". "), body)).otherwise(F.concat(body, F.lit(". "), said))
     d = load(spark, sf_dir, "documents").select("doc_id", x.alias("x"), F.array(F.lit(_NAMES), F.col("source")).alias("names"))
-    named = lambda p: F.col("x").rlike(r"(?i)(?<![A-Za-z0-9_])" + p + "(?![A-Za-z0-9_])")
+    named = lambda p: F.col("x").rlike(r"(?i)(?<!\w)" + p + r"(?!\w)")
     genre: Column = F.when(named("techno"), "techno").when(named("house"), "house").when(F.lower("x").contains("electroni"), relevance.GENERIC_GENRE)
     out = relevance.with_signals(d, "x", "names")
     no = F.lit(False)

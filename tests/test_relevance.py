@@ -93,3 +93,8 @@ def test_spans_and_masks(spark):
     assert r["b"] == ["", "wo, ", "one "] and r["a"] == [" tw", ". n", ""] and r["h"] == ["", "one two, ", " none "]
     names = F.array(F.lit(" a.b "), F.lit(r"x\Ey"), F.lit("no"))
     assert spark.range(1).select(spans.masked(F.lit(r"A.B and aXb, X\eY no"), names).alias("m")).first()["m"] == "  and aXb,   no"
+
+
+def test_word_edges_are_ascii_in_any_case(spark):
+    """The long s and the Kelvin sign are s and k in any case, but no ASCII letters."""
+    assert [r["families"] for r in signals(spark, [("ſjazz", []), ("jazzK", []), ("sjazz", []), ("jazz_", [])])] == [1, 1, 0, 0]
