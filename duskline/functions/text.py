@@ -23,6 +23,8 @@ GENERIC_TITLE_WORDS = (
 ).split()
 #: Query parameters that only track.
 TRACKING_PARAMETERS = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "affiliate", "igshid"]
+#: Words of ASCII letters and digits, one space apart, as most names are: nothing is to be taken away from these.
+_PLAIN = r"^[A-Za-z0-9]+(?: [A-Za-z0-9]+)*+\z"
 
 
 @F.pandas_udf(T.StringType())
@@ -31,12 +33,13 @@ def nfkd(text: pd.Series) -> pd.Series:
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    # single spaces, most of all white space, are no matches
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))
 
 
 def plain_name(decomposed: Column) -> Column:
     """Lower case letters, digits and single spaces of a decomposed name: venues and titles."""
-    return squeezed(F.regexp_replace(F.lower(decomposed), r"[^a-z0-9\s]", ""))
+    return F.when(decomposed.rlike(_PLAIN), F.lower(decomposed)).otherwise(squeezed(F.regexp_replace(F.lower(decomposed), r"[^a-z0-9\s]", "")))
 
 
 def slug(decomposed: Column) -> Column:
@@ -58,7 +61,7 @@ def without_url_noise(name: Column) -> Column:
 
 def artist_key(name: Column) -> Column:
     """The form in which line-up names are compared; of a decomposed name. Combining marks stay."""
-    return squeezed(F.lower(F.regexp_replace(without_url_noise(name), r"\s*\([^)]*\)\s*$", "")))
+    return F.when(name.rlike(_PLAIN), F.lower(name)).otherwise(squeezed(F.lower(F.regexp_replace(without_url_noise(name), r"\s*\([^)]*\)\s*$", ""))))
 
 
 def cache_key(name: Column) -> Column:
@@ -74,8 +77,8 @@ def search_name(name: Column) -> Column:
 
 def title_words(plain: Column) -> Column:
     """The words of a plain title that tell it from others."""
-    words = F.array_distinct(F.filter(F.split(plain, " "), lambda w: F.length(w) > 1))
-    return F.array_except(words, F.array(*map(F.lit, GENERIC_TITLE_WORDS)))
+    # array_except would hash all generic words for each row
+    return F.array_distinct(F.filter(F.split(plain, " "), lambda w: (F.length(w) > 1) & ~w.isin(*GENERIC_TITLE_WORDS)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,7 +1,8 @@
 """Which rows are one event: pairs worth assessing, and what follows from them in order.
 
-Pairs come from equi-joins on keys that any pair of confidence medium or more
-must share. What depends on the order of rows (what is published first, which
+Pairs come from an equi-join on keys of which any pair of confidence medium or more
+must share one; rows bring what is compared along, so that a pair is assessed where
+it is made. What depends on the order of rows (what is published first, which
 group a row joins, which of two partners is taken) is settled in rounds over the
 pairs: a round settles every row whose earlier rivals are settled, so all
 independent cases advance together and no block of rows has to fit in a task. In
@@ -11,54 +12,74 @@ as many rounds as rows in the chain.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, time
 from ..sources.tables import checkpointed
 from . import decisions
+from .joins import small_side
 
 FEATURES = ["id", "night", "start", "venue", "sub_venue", "words", "keys", "urls"]
+#: Of a venue's night with so many rows at most all meet; in a larger one only those that share a rare title word, a line-up key or a URL.
+CROWD = 32
 
 
-def features(df: DataFrame, id_col: str, start: Column, venue: Column, sub_venue: Column, title: Column, lineup: Column, urls: Column) -> DataFrame:
-    """What is compared of an event, computed once a row: id, night, start, venue, sub_venue, title words, line-up keys, normal URLs."""
-    normal = F.array_distinct(F.array_compact(F.transform(F.coalesce(urls, F.array().cast("array<string>")), text.normal_url)))
+def features(df: DataFrame, id_col: str, start: Column, venue: Column, sub_venue: Column, title: Column, lineup: Column, urls: Column, *others: Column) -> DataFrame:
+    """What is compared of an event, computed once a row: id, night, start, venue, sub_venue, title words, line-up keys, normal URLs. Then the others, as they are."""
+    normal = F.array_distinct(F.array_compact(F.transform(F.array_compact(F.coalesce(urls, F.array().cast("array<string>"))), text.normal_url)))
     words = F.coalesce(text.title_words(text.plain_name(title)), F.array().cast("array<string>"))
     keys = F.coalesce(text.lineup_keys(lineup), F.array().cast("array<string>"))
-    return df.select(F.col(id_col).alias("id"), time.night_key(start).alias("night"), start.alias("start"), venue.alias("venue"), sub_venue.alias("sub_venue"), words.alias("words"), keys.alias("keys"), normal.alias("urls"))
+    return df.select(F.col(id_col).alias("id"), time.night_key(start).alias("night"), start.alias("start"), venue.alias("venue"), sub_venue.alias("sub_venue"), words.alias("words"), keys.alias("keys"), normal.alias("urls"), *others)
 
 
-def _rare_words(sides: list[DataFrame]) -> DataFrame:
-    """id, side, night, key of the rarest title words of each event: enough that two of one venue whose titles are similar share one.
+def _rare_words(rows: DataFrame) -> DataFrame:
+    """side, id, word: the rarest title words of each event: enough that two of one venue whose titles are similar share one.
 
     A title of n words needs the n - ceil(t * n) + 1 rarest for a similarity of t.
     """
-    rows = None
-    for i, side in enumerate(sides):
-        own = side.where("venue IS NOT NULL").select(F.lit(i).alias("side"), "id", "night", "venue", F.size("words").alias("n"), F.explode("words").alias("word"))
-        rows = own if rows is None else rows.unionByName(own)
-    common = rows.groupBy("night", "venue", "word").agg(F.count("*").alias("often"))
-    ranked = rows.join(common, ["night", "venue", "word"]).groupBy("side", "id", "night", "venue", "n").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("w"))
+    own = rows.select("side", "id", "night", "venue", F.size("words").alias("n"), F.explode("words").alias("word"))
+    common = own.groupBy("night", "venue", "word").agg(F.count("*").alias("often"))
+    ranked = own.join(common, ["night", "venue", "word"]).groupBy("side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("w"))
     most = F.col("n") - F.ceil(F.col("n") * decisions.REVIEW_TITLE).cast("int") + 1
-    return ranked.select("side", "id", "night", F.explode(F.transform(F.slice("w", 1, most), lambda x: F.concat_ws("\x1f", F.lit("w"), F.col("venue").cast("string"), x["word"]))).alias("key"))
+    return ranked.select("side", "id", F.explode(F.slice("w", 1, most)["word"]).alias("word"))
 
 
-def meeting_pairs(left: DataFrame, right: DataFrame, within: bool = False) -> DataFrame:
-    """left_id, right_id of all events of one night that share a URL, a line-up key, or (at one venue) a rare title word: no other pair can be a duplicate.
+def _meetings(rows: DataFrame, *others: str) -> DataFrame:
+    """a_* and b_*: the features of all events of one night that share a URL, a line-up key or a venue (in a crowded one a rare title word): no other pair can be a duplicate.
 
-    within: left and right are one table, and a pair is given once, the smaller id left.
+    rows: FEATURES, side and other columns that come along; a comes before b in the
+    order of (side, id). Some pairs are given more than once. Keys are hashes of a night and what is shared; what
+    meets by chance is told apart when it is assessed.
     """
-    sides = [left] if within else [left, right]
-    rare = _rare_words(sides)
-    meets = []
-    for i, side in enumerate(sides):
-        exact = F.concat(F.transform("urls", lambda u: F.concat(F.lit("u\x1f"), u)), F.transform("keys", lambda k: F.concat(F.lit("a\x1f"), k)))
-        meets.append(side.select("id", "night", F.explode(exact).alias("key")).unionByName(rare.where(F.col("side") == i).select("id", "night", "key")))
-    a = meets[0].withColumnRenamed("id", "left_id")
-    b = meets[-1].withColumnRenamed("id", "right_id")
-    pairs = a.join(b, ["night", "key"]).select("left_id", "right_id")
-    return (pairs.where("left_id < right_id") if within else pairs).distinct()
+    compared = [*(c for c in FEATURES if c != "start"), *others]
+    rows = rows.where("night IS NOT NULL").select("side", *compared)
+    placed = rows.where("venue IS NOT NULL")
+    crowds = checkpointed(placed.groupBy("night", "venue").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("night", "venue"))
+    many = not crowds.isEmpty()
+    if many:
+        crowds = small_side(crowds)
+        rows = rows.join(crowds.withColumn("crowd", F.lit(True)), ["night", "venue"], "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    else:
+        rows = rows.withColumn("crowd", F.lit(False))
+    key = lambda kind, x: F.xxhash64("night", F.lit(kind), x)
+    elsewhere = F.concat(F.transform("urls", lambda u: key("u", u)), F.transform("keys", lambda k: key("a", k)))
+    settled = F.col("venue").isNotNull() & ~F.col("crowd")
+    here = F.when(settled, F.array(key("v", F.col("venue")))).otherwise(F.array().cast("array<bigint>"))
+    keyed = rows.select("*", F.posexplode(F.concat(here, elsewhere)).alias("place", "key"))
+    # rows of one venue that is not crowded meet by its key, and by no other
+    keyed = keyed.withColumn("at_venue", F.col("crowd") | (settled & (F.col("place") == 0))).drop("place", "crowd")
+    if many:
+        crowded = placed.join(crowds, ["night", "venue"], "left_semi")
+        rare = crowded.join(_rare_words(crowded), ["side", "id"]).withColumn("key", F.xxhash64("night", F.lit("w"), "venue", "word")).drop("word")
+        keyed = keyed.unionByName(rare.withColumn("at_venue", F.lit(True)))
+    # both sides of the join take the same columns, so that Spark makes and shuffles them once
+    a, b = (keyed.select([F.col(c).alias(f"{s}_{c}") for c in ("key", "at_venue", "side", *compared)]) for s in "ab")
+    earlier = (F.col("a_side") < F.col("b_side")) | ((F.col("a_side") == F.col("b_side")) & (F.col("a_id") < F.col("b_id")))
+    once = (F.col("a_at_venue") & F.col("b_at_venue")) | ~F.coalesce(F.col("a_venue") == F.col("b_venue"), F.lit(False))
+    return a.join(b, F.col("a_key") == F.col("b_key")).where(earlier & once)
 
 
 def _fragments(urls: Column) -> Column:
@@ -66,16 +87,18 @@ def _fragments(urls: Column) -> Column:
     return F.transform(F.filter(urls, lambda u: F.contains(u, F.lit("#"))), lambda u: F.struct(F.substring_index(u, "#", 1).alias("base"), F.substring_index(u, "#", -1).alias("room")))
 
 
-def assessed(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs with confidence (medium or high; others are left out), title_similarity and artist_overlap, from the features of both.
+def confident(p: DataFrame) -> DataFrame:
+    """Pairs of features a_* and b_* with confidence (medium or high; others are left out), title_similarity and artist_overlap.
 
     Vetoes first: one page under two room anchors, or two known rooms of one venue.
     """
-    a = left.select([F.col(c).alias("left_id" if c == "id" else f"a_{c}") for c in FEATURES])
-    b = right.select([F.col(c).alias("right_id" if c == "id" else f"b_{c}") for c in FEATURES])
-    p = pairs.join(a, "left_id").join(b, "right_id").withColumns({"title_similarity": text.jaccard(F.col("a_words"), F.col("b_words")), "artist_overlap": text.overlap(F.col("a_keys"), F.col("b_keys"))})
+    # tied to the partition id: else the filter would work them out again
+    once = lambda c: F.when(F.spark_partition_id() >= 0, c)
+    p = p.withColumn("_shared", once(F.size(F.array_intersect("a_words", "b_words"))))
+    apart = F.size("a_words") + F.size("b_words") - F.col("_shared")
+    p = p.withColumns({"title_similarity": F.when(F.col("_shared") == 0, 0.0).otherwise(F.col("_shared") / apart), "artist_overlap": once(text.overlap(F.col("a_keys"), F.col("b_keys")))}).drop("_shared")
     no, one_venue = F.lit(False), F.coalesce(F.col("a_venue") == F.col("b_venue"), F.lit(False))
-    rooms = F.exists(_fragments(F.col("a_urls")), lambda x: F.exists(_fragments(F.col("b_urls")), lambda y: (x["base"] == y["base"]) & (x["room"] != y["room"])))
+    rooms = (F.size("a_urls") > 0) & (F.size("b_urls") > 0) & F.exists(_fragments(F.col("a_urls")), lambda x: F.exists(_fragments(F.col("b_urls")), lambda y: (x["base"] == y["base"]) & (x["room"] != y["room"])))
     confidence = decisions.assess_duplicate(
         same_night=F.col("a_night") == F.col("b_night"),
         room_conflict=rooms,
@@ -87,36 +110,58 @@ def assessed(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         artists=F.col("artist_overlap"),
         both_lineups=(F.size("a_keys") > 0) & (F.size("b_keys") > 0),
     )
-    return p.withColumn("confidence", confidence).where("confidence <> 'none'")
+    return p.withColumn("confidence", once(confidence)).where("confidence <> 'none'")
+
+
+def assessed(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs left_id, right_id as `confident` has them, from the features of both."""
+    a = left.select([F.col(c).alias("left_id" if c == "id" else f"a_{c}") for c in FEATURES])
+    b = right.select([F.col(c).alias("right_id" if c == "id" else f"b_{c}") for c in FEATURES])
+    return confident(pairs.join(a, "left_id").join(b, "right_id"))
+
+
+def _sided(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Features of both, those on the right first in order."""
+    made = lambda df, side: df.select(F.lit(side).alias("side"), *FEATURES)
+    return made(left, 1).unionByName(made(right, 0))
 
 
 def duplicates(left: DataFrame, right: DataFrame, within: bool = False) -> DataFrame:
-    """left_id, right_id, confidence, title_similarity, artist_overlap of all duplicates of medium confidence or more."""
-    found = assessed(meeting_pairs(left, right, within), left, right)
-    return found.select("left_id", "right_id", "confidence", "title_similarity", "artist_overlap")
+    """left_id, right_id, confidence, title_similarity, artist_overlap of all duplicates of medium confidence or more.
 
+    within: left and right are one table, and a pair is given once, the smaller id left.
+    """
+    if within:
+        met, first, second = _meetings(left.select(F.lit(1).alias("side"), *FEATURES)), "a_id", "b_id"
+    else:
+        met, first, second = _meetings(_sided(left, right)).where("a_side < b_side"), "b_id", "a_id"
+    found = confident(met).select(F.col(first).alias("left_id"), F.col(second).alias("right_id"), "confidence", "title_similarity", "artist_overlap")
+    return found.distinct()
 
-def first_come(edges: DataFrame) -> DataFrame:
-    """id of the rows that stand when rows come in order and one stands if no earlier row that it rivals stands.
 
-    edges: early, late (each pair of rivals once). Rows without rivals are not
-    in edges, and stand. A round lets those stand that have no undecided earlier
-    rival, and rules out whom they rival.
+def ruled_out(edges: DataFrame) -> DataFrame:
+    """id of the rows that do not stand when rows come in order and one stands if no earlier row that it rivals stands.
+
+    edges: early, late (each pair of rivals once). A round rules out whom a row
+    without an open earlier rival rivals, and closes the edges of those; who is never
+    ruled out stands.
     """
-    edges, stands = checkpointed(edges.select("early", "late").distinct()), None
+    edges, found = checkpointed(edges.select("early", "late").distinct()), []
     while not edges.isEmpty():
-        late = edges.select(F.col("late").alias("id")).distinct()
-        now = checkpointed(edges.select(F.col("early").alias("id")).distinct().join(late, "id", "left_anti"))
-        out = edges.join(now.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct()
-        gone = checkpointed(out.unionByName(now))
-        alone = edges.join(gone.withColumnRenamed("id", "late"), "late", "left_anti")
-        left = checkpointed(alone.join(gone.withColumnRenamed("id", "early"), "early", "left_anti"))
-        # whoever has lost all rivals without being ruled out stands too
-        free = edges.select(F.col("late").alias("id")).unionByName(edges.select(F.col("early").alias("id"))).distinct().join(gone, "id", "left_anti")
-        free = free.join(left.select(F.col("late").alias("id")).unionByName(left.select(F.col("early").alias("id"))).distinct(), "id", "left_anti")
-        stands = now.unionByName(free) if stands is None else stands.unionByName(now).unionByName(free)
-        stands, edges = checkpointed(stands), left
-    return stands if stands is not None else edges.select(F.col("early").alias("id"))
+        late = edges.select("late").distinct()
+        heads = edges.select("early").distinct().join(late, F.col("early") == F.col("late"), "left_anti")
+        out = checkpointed(edges.join(heads, "early", "left_semi").select(F.col("late").alias("id")).distinct())
+        found.append(out)
+        if len(found) == 16:
+            found = [checkpointed(reduce(DataFrame.union, found))]
+        edges = checkpointed(edges.join(out.withColumnRenamed("id", "late"), "late", "left_anti").join(out.withColumnRenamed("id", "early"), "early", "left_anti"))
+    return reduce(DataFrame.union, found) if found else edges.select(F.col("late").alias("id"))
+
+
+def first_come(edges: DataFrame) -> DataFrame:
+    """id of the rows of edges that stand, as `ruled_out` has it. Rows without rivals are not in edges, and stand."""
+    both = edges.select(F.col("early").alias("id")).unionByName(edges.select(F.col("late").alias("id"))).distinct()
+    return both.join(ruled_out(edges), "id", "left_anti")
 
 
 def visible_in_batch(rows: DataFrame, stored: DataFrame, eligible: str = "eligible") -> DataFrame:
@@ -127,18 +172,26 @@ def visible_in_batch(rows: DataFrame, stored: DataFrame, eligible: str = "eligib
     duplicate_of, duplicate_in (stored or batch) and duplicate_confidence: the
     best match, what is stored first and then the smallest id among equals.
     """
-    old = duplicates(rows, stored).select(F.col("left_id").alias("id"), F.lit("stored").alias("where"), F.col("right_id").alias("other"), "confidence")
-    own = checkpointed(duplicates(rows, rows, within=True).select(F.col("left_id").alias("early"), F.col("right_id").alias("late"), "confidence"))
-    old = checkpointed(old)
-    able = rows.where(F.col(eligible)).select("id").join(old.select("id").distinct(), "id", "left_anti")
-    rivals = own.join(able.withColumnRenamed("id", "early"), "early", "left_semi").join(able.withColumnRenamed("id", "late"), "late", "left_semi")
-    stands = first_come(rivals)
-    contested = rivals.select(F.col("early").alias("id")).unionByName(rivals.select(F.col("late").alias("id"))).distinct()
-    published = able.join(contested, "id", "left_anti").unionByName(stands)
-    seen = own.join(published.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id"), F.lit("batch").alias("where"), F.col("early").alias("other"), "confidence")
-    best = old.unionByName(seen).groupBy("id").agg(F.min_by(F.struct("where", "other", "confidence"), F.struct(-decisions.confidence_rank(F.col("confidence")), F.when(F.col("where") == "stored", 0).otherwise(1), "other")).alias("m"))
-    out = rows.select("id").join(published.withColumn("_p", F.lit(True)), "id", "left").join(best, "id", "left")
-    return out.select("id", F.coalesce("_p", F.lit(False)).alias("published"), F.col("m.other").alias("duplicate_of"), F.col("m.where").alias("duplicate_in"), F.coalesce("m.confidence", F.lit("none")).alias("duplicate_confidence"))
+    # one search finds both: what is stored comes first, and two stored rows are no pair
+    able = F.coalesce(F.col(eligible), F.lit(False))
+    sides = rows.select(F.lit(1).alias("side"), *FEATURES, able.alias("able")).unionByName(stored.select(F.lit(0).alias("side"), *FEATURES, F.lit(False).alias("able")))
+    found = confident(_meetings(sides, "able").where("a_side + b_side > 0"))
+    found = checkpointed(found.select("a_side", F.col("a_id").alias("early"), F.col("b_id").alias("late"), "a_able", "b_able", "confidence"))
+    own = found.where("a_side = 1")
+    old = found.where("a_side = 0").select(F.col("late").alias("id"), F.lit("stored").alias("where"), F.col("early").alias("other"), "confidence")
+    known = old.select("id").distinct()
+    rivals = own.where("a_able AND b_able").select("early", "late").join(known.withColumnRenamed("id", "early"), "early", "left_anti").join(known.withColumnRenamed("id", "late"), "late", "left_anti")
+    fallen = ruled_out(rivals)
+    gone = known.unionByName(fallen).withColumnRenamed("id", "early")
+    seen = own.where("a_able").join(gone, "early", "left_anti").select(F.col("late").alias("id"), F.lit("batch").alias("where"), F.col("early").alias("other"), "confidence")
+    nothing = lambda name, like: F.lit(None).cast(like.schema[name].dataType).alias(name)
+    fell = fallen.select("id", F.lit("fallen").alias("where"), *[nothing(c, old) for c in ("other", "confidence")])
+    match = F.col("where") != "fallen"
+    order = F.struct(-decisions.confidence_rank(F.col("confidence")), F.when(F.col("where") == "stored", 0).otherwise(1), "other")
+    best = old.unionByName(seen).unionByName(fell).groupBy("id").agg(F.min_by(F.struct("where", "other", "confidence"), F.when(match, order)).alias("m"), F.bool_or(F.col("where") != "batch").alias("_gone"))
+    out = rows.select("id", able.alias("_able")).join(best, "id", "left")
+    published = F.col("_able") & ~F.coalesce("_gone", F.lit(False))
+    return out.select("id", published.alias("published"), F.col("m.other").alias("duplicate_of"), F.col("m.where").alias("duplicate_in"), F.coalesce("m.confidence", F.lit("none")).alias("duplicate_confidence"))
 
 
 def near_starts(left: DataFrame, hours: int = 2) -> DataFrame:

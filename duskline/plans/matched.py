@@ -34,8 +34,7 @@ def compared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineup = F.when(k % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("a"), (user + k % 3).cast("string")), F.concat(F.lit("b"), F.floor(user / 2).cast("string"))))
     url = F.when(k % 8 == 0, F.concat(F.lit("http://www.x.dk/e/"), F.floor(k / 16).cast("string"), F.lit("/?utm_source=a"))).when(k % 8 == 1, F.concat(F.lit("https://x.dk/n/"), F.floor(k / 24).cast("string"), F.lit("#"), (k % 3).cast("string")))
     room = F.when(k % 10 < 2, F.concat(F.lit("r"), (k % 10).cast("string")))
-    made = matching.features(e, "event_id", F.col("start"), user, room, title, lineup, F.array(url))
-    return made.join(e.select(k.alias("id"), F.col("venue").alias("source"), "value", (k % 7 != 0).alias("eligible")), "id")
+    return matching.features(e, "event_id", F.col("start"), user, room, title, lineup, F.array(url), F.col("venue").alias("source"), F.col("value"), (k % 7 != 0).alias("eligible"))
 
 
 @query(f"""
@@ -51,7 +50,7 @@ best AS (SELECT DISTINCT ON (id) * FROM b ORDER BY id, CASE confidence WHEN 'hig
 SELECT event_id, event_id IN (SELECT id FROM p) AS published, other AS duplicate_of, place AS duplicate_in, coalesce(confidence, 'none') AS duplicate_confidence FROM n LEFT JOIN best ON id = event_id""")
 def batch_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-9, ER-1, ER-4: candidates against stored events (those of one source) and against what their own batch has published before them."""
-    rows = checkpointed(compared_events(spark, sf_dir))
+    rows = compared_events(spark, sf_dir)
     return matching.visible_in_batch(rows.where("source <> 'error'"), rows.where("source = 'error'")).withColumnRenamed("id", "event_id")
 
 

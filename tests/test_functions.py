@@ -60,6 +60,18 @@ def test_names(spark):
     assert got[0]["s"] == "dj-o-dk"
 
 
+def test_short_ways_give_what_the_long_ones_do(spark):
+    """Plain names and single spaces pass by patterns; odd ones must not."""
+    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    rows = ["Moon Garden", "moon\n", "moon\tgarden", " moon", "moon ", "a  b", "a \n b", "a\u00a0b", "", " ", "\n", "The the DJ x Moon moon", "Moon (live)", "moon.com/x", "A: - a", "K\u00d8L night", "x" * 50 + " " * 3, None]
+    words = F.array_distinct(F.filter(F.split("n", " "), lambda w: F.length(w) > 1))
+    old = {"s": squeezed(F.col("n")), "p": squeezed(F.regexp_replace(F.lower("n"), r"[^a-z0-9\s]", "")), "a": squeezed(F.lower(F.regexp_replace(text.without_url_noise(F.col("n")), r"\s*\([^)]*\)\s*$", ""))), "w": F.array_except(words, F.array(*map(F.lit, text.GENERIC_TITLE_WORDS)))}
+    n = F.col("n")
+    new = {"s": text.squeezed(n), "p": text.plain_name(n), "a": text.artist_key(n), "w": text.title_words(n)}
+    assert values(spark, [(r,) for r in rows], "n string", **new) == values(spark, [(r,) for r in rows], "n string", **old)
+    assert "array_except" not in spark.createDataFrame([("a",)], "n string").select(new["w"])._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_similarity_of_empty_sets_is_zero(spark):
     got = values(spark, [([], ["a"]), (["a", "b"], ["b"]), ([], [])], "a array<string>, b array<string>", j=text.jaccard(F.col("a"), F.col("b")), o=text.overlap(F.col("a"), F.col("b")))
     assert [(g["j"], g["o"]) for g in got] == [(0.0, 0.0), (0.5, 1.0), (0.0, 0.0)]

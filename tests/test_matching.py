@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duskline.operators import matching
+from duskline.sources.tables import checkpointed
 
 RAW = "id long, start timestamp, venue string, sub_venue string, title string, lineup array<string>, urls array<string>, eligible boolean, source string, rank int"
 
@@ -83,6 +84,42 @@ def test_batch_sees_its_own_writes_as_a_loop_does(spark, seed):
     assert got == expected
 
 
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_crowded_nights_of_a_venue_meet_by_rare_words(spark, monkeypatch, crowd):
+    monkeypatch.setattr(matching, "CROWD", crowd)
+    test_duplicates_are_all_pairs_that_the_rules_name(spark, 5)
+    test_batch_sees_its_own_writes_as_a_loop_does(spark, 5)
+
+
+def test_what_is_compared_meets_in_one_join(spark):
+    """A pair is assessed where it is made: ids don't go back for words, keys and URLs, and candidates and stored rows are shuffled once."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        f = checkpointed(made(spark, random_rows(random.Random(6), 40)))
+        found = matching.duplicates(f, f, within=True)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+        found.collect()
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, kept)
+
+
+def test_events_without_a_night_are_no_duplicates(spark):
+    rows = [(i, None, "v1", None, "Moon Garden", ["Ann"], ["https://x.dk/1"], True, "s", i) for i in range(3)]
+    f = made(spark, rows)
+    assert matching.duplicates(f, f, within=True).isEmpty()
+    assert {r.published for r in matching.visible_in_batch(f, f.limit(0)).collect()} == {True}
+
+
+def test_an_id_may_be_stored_and_a_candidate(spark):
+    at = dt.datetime(2024, 1, 20, 22)
+    row = lambda i, who: (i, at, "v1", None, "", [who], None, True, "s", i)
+    got = {r.id: tuple(r[1:]) for r in matching.visible_in_batch(made(spark, [row(1, "Ann"), row(2, "Ann"), row(3, "Bob")]), made(spark, [row(1, "Bob")])).collect()}
+    assert got == {1: (True, None, None, "none"), 2: (False, 1, "batch", "medium"), 3: (False, 1, "stored", "medium")}
+
+
 def test_one_event_under_two_urls_is_published_once(spark):
     at = dt.datetime(2024, 1, 20, 22)
     rows = [(i, at, "v1", None, "Moon Garden", ["Ann"], [f"https://x.dk/{i}"], True, "s", i) for i in range(3)]
@@ -103,6 +140,11 @@ def test_first_come_on_a_chain_and_random_graphs(spark):
         assert sorted(r.id for r in got.collect()) == stands
 
 
+def test_a_long_chain_takes_turns(spark):
+    got = matching.first_come(spark.createDataFrame([(i, i + 1) for i in range(36)], "early long, late long"))
+    assert sorted(r.id for r in got.collect()) == list(range(0, 37, 2))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_groups_of_one_event_from_several_sources(spark, seed):
     rows = random_rows(random.Random(20 + seed), 50)
